@@ -42,16 +42,15 @@ def sanitize_filename(col: Column) -> Column:
     name = F.regexp_replace(name, r"\.{2,}", ".")
     name = F.btrim(name, F.lit(". "))
     base = F.upper(strip(F.substring_index(name, ".", 1)))
-    name = F.when(base.isin(K.RESERVED_FILE_NAMES), F.concat(F.lit("_"), name)).otherwise(name)
+    name = F.when((F.find_in_set(base, F.lit(",".join(K.RESERVED_FILE_NAMES))) > 0), F.concat(F.lit("_"), name)).otherwise(name)
     return F.when(name == "", F.lit(K.UNNAMED_FILE)).otherwise(F.left(name, F.lit(255)))
 
 
 def type_extension(content_type: Column) -> Column:
     """Extension that fits a content type, ``.bin`` when none is known."""
-    out = F.lit(".bin")
-    for known, ext in K.TYPE_EXTENSIONS.items():
-        out = F.when(content_type == known, F.lit(ext)).otherwise(out)
-    return out
+    pairs = "|".join(f"{kind}={ext}" for kind, ext in K.TYPE_EXTENSIONS.items())
+    known = F.str_to_map(F.lit(pairs), F.lit("[|]"), F.lit("="))
+    return F.coalesce(F.try_element_at(known, content_type), F.lit(".bin"))
 
 
 def fallback_filename(name: Column, content_type: Column, *key: Column) -> Column:

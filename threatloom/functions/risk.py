@@ -19,18 +19,20 @@ def risk_bucket(score: Column, medium: float, high: float) -> Column:
 
 def worst_risk(*levels: Column) -> Column:
     """The most severe of several risk levels."""
-    any_high, any_medium = F.lit(False), F.lit(False)
-    for level in levels:
-        any_high = any_high | (level == "high")
-        any_medium = any_medium | (level == "medium")
-    return F.when(any_high, "high").when(any_medium, "medium").otherwise("low")
+    among = F.array(*levels)
+    return (
+        F.when(F.array_contains(among, "high"), "high")
+        .when(F.array_contains(among, "medium"), "medium")
+        .otherwise("low")
+    )
 
 
 def _lookup(level: Column, table: dict[str, str], other: str) -> Column:
-    out = F.lit(other)
-    for name, value in table.items():
-        out = F.when(level == name, F.lit(value)).otherwise(out)
-    return out
+    first, *rest = table.items()
+    out = F.when(level == first[0], F.lit(first[1]))
+    for name, value in rest:
+        out = out.when(level == name, F.lit(value))
+    return out.otherwise(F.lit(other))
 
 
 def risk_color(level: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threatloom.functions import constants as K
 from threatloom.functions.patterns import unicode_regex
-from threatloom.functions.text import text
+from threatloom.functions.text import let, text
 
 _SPLIT = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 _HAS_AUTHORITY = r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
@@ -35,8 +35,7 @@ def _host(authority: Column) -> Column:
 
 def url_host(url: Column) -> Column:
     """Lower-cased host; empty when absent, null when the URL does not parse."""
-    authority = _part(url, 2)
-    return F.when(_authority_ok(authority), _host(authority))
+    return let(_part(url, 2), lambda authority: F.when(_authority_ok(authority), _host(authority)))
 
 
 def is_suspicious_url(url: Column) -> Column:
@@ -55,7 +54,7 @@ def _encode(col: Column) -> Column:
 
 
 def _key_is_sensitive(key: Column) -> Column:
-    return F.lower(key).isin(K.SENSITIVE_URL_KEYS)
+    return F.find_in_set(F.lower(key), F.lit(",".join(K.SENSITIVE_URL_KEYS))) > 0
 
 
 def _pairs(query: Column) -> Column:
@@ -72,16 +71,19 @@ def _pairs(query: Column) -> Column:
 def _rewritten_query(pairs: Column) -> Column:
     """Pairs grouped by key in first-seen order, sensitive keys reduced to one marker."""
 
-    def of_key(key: Column) -> Column:
-        values = F.transform(
-            F.filter(pairs, lambda p: p["k"] == key),
-            lambda p: F.concat(_encode(key), F.lit("="), _encode(p["v"])),
-        )
-        hidden = F.array(F.concat(_encode(key), F.lit("=" + K.REDACTED_ENCODED)))
-        return F.when(_key_is_sensitive(key), hidden).otherwise(values)
+    def rewrite(found: Column) -> Column:
+        def of_key(key: Column) -> Column:
+            values = F.transform(
+                F.filter(found, lambda p: p["k"] == key),
+                lambda p: F.concat(_encode(key), F.lit("="), _encode(p["v"])),
+            )
+            hidden = F.array(F.concat(_encode(key), F.lit("=" + K.REDACTED_ENCODED)))
+            return F.when(_key_is_sensitive(key), hidden).otherwise(values)
+
+        keys = F.array_distinct(F.transform(found, lambda p: p["k"]))
+        return F.array_join(F.flatten(F.transform(keys, of_key)), "&")
 
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.array_join(F.flatten(F.transform(keys, of_key)), "&")
+    return let(pairs, rewrite)
 
 
 def _joined(url: Column, authority: Column, path: Column, query: Column) -> Column:
@@ -126,13 +128,12 @@ def _redacted_authority(authority: Column) -> Column:
     return F.when(has_password, shown).otherwise(authority)
 
 
-def _redacted_path(authority: Column, path: Column) -> Column:
+def _redacted_path(host: Column, path: Column) -> Column:
     """Hide the token of a chat webhook path: its last segment, if five or more."""
-    host = _host(authority)
 
     def on(domain: str, prefix: str) -> Column:
         at_home = (host == "") | (host == domain) | host.endswith("." + domain)
-        return at_home & path.startswith(prefix)
+        return path.startswith(prefix) & at_home
 
     hook = on("slack.com", "/services/") | on("discord.com", "/api/webhooks/")
     long_enough = F.size(F.split(path, "/", -1)) >= 5
@@ -143,14 +144,17 @@ def _redacted_path(authority: Column, path: Column) -> Column:
 def redact_url_secrets(url: Column) -> Column:
     """Hide sensitive parameters, passwords and chat webhook tokens."""
     url = text(url)
-    authority = _part(url, 2)
-    shown = _joined(
-        url,
-        _redacted_authority(authority),
-        _redacted_path(authority, _part(url, 3)),
-        _redacted_query(url),
-    )
-    return F.when((url == "") | ~_authority_ok(authority), url).otherwise(shown)
+
+    def shown(authority: Column) -> Column:
+        rebuilt = _joined(
+            url,
+            _redacted_authority(authority),
+            let(_part(url, 3), lambda path: _redacted_path(_host(authority), path)),
+            _redacted_query(url),
+        )
+        return F.when((url == "") | ~_authority_ok(authority), url).otherwise(rebuilt)
+
+    return let(_part(url, 2), shown)
 
 
 def redact_urls_in_text(col: Column) -> Column:
@@ -205,21 +209,28 @@ def _v4_number(dotted: str) -> int:
 
 
 def _v4_label(host: Column) -> Column:
-    octets = [F.regexp_extract(host, _V4, i).try_cast("bigint") for i in (1, 2, 3, 4)]
-    number = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
-    out = F.lit("")
-    for low, high, label in reversed(_V4_RANGES):
-        out = F.when(number.between(_v4_number(low), _v4_number(high)), F.lit(label)).otherwise(out)
-    bad = F.greatest(*octets) > 255
-    return F.when(bad, F.lit("invalid IP")).otherwise(out)
+    octets = F.transform(F.split(host, r"\."), lambda o: o.cast("bigint"))
+
+    def judge(o: Column) -> Column:
+        number = F.aggregate(o, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+        return let(number, lambda n: _in_ranges(n, F.array_max(o) > 255))
+
+    return let(octets, judge)
+
+
+def _in_ranges(number: Column, bad: Column) -> Column:
+    out = F.when(bad, F.lit("invalid IP"))
+    for low, high, label in _V4_RANGES:
+        out = out.when(number.between(_v4_number(low), _v4_number(high)), F.lit(label))
+    return out.otherwise(F.lit(""))
 
 
 def _v6_label(host: Column) -> Column:
-    out = F.lit("")
-    for form, label in reversed(_V6_FORMS):
-        out = F.when(host.rlike(form), F.lit(label)).otherwise(out)
-    mapped = F.regexp_extract(host, r"\A::ffff:(\d+\.\d+\.\d+\.\d+)\z", 1)
-    return F.when(mapped != "", _v4_label(mapped)).otherwise(out)
+    mapped = F.regexp_extract(host, r"\A::ffff:(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\z", 1)
+    out = F.when(mapped != "", _v4_label(mapped))
+    for form, label in _V6_FORMS:
+        out = out.when(host.rlike(form), F.lit(label))
+    return out.otherwise(F.lit(""))
 
 
 def outbound_verdict(url: Column) -> Column:
@@ -228,19 +239,27 @@ def outbound_verdict(url: Column) -> Column:
     Only what the text itself says is judged: scheme, host and literal
     addresses.  Host names are not resolved.
     """
+
+    def judge(authority: Column) -> Column:
+        label = let(
+            _host(authority),
+            lambda host: F.when(host == "", F.lit("none"))
+            .when(host.rlike(_V4), _v4_label(host))
+            .when(authority.contains("["), _v6_label(host))
+            .otherwise(F.lit("")),
+        )
+        named = let(
+            label,
+            lambda found: F.when(found == "none", F.lit("URL must contain a valid hostname"))
+            .when(found != "", F.concat(F.lit("address is "), found))
+            .otherwise(F.lit("")),
+        )
+        scheme = F.lower(_part(url, 1))
+        return (
+            F.when(~_authority_ok(authority), F.lit("URL does not parse"))
+            .when(scheme != "https", F.concat(F.lit("scheme must be https, got: "), scheme))
+            .otherwise(named)
+        )
+
     url = text(url)
-    authority, scheme = _part(url, 2), F.lower(_part(url, 1))
-    host = _host(authority)
-    label = (
-        F.when(host.rlike(_V4), _v4_label(host))
-        .when(authority.contains("["), _v6_label(host))
-        .otherwise(F.lit(""))
-    )
-    return (
-        F.when(url == "", F.lit("URL is empty"))
-        .when(~_authority_ok(authority), F.lit("URL does not parse"))
-        .when(scheme != "https", F.concat(F.lit("scheme must be https, got: "), scheme))
-        .when(host == "", F.lit("URL must contain a valid hostname"))
-        .when(label != "", F.concat(F.lit("address is "), label))
-        .otherwise(F.lit(""))
-    )
+    return F.when(url == "", F.lit("URL is empty")).otherwise(let(_part(url, 2), judge))

@@ -18,10 +18,6 @@ from threatloom.params import DEFAULTS, Params
 MESSAGE_KEY = ["message_id"]
 
 
-def _hex(value: str) -> Column:
-    return F.lit(bytes.fromhex(value))
-
-
 def bare_name(filename: Column) -> Column:
     """Lower-cased name without outer blanks, NULs and trailing dots."""
     name = F.replace(strip(F.lower(text(filename))), F.lit("\0"), F.lit(""))
@@ -33,12 +29,18 @@ def last_extension(name: Column) -> Column:
     return F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise(F.lit(""))
 
 
+def is_among(value: Column, options: list[str]) -> Column:
+    """Is the text one of ``options`` (which hold no commas)?"""
+    return F.find_in_set(value, F.lit(",".join(options))) > 0
+
+
 def has_extension(name: Column, extensions: list[str]) -> Column:
     """Does the name end in a dot and one of ``extensions``?"""
     single = [e for e in extensions if "." not in e]
-    out = last_extension(name).isin(single)
-    for double in (e for e in extensions if "." in e):
-        out = out | name.endswith("." + double)
+    double = [e for e in extensions if "." in e]
+    out = is_among(last_extension(name), single)
+    if double:
+        out = out | name.rlike(r"\.(?:" + "|".join(double).replace(".", r"\.") + r")\z")
     return out
 
 
@@ -74,44 +76,38 @@ def extension_checks(df: DataFrame) -> DataFrame:
     ).drop("_name")
 
 
-def magic_type(head: Column) -> Column:
-    """File type by leading bytes, null when unknown or shorter than four bytes."""
-    form = F.substring(head, 9, 4)
-    riff = F.when(F.length(head) < 12, F.lit(None))
-    for value, name in K.RIFF_FORMS:
-        riff = riff.when(form == _hex(value), F.lit(name))
-    out = F.when(F.length(head) < 4, F.lit(None)).when(F.startswith(head, _hex(K.RIFF_HEX)), riff)
-    for value, name in K.MAGIC_PREFIXES:
-        out = out.when(F.startswith(head, _hex(value)), F.lit(name))
-    return out.when(F.substring(head, 5, 4) == _hex(K.FTYP_HEX), F.lit("mp4")).cast("string")
+def magic_type(head: str = "head") -> Column:
+    """File type by leading bytes of a column, null when unknown or shorter than four bytes."""
+    forms = " ".join(f"WHEN substring({head}, 9, 4) = X'{v}' THEN '{n}'" for v, n in K.RIFF_FORMS)
+    prefixes = " ".join(f"WHEN startswith({head}, X'{v}') THEN '{n}'" for v, n in K.MAGIC_PREFIXES)
+    return F.expr(
+        f"CASE WHEN length({head}) < 4 THEN NULL"
+        f" WHEN startswith({head}, X'{K.RIFF_HEX}') THEN"
+        f" CASE WHEN length({head}) < 12 THEN NULL {forms} END"
+        f" {prefixes} WHEN substring({head}, 5, 4) = X'{K.FTYP_HEX}' THEN 'mp4' END"
+    )
 
 
 def _type_mismatch(name: Column, kind: Column) -> Column:
     """Score of a known type under a wrong extension."""
-    expected = F.lit(False)
-    for known, extensions in K.EXPECTED_EXTENSIONS.items():
-        expected = expected | ((kind == known) & has_extension(name, extensions))
-    return (
-        F.when((kind == "exe") & ~has_extension(name, ["exe"]), F.lit(5.0))
-        .when(~expected, F.lit(2.0))
-        .otherwise(F.lit(0.0))
-    )
+    pairs = [f"{known}:{e}" for known, extensions in K.EXPECTED_EXTENSIONS.items() for e in extensions]
+    expected = is_among(F.concat(kind, F.lit(":"), last_extension(name)), pairs)
+    return F.when(expected, F.lit(0.0)).when(kind == "exe", F.lit(5.0)).otherwise(F.lit(2.0))
 
 
 def mismatch_checks(df: DataFrame) -> DataFrame:
     """Adds ``detected_type``, ``type_score``, ``type_issue`` (empty when fine)."""
-    staged = df.withColumns({"detected_type": magic_type(F.col("head")), "_name": bare_name(F.col("filename"))})
+    staged = df.withColumns({"detected_type": magic_type("head"), "_name": bare_name(F.col("filename"))})
     name, kind = F.col("_name"), F.col("detected_type")
     wrong = _type_mismatch(name, kind)
     extension = last_extension(name)
     strict = dict(K.STRICT_SIGNATURES)
     critical = [e for e in strict if e in K.MEDIA_EXTENSIONS or e == "wav"]
-    description = F.lit("")
-    for known, shown in strict.items():
-        description = F.when(extension == known, F.lit(shown)).otherwise(description)
+    names = F.str_to_map(F.lit("|".join(f"{e}={d}" for e, d in strict.items())), F.lit("[|]"), F.lit("="))
+    description = F.try_element_at(names, extension)
     unsigned = (
-        F.when(extension.isin(critical), F.lit(5.0))
-        .when(extension.isin(list(strict)), F.lit(2.0))
+        F.when(is_among(extension, critical), F.lit(5.0))
+        .when(is_among(extension, list(strict)), F.lit(2.0))
         .otherwise(F.lit(0.0))
     )
     staged = staged.withColumns(
@@ -129,7 +125,7 @@ def mismatch_checks(df: DataFrame) -> DataFrame:
                 F.lit("Invalid file signature for ."),
                 extension,
                 F.lit(": expected "),
-                F.col("_description"),
+                F.coalesce("_description", F.lit("")),
                 F.lit(" signature but none found"),
             )
         )
@@ -167,7 +163,7 @@ def small_video_score(filename: Column, scanned_bytes: Column) -> Column:
 
 def is_zip(filename: Column, head: Column) -> Column:
     """Looked into as a zip?"""
-    return F.coalesce(F.startswith(head, _hex("504B0304")), F.lit(False)) | F.lower(text(filename)).endswith(".zip")
+    return F.coalesce(F.startswith(head, F.lit(bytes.fromhex("504B0304"))), F.lit(False)) | F.lower(text(filename)).endswith(".zip")
 
 
 def is_tar(filename: Column) -> Column:

@@ -18,7 +18,7 @@ from threatloom.functions import constants as K
 from threatloom.functions.identity import sender_domain
 from threatloom.functions.patterns import any_of, whole
 from threatloom.functions.risk import risk_bucket
-from threatloom.functions.text import count_of, text
+from threatloom.functions.text import count_of, let, text
 from threatloom.params import DEFAULTS, Params
 
 CATEGORIES = ("SE", "UG", "AU", "PS")
@@ -39,27 +39,40 @@ def builtin_rules() -> list[Rule]:
     return [Rule(c, p, d) for c, pairs in zip(CATEGORIES, lists, strict=True) for p, d in pairs]
 
 
-def scan(part: Column, rules: list[Rule]) -> Column:
-    """``array<struct<category,description,token>>`` of one text, in text order."""
-    tokens = F.regexp_extract_all(F.lower(text(part)), F.lit(any_of([r.pattern for r in rules])), F.lit(0))
-
-    def classify(token: Column) -> Column:
-        category, description = F.lit(""), F.lit("")
-        for rule in reversed(rules):
-            hit = token.rlike(whole(rule.pattern))
-            category = F.when(hit, F.lit(rule.category)).otherwise(category)
-            description = F.when(hit, F.lit(rule.description)).otherwise(description)
-        return F.struct(
-            category.alias("category"), description.alias("description"), token.alias("token")
-        )
-
-    return F.transform(tokens, classify)
+def _tokens(part: Column, rules: list[Rule]) -> Column:
+    """Matching tokens of one text, in text order."""
+    return F.regexp_extract_all(F.lower(text(part)), F.lit(any_of([r.pattern for r in rules])), F.lit(0))
 
 
 def pattern_scan(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds ``matches``: classified tokens of the subject, then of the body."""
+    """Adds ``matches``: tokens of the subject, then of the body, with their rules.
+
+    Each is a struct of category, description and token.
+    """
     rules = rules or builtin_rules()
-    return df.withColumn("matches", F.concat(scan(F.col("subject"), rules), scan(F.col("body_text"), rules)))
+
+    def rule_number(token: Column) -> Column:
+        out = F.when(token.rlike(whole(rules[0].pattern)), F.lit(0))
+        for number, rule in enumerate(rules[1:], start=1):
+            out = out.when(token.rlike(whole(rule.pattern)), F.lit(number))
+        return out
+
+    categories = F.split(F.lit("\n".join(r.category for r in rules)), "\n")
+    descriptions = F.split(F.lit("\n".join(r.description for r in rules)), "\n")
+
+    def describe(token: Column) -> Column:
+        return let(
+            rule_number(token),
+            lambda number: F.struct(
+                F.get(categories, number).alias("category"),
+                F.get(descriptions, number).alias("description"),
+                token.alias("token"),
+            ),
+        )
+
+    # classified in a projection of its own: most messages have no token at all
+    found = F.concat(_tokens(F.col("subject"), rules), _tokens(F.col("body_text"), rules))
+    return df.withColumn("_tokens", found).withColumn("matches", F.transform("_tokens", describe)).drop("_tokens")
 
 
 def counters(df: DataFrame) -> DataFrame:

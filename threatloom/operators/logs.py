@@ -19,7 +19,7 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed log rows from JSON lines; unknown fields go to ``extras``, bad lines to ``_corrupt``."""
     raw = F.col(column)
     everything = F.from_json(raw, T.MapType(T.StringType(), T.StringType()))
-    extras = F.map_filter(F.col("_all"), lambda k, v: ~k.isin(LOG_FIELDS))
+    extras = F.map_filter(F.col("_all"), lambda k, v: F.find_in_set(k, F.lit(",".join(LOG_FIELDS))) == 0)
     return (
         lines.withColumns({"_row": F.from_json(raw, LOG_SCHEMA), "_all": everything})
         .withColumn("_bad", F.col("_all").isNull() | F.col("_row.level").isNull())

@@ -53,9 +53,9 @@ def keyword_groups(subject_lower: Column, groups: Sequence[str] = K.SPAM_KEYWORD
     """Patterns of the keyword groups found, each once, in first-seen order."""
 
     def group_of(token: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for pattern in reversed(groups):
-            out = F.when(token.rlike(whole(pattern)), F.lit(pattern)).otherwise(out)
+        out = F.when(token.rlike(whole(groups[0])), F.lit(groups[0]))
+        for pattern in groups[1:]:
+            out = out.when(token.rlike(whole(pattern)), F.lit(pattern))
         return out
 
     tokens = F.regexp_extract_all(subject_lower, F.lit(any_of(list(groups))), F.lit(0))
@@ -350,9 +350,7 @@ def is_titled_freemail(sender_lower: Column) -> Column:
     """A corporate title in the sender, and a free-mail domain or sub-domain."""
     domain = F.regexp_extract(sender_lower, unicode_regex(K.ADDRESS_DOMAIN_PATTERN), 1)
     titled = sender_lower.rlike("|".join(K.CORPORATE_TITLES))
-    free = domain.isin(K.FREEMAIL_DOMAINS)
-    for provider in K.FREEMAIL_DOMAINS:
-        free = free | domain.endswith("." + provider)
+    free = domain.rlike(r"(?:\A|\.)(?:" + "|".join(K.FREEMAIL_DOMAINS).replace(".", r"\.") + r")\z")
     return titled & free
 
 

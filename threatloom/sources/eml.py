@@ -58,6 +58,10 @@ DECODED_SCHEMA = T.StructType(
     ]
 )
 
+# decoded messages handed back at a time: bounded in bytes, whatever the batch
+_FLUSH_BYTES = 16 * K.MIB
+_FLUSH_ROWS = 2000
+
 
 def _header_text(value: object) -> str:
     raw = str(value)
@@ -127,17 +131,25 @@ def _decode_one(seq: str, raw: bytes) -> dict:
 
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = DECODED_SCHEMA.fieldNames()
+    rows: list[dict] = []
+    pending = 0
     for batch in batches:
-        # one message at a time: an output batch never holds more than one body
         for row in batch.itertuples(index=False):
-            base = {"seq": row.seq, "account_email": row.account_email, "folder": row.folder}
+            base = dict.fromkeys(names)
+            base.update(seq=row.seq, account_email=row.account_email, folder=row.folder)
             try:
                 if row.raw is None:
                     raise ValueError("no message bytes")
                 base.update(_decode_one(row.seq, bytes(row.raw)))
+                pending += len(row.raw)
             except Exception as error:  # isolation: one bad message never fails the batch
                 base["_corrupt"] = f"{type(error).__name__}: {error}"
-            yield pd.DataFrame([{n: base.get(n) for n in names}], columns=names)
+            rows.append(base)
+            if pending > _FLUSH_BYTES or len(rows) >= _FLUSH_ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows, pending = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def read_eml_files(spark: SparkSession, path: str, params: Params = DEFAULTS) -> DataFrame:

@@ -11,13 +11,12 @@ Each table is one SQL text in a form both Spark and an ANSI checker accept;
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.operators.shaping import header_map
-
 SOURCES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -114,15 +113,16 @@ SELECT 'o' || CAST(o_orderkey AS STRING), o_orderkey, 'shop' || CAST(o_custkey A
 FROM @orders@
 """
 
-MAIL = f"""
+MAIL_ROWS = f"""
 SELECT message_id, n AS seq, {pick("n", SUBJECTS)} AS subject, {pick("n", SENDERS)} AS sender,
        'user' || CAST(n AS STRING) || '@corp.example' AS recipient,
        @ts:1704067200 + n * 60@ AS date,
        base_text || ' ' || {_LURE} AS body_text,
        base_html || {pick("n", SNIPPETS)} AS body_html,
        account_email, {pick("n", FOLDERS)} AS folder, size
-FROM ({MAIL_SOURCE}) AS src
+FROM @mail_source@ AS src
 """
+MAIL = MAIL_ROWS.replace("@mail_source@", f"({MAIL_SOURCE})")
 
 # (name, value expression or NULL) in header order; ``n`` is the message number
 _RECEIVED_SLOTS = 13
@@ -356,7 +356,7 @@ TEXTS = """
 SELECT conv_id, turn, CASE (conv_id + turn) % 6
     WHEN 0 THEN '=1+1' || text
     WHEN 1 THEN text || chr(13) || chr(10) || chr(9) || 'tail' || chr(27) || '[31mred' || chr(27) || '[0m'
-    WHEN 2 THEN '  @cmd ' || text || chr(8203) || chr(8238) || chr(7)
+    WHEN 2 THEN '  @cmd ' || text || '\u200b\u202e' || chr(7)
     WHEN 3 THEN chr(9) || text || ' & <b>'
     WHEN 4 THEN 'See https://api.example/v1?token=abc, www.x.example/y?key=1. (https://u:p@h.example/z) ' || text
     ELSE text END AS text
@@ -381,6 +381,18 @@ def render(sql: str, dialect: str, tables: dict[str, str]) -> str:
     return sql
 
 
+def header_map_sql() -> str:
+    """Header map of one message: each name with its values in order, absent names left out."""
+    by_name: dict[str, list[str]] = {}
+    for name, value in HEADER_SLOTS:
+        by_name.setdefault(name.lower(), []).append(value)
+    items = []
+    for name, values in by_name.items():
+        listed = f"filter(array({', '.join(values)}), v -> v IS NOT NULL)"
+        items.append(f"'{name}', {listed}")
+    return f"map_filter(map({', '.join(items)}), (k, v) -> size(v) > 0)"
+
+
 def header_entries_sql(dialect: str) -> str:
     """Array of (pos, name, value) of one message, absent headers included as nulls."""
     if dialect == "spark":
@@ -415,16 +427,27 @@ class SampleTables:
         """A source table as it is."""
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Deal the rows of small local files over all cores.
+
+        A small file is one task.  Text scoring is heavy per row, so samples
+        are spread first; folders that fill the cores by themselves are not.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if not os.path.isdir(self.folder):
+            return df
+        held = sum(e.stat().st_size for e in os.scandir(self.folder) if e.is_file())
+        return df.repartition(cores) if held < cores * 128 * 1024 * 1024 else df
+
     def mail(self) -> DataFrame:
         """Messages without headers."""
-        return self.sql(MAIL)
+        source = self._spread(self.sql(MAIL_SOURCE))
+        return self.spark.sql(render(MAIL_ROWS, "spark", {"mail_source": "{src}"}), src=source)
 
     def emails(self) -> DataFrame:
         """Messages with their header map, built on the row."""
-        entries = F.expr(header_entries_sql("spark"))
-        present = F.filter(entries, lambda e: e["value"].isNotNull())
-        numbered = self.mail().withColumn("n", F.col("seq")).withColumn("_entries", present)
-        return numbered.withColumn("headers", header_map(F.col("_entries"))).drop("n", "_entries")
+        numbered = self.mail().withColumn("n", F.col("seq"))
+        return numbered.withColumn("headers", F.expr(header_map_sql())).drop("n")
 
     def headers(self) -> DataFrame:
         """Long header table."""
