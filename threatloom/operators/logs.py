@@ -10,26 +10,25 @@ from threatloom.functions import constants as K
 
 # fixed values: fields every log line has
 LOG_FIELDS = ["timestamp", "level", "logger", "message", "module", "function", "line"]
-LOG_SCHEMA = T.StructType(
-    [T.StructField(n, T.LongType() if n == "line" else T.StringType()) for n in LOG_FIELDS]
-)
 
 
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Typed log rows from JSON lines; unknown fields go to ``extras``, bad lines to ``_corrupt``."""
+    """Typed log rows from JSON lines; unknown fields go to ``extras``, bad lines to ``_corrupt``.
+
+    A line is parsed once, to a map; the known fields are looked up in it.
+    """
     raw = F.col(column)
-    everything = F.from_json(raw, T.MapType(T.StringType(), T.StringType()))
-    extras = F.map_filter(F.col("_all"), lambda k, v: F.find_in_set(k, F.lit(",".join(LOG_FIELDS))) == 0)
-    return (
-        lines.withColumns({"_row": F.from_json(raw, LOG_SCHEMA), "_all": everything})
-        .withColumn("_bad", F.col("_all").isNull() | F.col("_row.level").isNull())
-        .select(
-            *[c for c in lines.columns if c != column],
-            F.try_to_timestamp("_row.timestamp", F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-            *[F.col(f"_row.{n}").alias(n) for n in LOG_FIELDS],
-            F.coalesce(extras, F.create_map().cast("map<string,string>")).alias("extras"),
-            F.when(F.col("_bad"), raw).alias("_corrupt"),
-        )
+    fields = F.from_json(raw, T.MapType(T.StringType(), T.StringType()))
+    staged = lines.withColumn("_all", fields)
+    known = {n: F.try_element_at("_all", F.lit(n)) for n in LOG_FIELDS}
+    known["line"] = known["line"].try_cast("bigint")
+    extras = F.map_filter("_all", lambda k, v: F.find_in_set(k, F.lit(",".join(LOG_FIELDS))) == 0)
+    return staged.select(
+        *[c for c in lines.columns if c != column],
+        F.try_to_timestamp(known["timestamp"], F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
+        *[value.alias(n) for n, value in known.items()],
+        F.coalesce(extras, F.create_map().cast("map<string,string>")).alias("extras"),
+        F.when(known["level"].isNull(), raw).alias("_corrupt"),
     )
 
 

@@ -37,6 +37,12 @@ def of_active_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def fetch(messages: DataFrame, processed: DataFrame, accounts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """One fetch cycle: active accounts, unseen, first per folder, then the size guard."""
-    waiting = unseen(of_active_accounts(messages, accounts), processed)
-    return within_size(first_per_folder(waiting, params), params).drop("rank")
+    """One fetch cycle: active accounts, unseen, first per folder, then the size guard.
+
+    The choice is made on keys and sizes alone.  Bodies are read only by the
+    last join, whose other side is small: a few messages per folder.
+    """
+    keys = messages.select(*MAILBOX_KEY, "seq", "size")
+    waiting = unseen(of_active_accounts(keys, accounts), processed)
+    chosen = within_size(first_per_folder(waiting, params), params).select(*MAILBOX_KEY)
+    return messages.join(chosen, MAILBOX_KEY, "left_semi")

@@ -995,7 +995,7 @@ def _queries() -> dict[str, str]:
                               END AS unsafe_form FROM rule_rows)""",
         # logs
         "log_parse": """
-            SELECT event_id, CAST(epoch(strptime(stamp, '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS place, level, message, module, line,
+            SELECT event_id, CAST(epoch(strptime(stamp, '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS logged, level, message, module, line,
                    email_id, CAST(CASE WHEN corrupt THEN 0 ELSE 2 END AS BIGINT) AS n_extras, corrupt FROM log_rows""",
         "redact_fields": """
             SELECT event_id, CASE WHEN NOT corrupt THEN '[REDACTED]' END AS user_token, email_id FROM log_rows""",

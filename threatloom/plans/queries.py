@@ -32,7 +32,7 @@ from threatloom.operators import (
     spam,
 )
 from threatloom.params import DEFAULTS
-from threatloom.session import shared_folder
+from threatloom.session import shared_folder, stored
 from threatloom.sources import archive_members as listing
 from threatloom.sources import eml
 from threatloom.sources.sample_tables import SampleTables
@@ -654,7 +654,9 @@ def archive_members(t: SampleTables) -> DataFrame:
 
 @query
 def archive_total(t: SampleTables) -> DataFrame:
-    totals = archives.archive_scores(listing.archive_members(_zips(t)))
+    # listed once: scoring reads the members level by level
+    members = stored(listing.archive_members(_zips(t)), "members")
+    totals = archives.archive_scores(members)
     return totals.select(
         "message_id", rounded("archive_score").alias("score"), joined("archive_warnings").alias("findings")
     )
@@ -891,7 +893,7 @@ def _logs(t: SampleTables) -> DataFrame:
 def log_parse(t: SampleTables) -> DataFrame:
     return _logs(t).select(
         "event_id",
-        F.unix_timestamp("ts").alias("at"),
+        F.unix_timestamp("ts").alias("logged"),
         "level",
         "message",
         "module",
