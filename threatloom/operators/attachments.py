@@ -47,44 +47,65 @@ def has_extension(name: Column, extensions: list[str]) -> Column:
 # --- checks on one attachment -------------------------------------------------
 
 
+def _line(flag: str, *parts: Column | str) -> Column:
+    return F.when(F.col(flag), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(F.lit(""))
+
+
+def _points(flag: str, weight: float) -> Column:
+    return F.when(F.col(flag), F.lit(weight)).otherwise(F.lit(0.0))
+
+
 def extension_checks(df: DataFrame) -> DataFrame:
-    """Adds ``ext_score``, ``ext_warnings``."""
-    staged = df.withColumn("_name", bare_name(F.col("filename")))
+    """Adds ``ext_score``, ``ext_warnings``.
+
+    Flags are a projection of their own: they are used twice, and small
+    projections keep the generated methods within what the JIT compiles.
+    """
     name, shown = F.col("_name"), text(F.col("filename"))
-    dangerous = has_extension(name, K.DANGEROUS_EXTENSIONS)
-    suspicious = has_extension(name, K.SUSPICIOUS_SUFFIXES)
-    several = count_of(name, ".") > 1
-
-    def line(flag: Column, prefix: str) -> Column:
-        return F.when(flag, F.concat(F.lit(prefix), shown)).otherwise(F.lit(""))
-
-    zero = F.lit(0.0)
-    return staged.withColumns(
-        {
-            "ext_score": F.when(dangerous, F.lit(5.0)).otherwise(zero)
-            + F.when(suspicious, F.lit(3.0)).otherwise(zero)
-            + F.when(several, F.lit(1.5)).otherwise(zero),
-            "ext_warnings": F.array_remove(
-                F.array(
-                    line(dangerous, "Dangerous file type: "),
-                    line(suspicious, "Suspicious file extension: "),
-                    line(several, "Multiple extensions detected: "),
+    return (
+        df.withColumn("_name", bare_name(F.col("filename")))
+        .withColumns(
+            {
+                "_dangerous": has_extension(name, K.DANGEROUS_EXTENSIONS),
+                "_suspicious": has_extension(name, K.SUSPICIOUS_SUFFIXES),
+                "_several": count_of(name, ".") > 1,
+            }
+        )
+        .withColumns(
+            {
+                "ext_score": _points("_dangerous", 5.0) + _points("_suspicious", 3.0) + _points("_several", 1.5),
+                "ext_warnings": F.array_remove(
+                    F.array(
+                        _line("_dangerous", "Dangerous file type: ", shown),
+                        _line("_suspicious", "Suspicious file extension: ", shown),
+                        _line("_several", "Multiple extensions detected: ", shown),
+                    ),
+                    "",
                 ),
-                "",
-            ),
-        }
-    ).drop("_name")
+            }
+        )
+        .drop("_name", "_dangerous", "_suspicious", "_several")
+    )
 
 
 def magic_type(head: str = "head") -> Column:
-    """File type by leading bytes of a column, null when unknown or shorter than four bytes."""
-    forms = " ".join(f"WHEN substring({head}, 9, 4) = X'{v}' THEN '{n}'" for v, n in K.RIFF_FORMS)
-    prefixes = " ".join(f"WHEN startswith({head}, X'{v}') THEN '{n}'" for v, n in K.MAGIC_PREFIXES)
+    """File type by leading bytes of a column, null when unknown or shorter than four bytes.
+
+    The bytes are read as hexadecimal text: one ordered alternation finds the
+    prefix, a literal map names it.
+    """
+
+    def names(pairs: list[tuple[str, str]]) -> str:
+        return "map(" + ", ".join(f"'{value}', '{name}'" for value, name in pairs) + ")"
+
+    prefixes = "|".join(value for value, _ in K.MAGIC_PREFIXES)
+    seen = f"hex({head})"
     return F.expr(
         f"CASE WHEN length({head}) < 4 THEN NULL"
-        f" WHEN startswith({head}, X'{K.RIFF_HEX}') THEN"
-        f" CASE WHEN length({head}) < 12 THEN NULL {forms} END"
-        f" {prefixes} WHEN substring({head}, 5, 4) = X'{K.FTYP_HEX}' THEN 'mp4' END"
+        f" WHEN startswith({seen}, '{K.RIFF_HEX}') THEN"
+        f" try_element_at({names(K.RIFF_FORMS)}, substring({seen}, 17, 8))"
+        f" ELSE coalesce(try_element_at({names(K.MAGIC_PREFIXES)}, regexp_extract({seen}, '^({prefixes})', 1)),"
+        f" CASE WHEN substring({seen}, 9, 8) = '{K.FTYP_HEX}' THEN 'mp4' END) END"
     )
 
 
@@ -136,22 +157,20 @@ def mismatch_checks(df: DataFrame) -> DataFrame:
 def size_checks(df: DataFrame) -> DataFrame:
     """Adds ``size_score``, ``size_issue`` (empty when fine)."""
     size, shown = F.col("size"), text(F.col("filename"))
-    large = size > K.LARGE_ATTACHMENT_BYTES
-    tiny = has_extension(F.lower(shown), K.MEDIA_EXTENSIONS) & (size < K.TINY_MEDIA_BYTES)
+    media = has_extension(F.lower(shown), K.MEDIA_EXTENSIONS)
     # one decimal, halves to even
     mib = F.format_string("%.1f", F.bround(size / F.lit(float(K.MIB)), 1))
-    return df.withColumns(
-        {
-            "size_score": F.when(large, F.lit(1.5)).when(tiny, F.lit(1.0)).otherwise(F.lit(0.0)),
-            "size_issue": F.when(
-                large, F.concat(F.lit("Unusually large attachment: "), shown, F.lit(" ("), mib, F.lit("MB)"))
-            )
-            .when(
-                tiny,
-                F.concat(F.lit("Suspiciously small media file: "), shown, F.lit(" ("), size, F.lit(" bytes)")),
-            )
-            .otherwise(F.lit("")),
-        }
+    large = _line("_large", "Unusually large attachment: ", shown, " (", mib, "MB)")
+    tiny = _line("_tiny", "Suspiciously small media file: ", shown, " (", size.cast("string"), " bytes)")
+    return (
+        df.withColumns(
+            {
+                "_large": size > K.LARGE_ATTACHMENT_BYTES,
+                "_tiny": (size < K.TINY_MEDIA_BYTES) & media,
+            }
+        )
+        .withColumns({"size_score": _points("_large", 1.5) + _points("_tiny", 1.0), "size_issue": F.concat(large, tiny)})
+        .drop("_large", "_tiny")
     )
 
 

@@ -15,6 +15,8 @@ LOCAL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # methods beyond this many bytes are never compiled by the JIT
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
