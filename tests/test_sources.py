@@ -2,7 +2,9 @@
 
 import io
 import random
+import re
 import tarfile
+import unicodedata
 import zipfile
 from email.message import EmailMessage
 
@@ -10,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatloom.functions import constants as K
-from threatloom.operators import archives, language, logs, rules, scans
+from threatloom.functions import text
+from threatloom.operators import archives, fusion, language, logs, rules, scans
 from threatloom.params import Params
 from threatloom.sources import archive_members as listing
 from threatloom.sources import eml
@@ -193,3 +196,35 @@ def test_fetch_takes_the_limit_before_the_size_check(spark):
     accounts = spark.createDataFrame([("a", True, True)], "account_email string, enabled boolean, connected boolean")
     got = scans.fetch(messages, seen, accounts, Params(max_per_folder=2))
     assert [r.message_id for r in got.collect()] == ["m2"]
+
+
+def test_raw_bytes_to_report(spark):
+    m = EmailMessage()
+    m["From"] = "PayPal <service@evil.example>"
+    m["To"] = "team@example.com"
+    m["Subject"] = "URGENT: verify your account"
+    m["Message-ID"] = "<1@evil.example>"
+    m["Date"] = "Mon, 1 Jan 2024 10:00:00 +0000"
+    m.set_content("your paypal access is blocked, act now: http://bit.ly/x")
+    m.add_attachment(zipped([("setup.exe", b"MZ")]), maintype="application", subtype="zip", filename="docs.zip")
+    rows = [("1", "a@b.c", "INBOX", bytearray(m.as_bytes()))]
+    decoded = eml.decode_messages(spark.createDataFrame(rows, RAW))
+    mail, _ = eml.split_rejects(eml.shape_messages(decoded, F.timestamp_seconds(F.lit(0))))
+    files = eml.attachment_rows(mail)
+    scores = archives.archive_scores(listing.archive_members(files))
+    report = fusion.threat_report(mail, files, archives=scores).first()
+    assert report.message_id == "<1@evil.example>"
+    assert report.media.suspicious_attachments == ["Archive docs.zip contains dangerous file: setup.exe"]
+    assert (report.media.score, report.media.risk_level, report.risk_level) == (5.0, "high", "high")
+    assert report.nlp.authority_impersonation == ["Authority entity mention (domain mismatch)"]
+    assert report.spam.suspicious_urls == ["http://bit.ly/x"]
+    assert "Missing DKIM signature" in report.spam.header_issues
+
+
+def test_characters_left_out_of_normalisation_are_stable():
+    kept = re.compile(f"[{text._STABLE}]")
+    for code in range(0x110000):
+        ch = chr(code)
+        if kept.match(ch):
+            assert unicodedata.normalize("NFKC", ch) == ch
+            assert unicodedata.combining(ch) == 0

@@ -35,6 +35,8 @@ def header_multimap(headers: DataFrame, *keys: str) -> DataFrame:
 
     Values are first gathered per (message, name), which spreads the headers of
     one message over tasks; the second step merges names within a message.
+    A message's headers are one value of the result, so their size is limited by
+    what the size guard lets in, not here.
     """
     keys = keys or ("message_id",)
     per_name = headers.groupBy(*keys, F.lower("name").alias("name")).agg(

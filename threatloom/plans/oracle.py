@@ -385,8 +385,8 @@ def _member_ctes() -> dict[str, str]:
                {_ext_is("lower(safe_name)", K.DANGEROUS_EXTENSIONS)} AS dangerous,
                {_ext_is("lower(safe_name)", K.ARCHIVE_EXTENSIONS)} AS is_archive,
                {_ext_is("lower(safe_name)", K.SUSPICIOUS_SUFFIXES)} AS suspicious
-        FROM (SELECT *, {_safe_name("name")} AS safe_name, count(*) OVER (PARTITION BY container) AS member_count
-              FROM members) m"""
+        FROM (SELECT r.*, {_safe_name("name")} AS safe_name, c.member_count
+              FROM members r JOIN member_counts c USING (container)) m"""
 
     def scored(source: str, below: str, below_lines: str) -> str:
         nested = f"CASE nested WHEN 'ok' THEN {below} WHEN 'bomb' THEN 5 WHEN 'unreadable' THEN 3 ELSE 0 END"
@@ -503,6 +503,8 @@ def _base_ctes() -> dict[str, str]:
         + ") AS h FROM mail_source) WHERE h.value IS NOT NULL",
         "att": _derived(S.ATTACHMENTS),
         "members": _derived(S.MEMBERS),
+        "member_counts": _derived(S.MEMBER_COUNTS),
+        "member_names": _derived(S.MEMBER_NAMES_SQL),
         "parts": _derived(S.PARTS),
         "obs": _derived(S.OBSERVATIONS),
         "log_lines": _derived(S.LOG_LINES),
@@ -727,7 +729,7 @@ def _queries() -> dict[str, str]:
         "mime_part_cap": """
             SELECT message_id, count(*) AS parts, CAST(sum(size) AS BIGINT) AS size FROM parts
             WHERE pos <= 100 GROUP BY 1""",
-        "part_classify": "SELECT message_id, CAST(pos AS BIGINT) AS pos, kind FROM part_kinds",
+        "part_classify": "SELECT message_id, CAST(pos AS BIGINT) AS pos, kind FROM part_kinds WHERE pos <= 100",
         "body_assemble": """
             SELECT message_id, left(coalesce(string_agg(text, '' ORDER BY pos) FILTER (kind = 'text'), ''), 16384) AS body_text,
                    left(coalesce(string_agg(text, '' ORDER BY pos) FILTER (kind = 'html'), ''), 16384) AS body_html
@@ -740,7 +742,7 @@ def _queries() -> dict[str, str]:
                    size > 26214400 AS truncated FROM att""",
         "filename_sanitize": f"""
             SELECT name, {_safe_name("name")} AS safe_name
-            FROM (SELECT name FROM members UNION ALL SELECT url FROM pages UNION ALL SELECT text FROM documents
+            FROM (SELECT name FROM member_names UNION ALL SELECT url FROM pages UNION ALL SELECT text FROM documents
                   UNION ALL SELECT filename FROM att)""",
         "filename_fallback": f"""
             SELECT message_id, CAST(pos AS BIGINT) AS pos,
@@ -748,7 +750,7 @@ def _queries() -> dict[str, str]:
                      || left(sha256(message_id || ':' || pos), 8)
                      || CASE content_type WHEN 'text/plain' THEN '.txt' WHEN 'text/html' THEN '.html'
                           WHEN 'application/pdf' THEN '.pdf' ELSE '.bin' END END AS filename
-            FROM parts""",
+            FROM parts WHERE pos <= 100""",
         # layer 1
         "subject_features": """
             SELECT message_id, caps AS all_caps, bangs AS many_exclamations, money FROM subj""",
@@ -845,7 +847,7 @@ def _queries() -> dict[str, str]:
                    size_anomalies FROM media_all""",
         "path_traversal": r"""
             SELECT name, regexp_matches(name, '^([/\\]|\pL:)') OR contains(name, '..') AS escapes
-            FROM (SELECT name FROM members UNION ALL SELECT text FROM documents)""",
+            FROM (SELECT name FROM member_names UNION ALL SELECT text FROM documents)""",
         "archive_member_score": """
             SELECT container, CAST(member_pos AS BIGINT) AS member_pos, round(points, 4) AS score, lines AS findings
             FROM mem1""",

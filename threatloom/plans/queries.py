@@ -222,7 +222,7 @@ _PART_COLUMNS = ("content_type", "disposition", "filename", "is_multipart")
 @query
 def part_classify(t: SampleTables) -> DataFrame:
     kind = shaping.part_kind(*(F.col(c) for c in _PART_COLUMNS))
-    return t.parts().select("message_id", F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"))
+    return shaping.cap_parts(t.parts()).select("message_id", F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"))
 
 
 @query
@@ -251,14 +251,14 @@ def attachment_truncate(t: SampleTables) -> DataFrame:
 
 @query
 def filename_sanitize(t: SampleTables) -> DataFrame:
-    named = t.members().select("name").union(t.source("pages").select("url"))
+    named = t.member_names().union(t.source("pages").select("url"))
     longer = named.union(t.source("documents").select("text")).union(t.attachments().select("filename"))
     return longer.select("name", identity.sanitize_filename(F.col("name")).alias("safe_name"))
 
 
 @query
 def filename_fallback(t: SampleTables) -> DataFrame:
-    p = t.parts()
+    p = shaping.cap_parts(t.parts())
     name = identity.fallback_filename(F.col("filename"), F.col("content_type"), F.col("message_id"), F.col("pos"))
     return p.select("message_id", F.col("pos").cast("bigint").alias("pos"), name.alias("filename"))
 
@@ -580,7 +580,7 @@ def media_layer(t: SampleTables) -> DataFrame:
 
 @query
 def path_traversal(t: SampleTables) -> DataFrame:
-    named = t.members().select("name").union(t.source("documents").select("text"))
+    named = t.member_names().union(t.source("documents").select("text"))
     return named.select("name", identity.path_traversal(F.col("name")).alias("escapes"))
 
 

@@ -242,6 +242,14 @@ SELECT archive AS message_id, CAST(1 AS INT) AS pos,
        name, size, linkname, nested
 FROM ({_MEMBER_ROWS}) AS rows_of
 """
+# what a listing job hands on: the first thousand members of each archive
+MEMBERS = f"SELECT * FROM ({MEMBERS}) AS numbered WHERE member_pos <= 1000"
+MEMBER_COUNTS = f"""
+SELECT CASE WHEN parent_pos = 0 THEN archive ELSE archive || '/' || CAST(parent_pos AS STRING) END AS container,
+       count(*) AS member_count
+FROM ({_MEMBER_ROWS}) AS rows_of GROUP BY 1
+"""
+MEMBER_NAMES_SQL = f"SELECT name FROM ({_MEMBER_ROWS}) AS rows_of"
 
 _PART_TYPES = ["text/plain", "text/html", "application/pdf", "multipart/mixed", "text/plain"]
 _DISPOSITIONS = ["", "inline", "attachment; x", "", "", "", ""]
@@ -257,7 +265,6 @@ FROM (
   SELECT 'digest-' || lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INT), doc_id, text
   FROM @documents@
 ) AS raw_parts
-WHERE pos <= 100
 """
 
 OBSERVATIONS = """
@@ -461,9 +468,11 @@ class SampleTables:
 
     def members(self) -> DataFrame:
         """Archive members, numbered within their archive, with the archive's member count."""
-        rows = self.sql(MEMBERS)
-        counts = rows.groupBy("container").agg(F.count("*").alias("member_count"))
-        return rows.join(counts, "container")
+        return self.sql(MEMBERS).join(self.sql(MEMBER_COUNTS), "container")
+
+    def member_names(self) -> DataFrame:
+        """Names of all archive members."""
+        return self.sql(MEMBER_NAMES_SQL)
 
     def parts(self) -> DataFrame:
         """MIME parts of conversations (one part a turn) and language digests (one part a document)."""
