@@ -635,7 +635,7 @@ def _zip_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _zips(t: SampleTables) -> DataFrame:
-    return t.source("documents").select("doc_id", "text").mapInPandas(_zip_up, _ZIP_SCHEMA)
+    return t.spread(t.source("documents").select("doc_id", "text")).mapInPandas(_zip_up, _ZIP_SCHEMA)
 
 
 @query

@@ -434,7 +434,7 @@ class SampleTables:
         """A source table as it is."""
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _spread(self, df: DataFrame) -> DataFrame:
+    def spread(self, df: DataFrame) -> DataFrame:
         """Deal the rows of small local files over all cores.
 
         A small file is one task.  Text scoring is heavy per row, so samples
@@ -448,7 +448,7 @@ class SampleTables:
 
     def mail(self) -> DataFrame:
         """Messages without headers."""
-        source = self._spread(self.sql(MAIL_SOURCE))
+        source = self.spread(self.sql(MAIL_SOURCE))
         return self.spark.sql(render(MAIL_ROWS, "spark", {"mail_source": "{src}"}), src=source)
 
     def emails(self) -> DataFrame:
