@@ -33,19 +33,16 @@ def header_map(entries: Column) -> Column:
 def header_multimap(headers: DataFrame, *keys: str) -> DataFrame:
     """(keys, headers): lower-cased names, repeated ones listed in order.
 
-    Values are first gathered per (message, name), which spreads the headers of
-    one message over tasks; the second step merges names within a message.
-    A message's headers are one value of the result, so their size is limited by
+    One shuffle by message; names are grouped on the row that results.  A
+    message's headers are one value of the result, so their size is limited by
     what the size guard lets in, not here.
     """
     keys = keys or ("message_id",)
-    per_name = headers.groupBy(*keys, F.lower("name").alias("name")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("found")
-    )
-    return per_name.groupBy(*keys).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.col("name"), F.col("found.value").alias("values")))
-        ).alias("headers")
+    entries = F.array_sort(F.collect_list(F.struct("pos", "name", "value")))
+    return (
+        headers.groupBy(*keys)
+        .agg(entries.alias("_entries"))
+        .select(*keys, header_map(F.col("_entries")).alias("headers"))
     )
 
 
