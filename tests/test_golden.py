@@ -211,6 +211,7 @@ def test_redact_email(spark, given, wanted):
         ("/services/T/B/tok", "/services/T/B/[REDACTED]"),
         ("https://x.example/?a=%zz&KEY=1&a=b+c", "https://x.example/?a=%25zz&a=b+c&KEY=%5BREDACTED%5D"),
         ("http://bad[host/?token=1", "http://bad[host/?token=1"),
+        ("http://bit.ly／x?token=1", "http://bit.ly／x?token=1"),
         ("", ""),
     ],
 )

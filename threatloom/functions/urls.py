@@ -6,6 +6,8 @@ and fragment.  Texts with unbalanced brackets in the authority do not parse.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +20,20 @@ _HAS_AUTHORITY = r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 _BRACKET_HOST = r"\A(?:[^\[\]]*@)?\[([0-9A-Fa-f:.]+)\](?::[^\[\]]*)?\z"
 
 
+# characters that compatibility normalisation turns into a separator; an
+# authority that holds one does not parse.  All of them lie in the first plane.
+_LOOKALIKES = "".join(
+    chr(c) for c in range(0x80, 0x10000) if set(unicodedata.normalize("NFKC", chr(c))) & set("/?#@:")
+)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _SPLIT, group)
 
 
 def _authority_ok(authority: Column) -> Column:
-    return ~authority.rlike(r"[\[\]]") | authority.rlike(_BRACKET_HOST)
+    balanced = ~authority.rlike(r"[\[\]]") | authority.rlike(_BRACKET_HOST)
+    return balanced & ~authority.rlike(f"[{_LOOKALIKES}]")
 
 
 def _host(authority: Column) -> Column:
