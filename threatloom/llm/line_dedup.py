@@ -171,7 +171,7 @@ def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFra
 
 def pack_bitmap(dropped: list[int]) -> bytes:
     """Compressed bits up to the last dropped line: 1 keeps the line, as does every line after them."""
-    keep = np.ones(max(dropped) + 1, np.uint8)
+    keep = np.ones(-(-(max(dropped) + 1) // 8) * 8, np.uint8)
     keep[dropped] = 0
     return zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 6)
 

@@ -39,7 +39,7 @@ class QualityParams:
     orders: tuple[int, ...] = (3,)
     target_rows: int = 20_000
     smoothing: float = 0.5
-    threshold: float = -0.12
+    threshold: float = -0.25
     min_words: int = 50
     max_repeat_percent: int = 50
 
