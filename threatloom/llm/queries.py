@@ -5,20 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from threatloom.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
+from pyspark.sql import functions as F
+
+from threatloom.llm import (
+    chat,
+    decontaminate,
+    jaccard_join,
+    licenses,
+    line_dedup,
+    packing,
+    quality_gam,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
+# fixed value: what both turns of conversation -1 say
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_gam.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(CONTROL_TEXT).alias("text"))
+    return chat.read_back(chat.placed_turns(turns.unionByName(probe)))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_report(table(spark, folder, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, folder, "pages"), ["page_id"])
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return line_dedup.cleaned_digests(docs, line_dedup.keep_bitmaps(docs, line_dedup.LineParams()))
@@ -41,4 +78,16 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def registry() -> dict[str, Query]:
     """All queries by name."""
-    return {f.__name__: f for f in (op2_decontaminate, op7_line_dedup, op8_jaccard_join, op9_packing, op10_quality_rules)}
+    found = (
+        op1_quality_classifier,
+        op2_decontaminate,
+        op3_chat_format,
+        op4_toxicity,
+        op5_license_scan,
+        op6_url_filter,
+        op7_line_dedup,
+        op8_jaccard_join,
+        op9_packing,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
