@@ -109,11 +109,13 @@ def _instances(size: int, params: JoinParams) -> tuple[Instance, ...]:
         band += 1
     p = params.percent
     found = [(2 * band, 2 * _upper(band, params), _upper(band, params))]
-    for edge in (band - 1, band):
-        # smaller set within the band that ends here, larger set beyond it
-        end = _upper(edge, params) if edge >= 0 else 0
-        if edge >= 0 and 100 * size >= p * (end + 1) and p * size <= 100 * end:
+    # the smaller set lies in the band that ends here, the larger one beyond its end
+    ends = [(e, _upper(e, params)) for e in range(band + 1)]
+    for edge, end in ends[:-1]:
+        if p * size <= 100 * end:
             found.append((2 * edge + 1, end + 100 * end // p, end))
+    if 100 * size >= p * (ends[-1][1] + 1):
+        found.append((2 * band + 1, ends[-1][1] + 100 * ends[-1][1] // p, ends[-1][1]))
     made = []
     for number, both, end in found:
         k = (100 - p) * both // (100 + p)

@@ -151,7 +151,7 @@ class Gam:
     def margins(self, rows: np.ndarray) -> np.ndarray:
         """Sums of table entries, all rows at once."""
         total = np.full(len(rows), self.constant)
-        for table, place in zip(self.tables, self._binned(rows, self.cuts), strict=True):
+        for table, place in zip(self.tables, self._binned(rows, self.cuts) if self.tables else [], strict=True):
             total += table[place]
         coarse = self._binned(rows, self.pair_cuts) if self.pairs else []
         for (i, j), table in zip(self.pairs, self.pair_tables, strict=True):

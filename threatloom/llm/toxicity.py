@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Fitting reads a bounded sample of labelled documents.  Their words are compared
-between toxic and other examples; words whose frequencies differ clearly become
-terms.  Terms are weighed by their document frequency in the whole corpus.  The
-examples form an inverted index cut into blocks of examples, with each term's
+Fitting reads a bounded sample of labelled documents.  What counts are words, how
+they begin, and whether the same occurs twice; what toxic examples have clearly
+more often than other examples becomes a term.  Terms are weighed by their
+document frequency in the whole corpus.  The examples form an inverted index cut into blocks of examples, with each term's
 largest weight in each block.  A query sums these for an upper bound per block
 and reads blocks from the highest bound down, until no further block can hold
 anything nearer than the neighbours it has: the result is exact.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from threatloom.llm.batches import Texts, bounded_sample, byte_texts, quoted, remainder, with_struct
 from threatloom.llm.licenses import license_words as words_of
+from threatloom.session import stored
 
 HELD_OUT_OF, HELD_OUT_IS = 5, 0
 FIELDS = "score double, vote double, neighbours array<bigint>, terms array<string>"
@@ -39,21 +40,74 @@ FIELDS = "score double, vote double, neighbours array<bigint>, terms array<strin
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``examples`` bounds the labelled sample; a term's frequencies differ by ``least_z`` deviations at least."""
+    """``examples`` bounds the labelled sample; a term's shares differ by ``least_z`` deviations at least."""
 
     examples: int = 8192
     least_docs: int = 8
     least_z: float = 6.0
-    most_terms: int = 4096
     neighbours: int = 15
     block: int = 64
 
 
+PREFIXES = (4, 5, 6, 7)
+TWICE = "+"
+
+
+def pieces(word: str) -> list[str]:
+    """A word and its beginnings."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+
+
+def text_words(text: bytes) -> list[str]:
+    return [w.decode() for w in words_of(text)]
+
+
+def all_terms(text: bytes) -> set[str]:
+    """Every piece of a text, and once more with a mark if it occurs twice."""
+    counts = Counter(piece for word in text_words(text) for piece in pieces(word))
+    return {*counts, *(piece + TWICE for piece, n in counts.items() if n > 1)}
+
+
+class Vocabulary:
+    """Finds given terms in texts; remembers a bounded number of words."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms = terms
+        bases = sorted({t.removesuffix(TWICE) for t in terms})
+        self.base = {b: i for i, b in enumerate(bases)}
+        place = {t: i for i, t in enumerate(terms)}
+        self.once = [place.get(b, -1) for b in bases]
+        self.twice = [place.get(b + TWICE, -1) for b in bases]
+        self.seen: dict[bytes, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "seen": {}}
+
+    def _bases(self, word: bytes) -> tuple[int, ...]:
+        if len(self.seen) > 300_000:
+            self.seen.clear()
+        found = tuple(self.base[p] for p in pieces(word.decode()) if p in self.base)
+        self.seen[word] = found
+        return found
+
+    def counts(self, text: bytes) -> tuple[list[int], list[int]]:
+        """The text's terms in order, and how often each occurs."""
+        seen, tally = self.seen, Counter()
+        for word, n in Counter(words_of(text)).items():
+            found = seen.get(word)
+            for base in self._bases(word) if found is None else found:
+                tally[base] += n
+        own = {self.once[b]: n for b, n in tally.items()} | {self.twice[b]: n for b, n in tally.items() if n > 1}
+        own.pop(-1, None)
+        order = sorted(own)
+        return order, [own[t] for t in order]
+
+
 @dataclass
 class Index:
     """Inverted index over the examples, in blocks, with the largest weight of each term in each block."""
 
-    terms: list[bytes]
+    vocabulary: Vocabulary
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
@@ -62,14 +116,11 @@ class Index:
     params: ToxicityParams
     prior: float = 0.5
     curve: tuple[float, float] = (1.0, 0.0)
-    place: dict[bytes, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.place = {t: i for i, t in enumerate(self.terms)}
 
     @classmethod
-    def of(cls, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], params: ToxicityParams) -> Index:
+    def of(cls, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple], params: ToxicityParams) -> Index:
         """``examples`` are (id, label, terms, counts)."""
+        terms = vocabulary.terms
         blocks = -(-len(examples) // params.block)
         most = np.zeros((len(terms), blocks))
         lists: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in terms]
@@ -81,7 +132,7 @@ class Index:
                 most[term, n // params.block] = max(most[term, n // params.block], weight)
         postings = [{b: (np.array(p), np.array(w)) for b, (p, w) in found.items()} for found in lists]
         labels = np.array([e[1] for e in examples], float)
-        index = cls(terms, idf, labels, np.array([e[0] for e in examples], np.int64), postings, most, params)
+        index = cls(vocabulary, idf, labels, np.array([e[0] for e in examples], np.int64), postings, most, params)
         bare = [e[1] for e in examples if not e[2]] or labels.tolist()
         index.prior = (sum(bare) + 0.5) / (len(bare) + 1)
         if 0 < labels.sum() < len(labels):
@@ -89,13 +140,6 @@ class Index:
             index.curve = logistic(votes, labels)
         return index
 
-    def vector(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Terms of a text and how often each occurs."""
-        place = self.place
-        counts = Counter(place[w] for w in words_of(text) if w in place)
-        own = sorted(counts)
-        return own, [counts[t] for t in own]
-
     def nearest(self, own: list[int], counts: list[int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples, nearest first; exact."""
         weights = unit(own, counts, self.idf)
@@ -167,43 +211,44 @@ def labelled_sample(labels: DataFrame, params: ToxicityParams) -> DataFrame:
     return bounded_sample(rows, "doc_id", params.examples)
 
 
-def telling_terms(examples: DataFrame, params: ToxicityParams) -> list[bytes]:
-    """Words whose share of examples differs clearly between toxic and other ones."""
+def telling_terms(examples: DataFrame, params: ToxicityParams) -> list[str]:
+    """Terms that a clearly larger share of toxic examples has than of other ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        having: tuple[Counter, Counter] = (Counter(), Counter())
+        having: Counter = Counter()
         for batch in batches:
-            for text, toxic in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                having[toxic].update(set(words_of(text)))
-        words = list(having[0].keys() | having[1].keys())
-        columns = [pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in having)]
-        yield pa.RecordBatch.from_arrays(columns, names=["word", "other", "toxic"])
-
-    totals = examples.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    n_toxic, n_other = totals[0] or 0, (totals[1] or 0) - (totals[0] or 0)
-    if not n_toxic or not n_other:
+            for text in byte_texts(batch.column(0)):
+                having.update(all_terms(text))
+        columns = [pa.array(list(having), pa.string()), pa.array(list(having.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "docs"])
+
+    toxic = examples.where("toxic = 1")
+    counted = toxic.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, docs bigint")
+    common = counted.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= params.least_docs)
+    # of a bounded sample, these too are few
+    found = sorted((r["term"], r["docs"]) for r in common.collect())
+    if not found:
+        return []
+    terms, with_it = [t for t, _ in found], np.array([n for _, n in found], float)
+    n_toxic = toxic.count()
+    others, n_other = term_frequencies(examples.where("toxic = 0"), terms)
+    if not n_other:
         return []
-    rows = examples.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    words = rows.mapInArrow(run, "word binary, other bigint, toxic bigint")
-    words = words.groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    share = (F.col("toxic") + F.col("other")) / (n_toxic + n_other)
-    apart = F.col("toxic") / n_toxic - F.col("other") / n_other
-    z = F.abs(apart) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
-    clear = words.where((F.col("toxic") + F.col("other") >= params.least_docs) & (z >= params.least_z))
-    chosen = clear.orderBy(z.desc(), "word").limit(params.most_terms).collect()
-    return sorted(bytes(r["word"]) for r in chosen)
+    share = (with_it + others) / (n_toxic + n_other)
+    apart = with_it / n_toxic - others / n_other
+    deviation = np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
+    return [t for t, a, d in zip(terms, apart, deviation, strict=True) if a >= params.least_z * d and a > 0]
 
 
-def term_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
-    """In how many documents of the corpus each term occurs, and their number."""
+def term_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """In how many documents each term occurs, and the number of documents."""
+    vocabulary = Vocabulary(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {t: i for i, t in enumerate(terms)}
         having, read = np.zeros(len(terms) + 1, np.int64), 0
         for batch in batches:
             for text in byte_texts(batch.column(0)):
-                for word in place.keys() & set(words_of(text)):
-                    having[place[word]] += 1
+                having[vocabulary.counts(text)[0]] += 1
             read += batch.num_rows
         having[-1] = read
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(having))), pa.array(having)], names=["term", "docs"])
@@ -216,21 +261,18 @@ def term_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, i
 def fit_index(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> Index:
     """The index over a bounded, labelled sample; only ids, labels and term counts of the sample reach the driver."""
     sample = F.broadcast(labelled_sample(labels, params))
-    examples = docs.select("doc_id", "text").join(sample, "doc_id")
-    terms = telling_terms(examples, params)
-    having, total = term_frequencies(docs, terms)
+    examples = docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
+    examples = stored(examples, "toxicity-examples")
+    vocabulary = Vocabulary(telling_terms(examples, params))
+    having, total = term_frequencies(docs, vocabulary.terms)
     idf = np.log((1 + total) / (1 + having)) + 1
-    bare = Index(terms, idf, np.zeros(0), np.zeros(0, np.int64), [], np.zeros((len(terms), 0)), params)
 
     def make():
-        def count(texts: Texts) -> list:
-            return list(zip(*(bare.vector(t) for t in texts), strict=True)) or [[], []]
-
-        return count
+        return lambda texts: list(zip(*map(vocabulary.counts, texts), strict=True)) or [[], []]
 
     counted, name = with_struct(examples, "text", "terms array<int>, counts array<int>", make, ["doc_id", "toxic"])
-    rows = counted.select("doc_id", "toxic", f"{name}.*").dropDuplicates(["doc_id"]).collect()
-    return Index.of(terms, idf, sorted((r[0], r[1], list(r[2]), list(r[3])) for r in rows), params)
+    rows = counted.select("doc_id", "toxic", f"{name}.*").collect()
+    return Index.of(vocabulary, idf, sorted((r[0], r[1], list(r[2]), list(r[3])) for r in rows), params)
 
 
 def score_toxicity(docs: DataFrame, index: Index, keep: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -240,9 +282,9 @@ def score_toxicity(docs: DataFrame, index: Index, keep: list[str] | None = None)
         def score(texts: Texts) -> list:
             rows = []
             for text in texts:
-                own, counts = index.vector(text)
+                own, counts = index.vocabulary.counts(text)
                 vote, places = index.vote(own, counts)
-                names = [index.terms[t].decode() for t in own if index.has_any(t, places.tolist())]
+                names = [index.vocabulary.terms[t] for t in own if index.has_any(t, places.tolist())]
                 rows.append((index.score(vote), vote, index.ids[places].tolist(), names))
             return list(zip(*rows, strict=True)) if rows else [[]] * 4
 
