@@ -26,14 +26,14 @@ def test_against_all_pairs(spark, words, percent):
 
 
 def test_large_group_of_near_copies(spark):
-    """Pivots are compared a few at a time; chains of links still end in one component."""
+    """Members are compared by their differences from the centre; chains of links still end in one component."""
     base, texts = prose(7, 120, 10_000), []
     for i in range(90):
         changed = list(base)
         for k in range(6):
             changed[(i * 2 + k) % 120] = f"c{i}_{k}"
         texts.append(" ".join(changed))
-    params = J.JoinParams(words=3, percent=80, pivots=4)
+    params = J.JoinParams(words=3, percent=80, large=8)
     assert found(documents(spark, texts), params) == components(dict(enumerate(texts)), 3, 80)
 
 
@@ -80,3 +80,28 @@ def test_empty_table(spark):
     docs = documents(spark, []).limit(0)
     assert J.join_components(docs).count() == 0
     assert J.without_near_duplicates(docs).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_of_every_kind_of_edit(spark, seed):
+    """Shared, own, inserted and deleted words, and families within the family."""
+    r = np.random.RandomState(seed)
+    base, texts = prose(seed + 40, 90, 10_000), []
+    sides = [edited(base, 500 + k, 3) for k in range(4)]
+    for i in range(70):
+        tokens = list(sides[r.randint(4)] if r.rand() < 0.6 else base)
+        for _ in range(r.randint(0, 5)):
+            at = r.randint(len(tokens))
+            kind = r.randint(4)
+            if kind == 0:
+                tokens[at] = f"own{i}_{r.randint(9)}"
+            elif kind == 1:
+                tokens.insert(at, f"new{r.randint(3)}")
+            elif kind == 2:
+                del tokens[at : at + r.randint(1, 6)]
+            else:
+                tokens[r.randint(5) * 9] = f"common{r.randint(2)}"
+        texts.append(" ".join(tokens))
+    expected = components(dict(enumerate(texts)), 3, 80)
+    for large in (3, 20):
+        assert found(documents(spark, texts), J.JoinParams(words=3, percent=80, large=large)) == expected

@@ -15,10 +15,13 @@ of distinct word shingles.  Equal sets form a class, and classes are compared:
   the higher bar still proves a common signature, which the other keeps too.
 
 Classes with a common signature are compared with the first of them, exactly,
-on whole texts; what is linked is contracted to components, and only classes in
-different components are compared further, a few pivots at a time.  So a group
-of near copies costs as many comparisons as it has members, no pair is lost
-that would join two components, and nothing is capped.
+on whole texts; what links is contracted to components.  Where a group still
+holds several components, its pairs across components are compared if the group
+is small.  Large groups, which near copies of one text make, are joined to
+clusters, and each member is described by how it differs from what most of its
+cluster have: differences are few and mostly its own, so an exact join on them
+needs about as many comparisons as there are members.  No pair is lost that would
+join two components, and nothing is capped.
 
 Null, empty and blank texts have no shingles and link with nothing.  Repeated
 rows fall into one class.  A null id takes part in links but is never the
@@ -52,11 +55,11 @@ BUCKETS = 128
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Link at ``percent`` of shared shingles; ``pivots`` classes of a group are compared at a time."""
+    """Link at ``percent`` of shared shingles; in groups of at most ``large`` classes all components are compared."""
 
     words: int = 5
     percent: int = 80
-    pivots: int = 16
+    large: int = 64
     band_ratio: float = 1.5
     small_set: int = 64
     slack: float = 1.35
@@ -273,18 +276,108 @@ def linked(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
-def _open_groups(groups: DataFrame, labels: DataFrame, params: JoinParams) -> DataFrame:
-    """(sig, cid, comp, rank): members of groups that still hold several components.
+def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, cid, comp, members): the members of groups that still hold several components."""
+    rows = groups.select("sig", "cid").union(groups.select("sig", F.col("pivot").alias("cid"))).distinct()
+    named = rows.join(labels, "cid").select("sig", "cid", "comp")
+    mixed = named.groupBy("sig").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), F.count("cid").alias("members"))
+    return named.join(mixed.where("one <> two").select("sig", "members"), "sig")
 
-    Members outside the largest component of their group come first; the
-    first few of them are the next pivots.
+
+def _pairs_of_small_groups(small: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within groups of a bounded size, unless one cluster holds both."""
+    named = small.join(clusters, "cid", "left").select("sig", "cid", "comp", F.coalesce("cluster", "cid").alias("cluster"))
+    a, b = named.alias("a"), named.alias("b")
+    apart = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.cluster") != F.col("b.cluster"))
+    same = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid"))
+    return a.join(b, same & apart).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+
+
+def _differences(clusters: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
+    """(cluster, cid, n, added, removed): how each member differs from what most of its cluster have.
+
+    The shingles of more than half of a cluster's members are its centre, which
+    is thus at most twice as large as a member is on average.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, params.words).view(np.int64) for t in byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["cluster", "own"])
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            added, removed = [], []
+            for text, centre in zip(byte_texts(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+                own = shingle_set(text, params.words).view(np.int64)
+                centre = np.array(centre or [], np.int64)
+                added.append(np.setdiff1d(own, centre))
+                removed.append(np.setdiff1d(centre, own))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (added, removed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["cluster", "cid", "n", "added", "removed"])
+
+    members = clusters.join(texts.select("cid", "n", "text"), "cid").select("cluster", "cid", "n", "text")
+    own = members.select("cluster", "text").mapInArrow(sets, "cluster bigint, own array<bigint>")
+    having = own.select("cluster", F.explode("own").alias("h")).groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("having"))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    most = having.join(sizes, "cluster").where(F.col("having") * 2 > F.col("members"))
+    centres = most.groupBy("cluster").agg(F.collect_list("h").alias("centre"))
+    rows = members.join(centres, "cluster", "left").select("cluster", "cid", "n", "text", "centre")
+    schema = "cluster bigint, cid bigint, n bigint, added array<bigint>, removed array<bigint>"
+    return stored(rows.mapInArrow(against, schema), "differences")
+
+
+def _pairs_of_clusters(clusters: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs (a, b) that connect whatever links within large clusters; about as many as there are members.
+
+    Two members differ in what their differences from the centre do not share.
+    With d differences and n shingles let u = (100 + percent) d - (100 - percent) n;
+    they link just if u + u' <= 2 (100 + percent) shared.  The hub has the least
+    u.  Whoever has u + u(hub) <= 0 links with the hub, and so do both ends of a
+    link that needs nothing shared.  Every other member must share some of its
+    differences with its partner, and at most its removed shingles are shared
+    removals: so it needs a number of added ones, or else of any.  Looking up its
+    rarest differences but that number finds all partners.
     """
-    named = groups.join(labels, "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp"))
-    sizes = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("sig").agg(F.max(F.struct("members", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-    main = main.where("comps > 1").select("sig", F.col("most.comp").alias("main"))
-    order = Window.partitionBy("sig").orderBy(F.col("comp") == F.col("main"), "cid")
-    return named.join(main, "sig").select("sig", "cid", "comp", F.row_number().over(order).alias("rank"))
+    scale, part = 100 + params.percent, 100 - params.percent
+    rows = _differences(clusters, texts, params)
+    a, r = F.size("added"), F.size("removed")
+    rows = rows.withColumn("u", (a + r) * scale - F.col("n") * part)
+    hubs = rows.groupBy("cluster").agg(
+        F.min("u").alias("least_u"), F.min(F.col("u") - r * (2 * scale)).alias("least_v"), F.min(F.struct("u", "cid")).alias("hub")
+    )
+    rows = rows.join(hubs, "cluster").withColumn("central", F.col("u") + F.col("least_u") <= 0)
+    star = rows.where(F.col("central") & (F.col("cid") != F.col("hub.cid"))).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))
+    # how many added ones, or differences of any kind, a partner must share
+    need_added = F.ceil(F.greatest(F.col("u") + F.col("least_v"), F.col("u") - r * (2 * scale) + F.col("least_u")) / (2 * scale))
+    need_any = F.ceil((F.col("u") + F.col("least_u")) / (2 * scale))
+    by_added = need_added >= 1
+    outer = rows.select(
+        "cluster",
+        "cid",
+        F.when(by_added, F.col("added")).otherwise(F.concat("added", "removed")).alias("own"),
+        F.when(by_added, a - need_added + 1).otherwise(a + r - need_any + 1).alias("looked_up"),
+        "central",
+    ).where(~F.col("central") & (F.col("looked_up") >= 1))
+    index = rows.select("cluster", "cid", F.explode(F.concat("added", "removed")).alias("h"))
+    index = stored(index, "difference-index")
+    often = index.groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("having"))
+    order = Window.partitionBy("cluster", "cid").orderBy("having", "h")
+    probes = outer.select("cluster", "cid", "looked_up", F.explode("own").alias("h")).join(often, ["cluster", "h"])
+    probes = probes.withColumn("rank", F.row_number().over(order)).where("rank <= looked_up and having > 1")
+    x, y = probes.alias("x"), index.alias("y")
+    shared = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.cid") != F.col("y.cid"))
+    pairs = x.join(y, shared).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+    return star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: the components they connect are contracted."""
+    one, two = labels.toDF("a", "a_comp"), labels.toDF("b", "b_comp")
+    between = links.join(one, "a").join(two, "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    step = component_labels(between).toDF("comp", "next")
+    merged = labels.join(step, "comp", "left").select("cid", F.coalesce("next", "comp").alias("comp"))
+    return stored(merged, "labels")
 
 
 def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -292,27 +385,23 @@ def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     known = stored(classes(docs, params), "classes")
     groups = stored(signature_groups(signature_rows(docs, params)), "signature-groups")
     wanted = groups.select("cid").union(groups.select(F.col("pivot").alias("cid"))).distinct()
+    wanted = stored(wanted, "candidate-classes")
     texts = stored(class_texts(docs, known, wanted, params), "class-texts")
     tested = stored(groups.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "candidates")
     links = stored(linked(stored(near(tested, texts, params), "near"), texts, params), "links")
-    labels = component_labels(links)
-    # the first pivots are done with; what remains of each group
-    rest = groups.select("sig", "cid").distinct()
-    while True:
-        ranked = stored(_open_groups(rest, labels, params), "open-groups")
-        if ranked.isEmpty():
-            break
-        pivots = ranked.where(F.col("rank") <= params.pivots)
-        a, b = pivots.alias("a"), ranked.alias("b")
-        pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")))
-        pairs = pairs.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
-        new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = tested.union(new)
-        more = stored(linked(stored(near(new, texts, params), "near"), texts, params), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = component_labels(links)
-        rest = ranked.where(F.col("rank") > params.pivots).select("sig", "cid")
+    labels = _merged(wanted.select("cid", F.col("cid").alias("comp")), links)
+    still = stored(_open_groups(groups, labels), "open-groups")
+    large = still.where(F.col("members") > params.large)
+    # groups with common members are one cluster
+    firsts = Window.partitionBy("sig").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chains = large.select(F.first("cid").over(firsts).alias("a"), F.col("cid").alias("b"))
+    clusters = stored(component_labels(chains).toDF("cid", "cluster"), "clusters")
+    small = still.where(F.col("members") <= params.large)
+    pairs = _pairs_of_small_groups(small, clusters)
+    if not clusters.isEmpty():
+        pairs = pairs.union(_pairs_of_clusters(clusters, texts, params)).distinct()
+    new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+    labels = _merged(labels, linked(stored(near(new, texts, params), "near"), texts, params))
     return _named(known, labels)
 
 
