@@ -341,33 +341,47 @@ def _pairs_of_clusters(clusters: DataFrame, texts: DataFrame, params: JoinParams
     """
     scale, part = 100 + params.percent, 100 - params.percent
     rows = _differences(clusters, texts, params)
-    a, r = F.size("added"), F.size("removed")
-    rows = rows.withColumn("u", (a + r) * scale - F.col("n") * part)
-    hubs = rows.groupBy("cluster").agg(
-        F.min("u").alias("least_u"), F.min(F.col("u") - r * (2 * scale)).alias("least_v"), F.min(F.struct("u", "cid")).alias("hub")
-    )
-    rows = rows.join(hubs, "cluster").withColumn("central", F.col("u") + F.col("least_u") <= 0)
-    star = rows.where(F.col("central") & (F.col("cid") != F.col("hub.cid"))).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))
+    rows = rows.withColumns({"a": F.size("added").cast("bigint"), "r": F.size("removed").cast("bigint")})
+    rows = rows.withColumn("u", (F.col("a") + F.col("r")) * scale - F.col("n") * part)
+    hubs = rows.groupBy("cluster").agg(F.min("u").alias("least_u"), F.min_by("cid", F.struct("u", "cid")).alias("hub"))
+    # the least that u' - 2 scale min(r, r') comes to: partners with as few removals or fewer, and with more
+    by_removed = rows.groupBy("cluster", "r").agg(F.min("u").alias("u"))
+    fewer = Window.partitionBy("cluster").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    more = Window.partitionBy("cluster").orderBy("r").rowsBetween(1, Window.unboundedFollowing)
+    own_removed = F.col("r") * (2 * scale)
+    least = F.least(F.min(F.col("u") - own_removed).over(fewer), F.min("u").over(more) - own_removed)
+    bounds = by_removed.select("cluster", "r", least.alias("least_v"))
+    rows = rows.join(hubs, "cluster").join(bounds, ["cluster", "r"])
+    central = F.col("u") + F.col("least_u") <= 0
+    star = rows.where(central & (F.col("cid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     # how many added ones, or differences of any kind, a partner must share
-    need_added = F.ceil(F.greatest(F.col("u") + F.col("least_v"), F.col("u") - r * (2 * scale) + F.col("least_u")) / (2 * scale))
+    need_added = F.ceil((F.col("u") + F.col("least_v")) / (2 * scale))
     need_any = F.ceil((F.col("u") + F.col("least_u")) / (2 * scale))
     by_added = need_added >= 1
-    outer = rows.select(
+    outer = rows.where(~central).select(
         "cluster",
         "cid",
+        *("a", "r", "u"),
+        by_added.alias("by_added"),
         F.when(by_added, F.col("added")).otherwise(F.concat("added", "removed")).alias("own"),
-        F.when(by_added, a - need_added + 1).otherwise(a + r - need_any + 1).alias("looked_up"),
-        "central",
-    ).where(~F.col("central") & (F.col("looked_up") >= 1))
-    index = rows.select("cluster", "cid", F.explode(F.concat("added", "removed")).alias("h"))
+        F.when(by_added, F.col("a") - need_added + 1).otherwise(F.col("a") + F.col("r") - need_any + 1).alias("looked_up"),
+    )
+    index = rows.select("cluster", "cid", *("a", "r", "u"), F.explode(F.concat("added", "removed")).alias("h"))
     index = stored(index, "difference-index")
     often = index.groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("having"))
     order = Window.partitionBy("cluster", "cid").orderBy("having", "h")
-    probes = outer.select("cluster", "cid", "looked_up", F.explode("own").alias("h")).join(often, ["cluster", "h"])
-    probes = probes.withColumn("rank", F.row_number().over(order)).where("rank <= looked_up and having > 1")
-    x, y = probes.alias("x"), index.alias("y")
+    probes = outer.where("looked_up >= 1").withColumn("size", F.size("own")).withColumn("h", F.explode("own")).drop("own")
+    probes = probes.join(often, ["cluster", "h"]).withColumn("rank", F.row_number().over(order))
+    x, y = probes.where("rank <= looked_up and having > 1").alias("x"), index.alias("y")
     shared = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.cid") != F.col("y.cid"))
-    pairs = x.join(y, shared).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+    # of a pair's first common difference, what is left must hold all they have to share
+    left = F.col("x.size") - F.col("x.rank") + 1
+    any_shared = (F.col("x.u") + F.col("y.u")) / (2 * scale)
+    added_shared = any_shared - F.least("x.r", "y.r")
+    enough = F.when(F.col("x.by_added"), added_shared <= F.least(left, F.col("y.a"))).otherwise(
+        any_shared <= F.least(left, F.col("y.a") + F.col("y.r"))
+    )
+    pairs = x.join(y, shared & enough).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
     return star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs).distinct()
 
 
