@@ -8,6 +8,8 @@ EMAIL_SCHEMA = (
 )
 ATTACHMENT_SCHEMA = T.StructType(
     [
+        T.StructField("account_email", T.StringType()),
+        T.StructField("folder", T.StringType()),
         T.StructField("message_id", T.StringType()),
         T.StructField("pos", T.IntegerType()),
         T.StructField("filename", T.StringType()),
@@ -46,4 +48,4 @@ def emails(spark, *rows):
 
 def attachments(spark, *rows):
     """(message_id, pos, filename, size, head) tuples."""
-    return spark.createDataFrame([(*r, False) for r in rows], ATTACHMENT_SCHEMA)
+    return spark.createDataFrame([("a@example.com", "INBOX", *r, False) for r in rows], ATTACHMENT_SCHEMA)

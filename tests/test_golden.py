@@ -270,7 +270,7 @@ def test_sanitize_filename(spark, given, wanted):
         ("ﬁne ｅｘｅ", "fine exe"),
         ("é", "é"),
         ("a‮b​c\td", "abc\td"),
-        ("x" * 300, "x" * 255 + "..."),
+        ("x" * 300, "x" * 300),
         ("", ""),
     ],
 )
@@ -278,6 +278,10 @@ def test_sanitize_log(spark, given, wanted):
     assert value(spark, text.sanitize_log, given) == wanted
 
 
+def test_sanitize_log_cut(spark):
+    assert value(spark, lambda c: text.sanitize_log(c, 255), "x" * 300) == "x" * 255 + "..."
+
+
 @pytest.mark.parametrize(
     ("given", "wanted"),
     [("=1", "'=1"), ("  +1", "'  +1"), ("\tx", "'\tx"), ("|x", "'|x"), ("x=1", "x=1"), (" @x", "' @x")],

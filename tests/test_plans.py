@@ -5,6 +5,7 @@ import re
 import pytest
 
 from threatloom.operators import attachments, fusion, language, metrics, scans, spam
+from threatloom.params import Params
 from threatloom.plans.queries import registry
 from threatloom.sources.sample_tables import SampleTables
 
@@ -35,15 +36,17 @@ def test_text_layers_are_narrow(tables):
 def test_report_does_not_shuffle_bodies(tables):
     text = plan(fusion.threat_report(tables.emails(), tables.attachments()))
     for line in text.split("\n"):
-        if "hashpartitioning(message_id" in line:
+        if "hashpartitioning(account_email" in line:
             assert "body_text" not in line
     assert "CartesianProduct" not in text
     assert "NestedLoop" not in text
 
 
-def test_attachments_are_capped_before_the_shuffle(tables):
-    assert "WindowGroupLimit" in plan(tables.attachments())
+def test_part_cap_is_taken_before_the_shuffle(tables):
     assert "Python" not in plan(attachments.media_scores(tables.attachments()))
+    capped = plan(attachments.gather(tables.attachments(), "size", params=Params(max_parts=3)))
+    assert "pos" in capped and "<= 3" in capped
+    assert "<= " not in plan(attachments.gather(tables.attachments(), "size")).split("ReadSchema")[0]
 
 
 def test_folder_ranks_are_cut_on_the_map_side(tables):

@@ -5,19 +5,20 @@ import random
 from pyspark.sql import functions as F
 
 from tests.helpers import ATTACHMENT_SCHEMA
-from threatloom.operators import archives, attachments, metrics, scans, shaping
+from threatloom.operators import archives, attachments, language, metrics, scans, shaping
 from threatloom.params import Params
 
 
 def test_hot_message_attachments(spark):
     rng = random.Random(1)
     sizes = [rng.randint(1, 60) for _ in range(3000)]
-    rows = [("hot", i, f"f{i}.exe", s, None, False) for i, s in enumerate(sizes, start=1)]
-    rows += [(f"m{k}", 1, "a.txt", 5, None, False) for k in range(3000)]
+    box = ("a@example.com", "INBOX")
+    rows = [(*box, "hot", i, f"f{i}.exe", s, None, False) for i, s in enumerate(sizes, start=1)]
+    rows += [(*box, f"m{k}", 1, "a.txt", 5, None, False) for k in range(3000)]
     params = Params(max_total_attachment_bytes=200)
     table = spark.createDataFrame(rows, ATTACHMENT_SCHEMA).repartition(7)
     kept, total = [], 0
-    for pos, size in enumerate(sizes[:100], start=1):
+    for pos, size in enumerate(sizes, start=1):
         if len(kept) < 10 and total + size <= 200:
             kept.append(pos)
             total += size
@@ -39,7 +40,9 @@ def test_hot_archive(spark):
         F.lit("hot.zip").alias("container_name"),
     )
     got = archives.container_totals(hot.repartition(5)).collect()
-    assert [(r.container, r.total) for r in got] == [("hot", 1.0 + 3.0)]
+    assert [(r.container, r.total) for r in got] == [("hot", 1.0 + 3.0 + 5.0)]
+    capped = archives.container_totals(hot.repartition(5), params=Params(max_archive_members=1000)).collect()
+    assert [(r.container, r.total) for r in capped] == [("hot", 1.0 + 3.0)]
     assert got[0].warnings == ["Archive hot.zip contains too many files (20000)"]
 
 
@@ -74,3 +77,40 @@ def test_hot_message_parts(spark):
     got = {r.message_id: r.body_text for r in bodies.collect()}
     assert got["hot"] == "".join(f"{i};" for i in range(100))[:250]
     assert len(got) == 3001
+
+
+def test_hot_text_is_spread(spark):
+    """95 % of the rows with one text: scores are right, and no task of the join gets most of the rows."""
+    rows = spark.range(20_000).select(
+        F.col("id"),
+        F.when(F.col("id") % 20 == 0, F.col("id").cast("string")).otherwise("hot").alias("subject"),
+        F.lit("").alias("body_text"),
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # small partitions stay apart, so that a task's rows show
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scored = language.score_distinct_texts(rows.repartition(5), lambda t: F.length(t).cast("double"))
+        tasks = scored.groupBy(F.spark_partition_id().alias("task")).count().orderBy(F.desc("count")).collect()
+        assert tasks[0]["count"] < 12_000 and sum(r["count"] for r in tasks) == 20_000
+        wrong = scored.where(F.col("probability") != F.length("subject") + 1)
+        assert wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_key_of_exact_percentiles(spark):
+    rng = random.Random(3)
+    values = [float(rng.choice([1, 2, 2, 2, 50, 900]) + rng.randint(0, 3)) for _ in range(6000)]
+    rows = [("hot" if i % 3 else f"k{i % 50}", i, v) for i, v in enumerate(values)] + [(None, 0, 7.0)]
+    table = spark.createDataFrame(rows, "key string, ts long, processing_ms double")
+    for r in metrics.latency_stats(table, ["key"]).collect():
+        own = sorted(v for k, _, v in rows if k == r["key"])
+        n = len(own)
+        wanted = (n, own[0], own[-1], own[n // 2], own[min(int(n * 0.95), n - 1)], own[min(int(n * 0.99), n - 1)])
+        assert (r["sample_count"], r["min_ms"], r["max_ms"], r["p50_ms"], r["p95_ms"], r["p99_ms"]) == wanted
+    whole = metrics.latency_stats(table).collect()
+    assert len(whole) == 1 and whole[0]["sample_count"] == 6001
+    assert metrics.latency_stats(table.limit(0)).count() == 0

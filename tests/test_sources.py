@@ -44,7 +44,8 @@ def tarred(entries, mode="w:gz"):
 
 def archive_result(spark, filename, data):
     rows = spark.createDataFrame(
-        [("m", 1, filename, bytearray(data))], "message_id string, pos int, filename string, data binary"
+        [("a@b.c", "INBOX", "m", 1, filename, bytearray(data))],
+        "account_email string, folder string, message_id string, pos int, filename string, data binary",
     )
     got = archives.archive_scores(listing.archive_members(rows)).collect()
     return (got[0]["archive_score"], got[0]["archive_warnings"]) if got else (0.0, [])
@@ -85,6 +86,21 @@ def test_too_many_members(spark):
     assert (score, lines) == (1.0, [f"Archive a.zip contains too many files ({K.MAX_ARCHIVE_MEMBERS + 5})"])
 
 
+@pytest.mark.parametrize("name", ["inner.zip", "inner.zip?", "inner.zi(p"])
+def test_nested_archives_are_opened_by_their_scored_name(spark, name):
+    nested = zipped([(name, zipped([("macro.docm", b"")]))])
+    assert archive_result(spark, "a.zip", nested)[0] == 5.0
+
+
+def test_every_nested_archive_is_listed(spark):
+    inner = [(f"i{k}.zip", zipped([(f"f{k}.txt", b"x")])) for k in range(5)]
+    files = spark.createDataFrame(
+        [("a@b.c", "INBOX", "m", 1, "a.zip", bytearray(zipped(inner)))],
+        "account_email string, folder string, message_id string, pos int, filename string, data binary",
+    )
+    assert {r["name"] for r in listing.archive_members(files).collect()} >= {f"f{k}.txt" for k in range(5)}
+
+
 def test_full_width_extension_is_seen_through(spark):
     assert archive_result(spark, "a.zip", zipped([("x.ｅｘｅ", b"")]))[0] == 5.0
 
@@ -103,11 +119,11 @@ def test_early_stop_equals_a_walk(spark):
                 break
         wanted[f"m{i}"] = total
         rows += [
-            (f"m{i}", 1, f"m{i}", "x.zip", 0, "zip", len(listed), k, n, n.split("/")[-1], 1, None, None)
+            ("a@b.c", "INBOX", f"m{i}", 1, f"m{i}", "x.zip", 0, "zip", len(listed), k, n, n.split("/")[-1], 1, None, None)
             for k, n in enumerate(listed, start=1)
         ]
     schema = (
-        "message_id string, pos int, container string, container_name string, depth int, kind string,"
+        "account_email string, folder string, message_id string, pos int, container string, container_name string, depth int, kind string,"
         " member_count long, member_pos int, name string, safe_name string, size long, linkname string, nested string"
     )
     got = archives.archive_scores(spark.createDataFrame(rows, schema)).collect()
@@ -128,7 +144,7 @@ def test_eml_shaping(spark):
     m.add_attachment(b"1" * 50, maintype="image", subtype="png", filename="")
     m.add_attachment(b"2" * 30, maintype="text", subtype="csv", filename="CON")
     rows = [("1", "a@b.c", "INBOX", bytearray(m.as_bytes())), ("2", "a@b.c", "INBOX", None)]
-    params = Params(max_total_attachment_bytes=100, max_attachment_bytes=40, max_body_chars=5)
+    params = Params(max_total_attachment_bytes=100, max_attachment_bytes=40, max_body_chars=5, max_subject_chars=1024)
     shaped = eml.shape_messages(
         eml.decode_messages(spark.createDataFrame(rows, RAW)), F.timestamp_seconds(F.lit(7)), params
     )

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threatloom.functions import constants as K
-from threatloom.functions.text import sanitize_log, strip, text
+from threatloom.functions.text import at_most, sanitize_log, strip, text
 
 
-def redact_email(col: Column, normalize: bool = True) -> Column:
+def redact_email(col: Column, normalize: bool = True, max_chars: int | None = None) -> Column:
     """Keep the first letter and the domain of an address, star out the rest."""
     at = F.instr(col, "@")
     user = F.left(col, at - 1)
@@ -20,7 +20,7 @@ def redact_email(col: Column, normalize: bool = True) -> Column:
         .otherwise(F.concat(F.left(user, F.lit(1)), F.repeat(F.lit("*"), at - 2)))
     )
     shown = F.concat(stars, F.lit("@"), rest)
-    return F.when(at == 0, col).otherwise(sanitize_log(shown, 255, normalize))
+    return F.when(at == 0, col).otherwise(sanitize_log(shown, max_chars, normalize))
 
 
 def email_valid(col: Column) -> Column:
@@ -35,15 +35,18 @@ def email_valid(col: Column) -> Column:
     return F.coalesce(shaped & edges & labelled, F.lit(False))
 
 
-def sanitize_filename(col: Column) -> Column:
-    """Last path component, safe characters only, no hidden or reserved names."""
+def sanitize_filename(col: Column, max_chars: int | None = 255) -> Column:
+    """Last path component, safe characters only, no hidden or reserved names.
+
+    ``max_chars`` is what file systems take; None keeps names whole.
+    """
     name = F.regexp_replace(text(col), r"(?s)\A.*[/\\]", "")
     name = F.regexp_replace(name, rf"(?U)[^\p{{L}}\p{{N}}_\s\x1C-\x1F\-.]", "")
     name = F.regexp_replace(name, r"\.{2,}", ".")
     name = F.btrim(name, F.lit(". "))
     base = F.upper(strip(F.substring_index(name, ".", 1)))
     name = F.when((F.find_in_set(base, F.lit(",".join(K.RESERVED_FILE_NAMES))) > 0), F.concat(F.lit("_"), name)).otherwise(name)
-    return F.when(name == "", F.lit(K.UNNAMED_FILE)).otherwise(F.left(name, F.lit(255)))
+    return F.when(name == "", F.lit(K.UNNAMED_FILE)).otherwise(at_most(name, max_chars))
 
 
 def type_extension(content_type: Column) -> Column:

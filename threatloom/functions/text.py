@@ -82,20 +82,27 @@ def clean_log_text(col: Column) -> Column:
     return drop_unprintable(strip_ansi(one_line))
 
 
-def cut_log_text(col: Column, max_chars: int) -> Column:
+def at_most(value: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; all of them for None."""
+    return value if chars is None else F.left(value, F.lit(chars))
+
+
+def cut_log_text(col: Column, max_chars: int | None) -> Column:
     """Cut to ``max_chars`` and mark the cut with dots."""
+    if max_chars is None:
+        return col
     if max_chars <= 0:
         return F.when(col == "", F.lit("")).otherwise(F.lit("..."))
     cut = F.concat(F.left(col, F.lit(max_chars)), F.lit("..."))
     return F.when(F.length(col) > max_chars, cut).otherwise(col)
 
 
-def sanitize_log(col: Column, max_chars: int = 255, normalize: bool = True) -> Column:
+def sanitize_log(col: Column, max_chars: int | None = None, normalize: bool = True) -> Column:
     """Safe single-line log text: normalise, escape breaks, drop unprintables, cut."""
     col = text(col)
     base = normalize_compat(col) if normalize else col
     out = cut_log_text(clean_log_text(base), max_chars)
-    return F.when(col == "", F.lit("")).otherwise(out) if max_chars <= 0 else out
+    return F.when(col == "", F.lit("")).otherwise(out) if max_chars is not None and max_chars <= 0 else out
 
 
 def sanitize_text(col: Column, csv_safe: bool = False) -> Column:

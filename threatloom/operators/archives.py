@@ -2,7 +2,7 @@
 
 ``members`` is a long table, one row per listed member::
 
-    message_id, pos        the attachment
+    account_email, folder, message_id, pos   the attachment
     container, depth       unique key of the archive the member is in, 0 = the attachment
     container_name         display path of that archive
     kind                   'zip' or 'tar'
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from threatloom.functions import constants as K
 from threatloom.functions.identity import path_traversal
-from threatloom.operators.attachments import has_extension
+from threatloom.operators.attachments import MESSAGE_KEY, has_extension
+from threatloom.params import DEFAULTS, Params
 
 
 def nested_score() -> Column:
@@ -116,25 +117,39 @@ def count_penalty() -> Column:
     return F.when(F.col("member_count") > K.MAX_ARCHIVE_MEMBERS, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def with_running_score(scored: DataFrame) -> DataFrame:
-    """Adds ``score_before``: penalty plus the scores of the members ahead.
+# members whose scores are added up in one go
+BLOCK = 4096
 
-    Members past the cap are dropped before the window's shuffle, so a
-    partition holds at most the cap, however large one archive is.
-    """
-    ahead = Window.partitionBy("container").orderBy("member_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return scored.filter(F.col("member_pos") <= K.MAX_ARCHIVE_MEMBERS).withColumn(
-        "score_before", count_penalty() + F.coalesce(F.sum("member_score").over(ahead), F.lit(0.0))
-    )
 
+def with_running_score(scored: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Adds ``score_before``: penalty plus the scores of the members ahead.
 
-def container_totals(scored: DataFrame, *keys: str) -> DataFrame:
+    Members are added up in blocks of positions: the sums of the blocks ahead
+    are taken first, then the sum within a block, and blocks that begin beyond
+    the stop score are left out before their members meet.  So an archive that
+    holds a third of all members is spread over as many tasks as it has blocks,
+    and nothing is capped unless the parameters ask for it.
+    """
+    if params.max_archive_members is not None:
+        scored = scored.filter(F.col("member_pos") <= params.max_archive_members)
+    placed = scored.withColumn("_block", F.floor(F.col("member_pos") / BLOCK))
+    sums = placed.groupBy("container", "_block").agg(F.sum("member_score").alias("_sum"))
+    blocks_ahead = Window.partitionBy("container").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(blocks_ahead), F.lit(0.0)))
+    reached = before.filter(F.col("_before") < K.STOP_SCORE).select("container", "_block", "_before")
+    ahead = Window.partitionBy("container", "_block").orderBy("member_pos").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("member_score").over(ahead), F.lit(0.0))
+    joined = placed.join(reached, ["container", "_block"])
+    return joined.withColumn("score_before", count_penalty() + F.col("_before") + within).drop("_block", "_before")
+
+
+def container_totals(scored: DataFrame, *keys: str, params: Params = DEFAULTS) -> DataFrame:
     """(container, total, warnings): members in order until the stop score is reached.
 
     The member that crosses the line still counts.  Weights are never negative,
     so "score ahead below the line" keeps exactly the members that were reached.
     """
-    reached = with_running_score(scored).filter(F.col("score_before") < K.STOP_SCORE)
+    reached = with_running_score(scored, params).filter(F.col("score_before") < K.STOP_SCORE)
     many = F.max("member_count")
     too_many = F.when(
         many > K.MAX_ARCHIVE_MEMBERS,
@@ -165,16 +180,16 @@ def container_totals(scored: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def archive_scores(members: DataFrame) -> DataFrame:
-    """(message_id, pos, archive_score, archive_warnings) from the deepest level up."""
+def archive_scores(members: DataFrame, params: Params = DEFAULTS, deepest: int = K.MAX_ARCHIVE_DEPTH) -> DataFrame:
+    """(mailbox key, pos, archive_score, archive_warnings) from the deepest level up."""
     totals = None
-    for depth in range(K.MAX_ARCHIVE_DEPTH, -1, -1):
+    for depth in range(deepest, -1, -1):
         level = score_members(members.filter(F.col("depth") == depth), totals)
-        totals = container_totals(level, "message_id", "pos", "kind")
+        totals = container_totals(level, *MESSAGE_KEY, "pos", "kind", params=params)
     # an attachment is looked into as a zip, as a tar, or as both, in that order
     ordered = F.array_sort(
         F.collect_list(F.struct((F.col("kind") == "tar").alias("second"), "warnings"))
     )
-    return totals.groupBy("message_id", "pos").agg(
+    return totals.groupBy(*MESSAGE_KEY, "pos").agg(
         F.sum("total").alias("archive_score"), F.flatten(ordered["warnings"]).alias("archive_warnings")
     )

@@ -15,7 +15,7 @@ from threatloom.functions.risk import risk_bucket
 from threatloom.functions.text import count_of, strip, text
 from threatloom.params import DEFAULTS, Params
 
-MESSAGE_KEY = ["message_id"]
+MESSAGE_KEY = ["account_email", "folder", "message_id"]
 
 
 def bare_name(filename: Column) -> Column:
@@ -193,7 +193,7 @@ def is_tar(filename: Column) -> Column:
 def attachment_checks(attachments: DataFrame, archives: DataFrame | None = None) -> DataFrame:
     """Adds ``meta_score`` and the three lists of findings to each attachment.
 
-    ``archives`` holds one row (message_id, pos, archive_score,
+    ``archives`` holds one row (mailbox key, pos, archive_score,
     archive_warnings) per attachment that was looked into.
     """
     kept = attachments.columns
@@ -201,7 +201,7 @@ def attachment_checks(attachments: DataFrame, archives: DataFrame | None = None)
     none = F.array().cast("array<string>")
     archive_score, archive_lines = F.lit(0.0), none
     if archives is not None:
-        staged = staged.join(archives, ["message_id", "pos"], "left")
+        staged = staged.join(archives, [*MESSAGE_KEY, "pos"], "left")
         archive_score = F.coalesce("archive_score", F.lit(0.0))
         archive_lines = F.coalesce("archive_warnings", none)
     shown = text(F.col("filename"))
@@ -264,23 +264,20 @@ def scanned_bytes(size: Column, params: Params = DEFAULTS) -> Column:
     return F.least(size, F.lit(params.max_attachment_bytes).cast("bigint"))
 
 
-def gather(attachments: DataFrame, *fields: str) -> DataFrame:
+def gather(attachments: DataFrame, *fields: str, params: Params = DEFAULTS) -> DataFrame:
     """One row per message with ``items``, its attachments in walk order.
 
-    The part cap is applied before the shuffle, so a group holds at most that
-    many rows however many a single message claims to have.
+    A message's attachments are one value of the result.  A part cap, if there
+    is one, is applied before the shuffle.
     """
     item = F.struct("pos", *[f for f in fields if f != "pos"])
-    return (
-        attachments.filter(F.col("pos") <= K.MAX_MIME_PARTS)
-        .groupBy(*MESSAGE_KEY)
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-    )
+    rows = attachments if params.max_parts is None else attachments.filter(F.col("pos") <= params.max_parts)
+    return rows.groupBy(*MESSAGE_KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def admitted_attachments(attachments: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Adds ``admitted`` (array of positions) per message."""
-    return gather(attachments, "size").select(*MESSAGE_KEY, admit(F.col("items"), params).alias("admitted"))
+    return gather(attachments, "size", params=params).select(*MESSAGE_KEY, admit(F.col("items"), params).alias("admitted"))
 
 
 def gated_fold(items: Column, params: Params = DEFAULTS) -> Column:
@@ -310,7 +307,7 @@ def gated_fold(items: Column, params: Params = DEFAULTS) -> Column:
 def media_scores(
     attachments: DataFrame, params: Params = DEFAULTS, archives: DataFrame | None = None
 ) -> DataFrame:
-    """One row per message that has admitted attachments: ``message_id, media``.
+    """One row per message that has admitted attachments: its key and ``media``.
 
     Checks run on attachment rows before the shuffle; only findings travel.
     """
@@ -319,7 +316,7 @@ def media_scores(
         "video_score", video if params.small_video_check else F.lit(0.0)
     )
     lists = ("suspicious_attachments", "file_type_warnings", "size_anomalies")
-    grouped = gather(checked, "size", "filename", "meta_score", "video_score", *lists)
+    grouped = gather(checked, "size", "filename", "meta_score", "video_score", *lists, params=params)
     let_in = admit(F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"))), params)
     admitted = grouped.withColumn("_in", let_in).withColumn(
         "items", F.filter("items", lambda x: F.array_contains("_in", x["pos"]))

@@ -9,6 +9,7 @@ from threatloom.functions import constants as K
 from threatloom.functions.risk import worst_risk
 from threatloom.operators.attachments import media_layer
 from threatloom.operators.language import language_layer
+from threatloom.operators.scans import MAILBOX_KEY
 from threatloom.operators.spam import spam_layer
 from threatloom.params import DEFAULTS, Params
 
@@ -38,7 +39,7 @@ def assemble_report(scored: DataFrame, report_time: Column | None = None) -> Dat
     """Report rows from messages that carry ``spam``, ``nlp`` and ``media``."""
     spam, nlp, media = F.col("spam"), F.col("nlp"), F.col("media")
     columns = [
-        "message_id",
+        *MAILBOX_KEY,
         "subject",
         "sender",
         "recipient",
@@ -66,7 +67,7 @@ def threat_report(
     Both text layers run in the scan stage, so bodies are pruned before the
     only join: what is shuffled per message is its metadata and findings.
     """
-    facts = ("message_id", "subject", "sender", "recipient", "date")
+    facts = (*MAILBOX_KEY, "subject", "sender", "recipient", "date")
     scored = language_layer(spam_layer(emails, params), params).select(*facts, "spam", "nlp")
     return assemble_report(media_layer(scored, attachments, params, archives))
 
@@ -94,9 +95,9 @@ def threat_type(spam: Column, nlp: Column, media: Column) -> Column:
 
 
 def detected_threats(reports: DataFrame) -> DataFrame:
-    """(message_id, threat_type, severity) of medium and high reports."""
+    """(mailbox key, threat_type, severity) of medium and high reports."""
     return reports.filter(F.lower("risk_level").isin("medium", "high")).select(
-        "message_id",
+        *MAILBOX_KEY,
         threat_type(F.col("spam.score"), F.col("nlp.score"), F.col("media.score")).alias("threat_type"),
         F.lower("risk_level").alias("severity"),
     )
@@ -120,12 +121,12 @@ DIGEST_LIMITS = {
 }
 
 
-def report_digest(reports: DataFrame) -> DataFrame:
-    """The first lines of every section."""
+def report_digest(reports: DataFrame, limits: dict[str, int] = DIGEST_LIMITS) -> DataFrame:
+    """The first lines of every section, as many as ``limits`` gives it."""
     return reports.select(
-        "message_id",
+        *MAILBOX_KEY,
         "risk_level",
-        *[F.slice(F.col(path), 1, k).alias(path.split(".")[1]) for path, k in DIGEST_LIMITS.items()],
+        *[F.slice(F.col(path), 1, k).alias(path.split(".")[1]) for path, k in limits.items()],
     )
 
 

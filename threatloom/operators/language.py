@@ -18,8 +18,9 @@ from threatloom.functions import constants as K
 from threatloom.functions.identity import sender_domain
 from threatloom.functions.patterns import any_of, whole
 from threatloom.functions.risk import risk_bucket
-from threatloom.functions.text import count_of, let, text
+from threatloom.functions.text import at_most, count_of, let, text
 from threatloom.params import DEFAULTS, Params
+from threatloom.session import stored
 
 CATEGORIES = ("SE", "UG", "AU", "PS")
 
@@ -180,28 +181,42 @@ def authority_checks(df: DataFrame) -> DataFrame:
 # --- text model slot ----------------------------------------------------------
 
 
-def model_text(subject: Column, body: Column) -> Column:
-    """Text handed to a classifier: subject, blank, body, cut to the model's limit."""
-    return F.left(F.concat(text(subject), F.lit(" "), text(body)), F.lit(K.MODEL_TEXT_CHARS))
+def model_text(subject: Column, body: Column, params: Params = DEFAULTS) -> Column:
+    """Text handed to a classifier: subject, blank, body, cut to the model's limit if it has one."""
+    return at_most(F.concat(text(subject), F.lit(" "), text(body)), params.max_model_chars)
 
 
-def score_distinct_texts(df: DataFrame, classify: Callable[[Column], Column]) -> DataFrame:
+# a text with more than one row in this many is sent to all tasks
+HOT_SHARE = 1000
+
+
+def score_distinct_texts(
+    df: DataFrame, classify: Callable[[Column], Column], params: Params = DEFAULTS
+) -> DataFrame:
     """Adds ``probability``: ``classify`` runs once per distinct model text.
 
     Only a 256-bit key is shuffled with the rows; texts are reduced to one per
-    key before the (expensive) classifier sees them.  One text may make up any
-    share of the rows: the reduction is partial on the map side, and AQE splits
-    the skewed side of the join back to the rows.
+    key, partially on the map side, before the (expensive) classifier sees them.
+    One text may make up any share of the rows.  Texts with more than a
+    thousandth of them, of which there are less than a thousand, are sent to all
+    tasks; their rows then carry a key of their own and match nothing in the
+    join that brings the others their scores, so no key is hot there.
     """
-    keyed = df.withColumn("_text", model_text(F.col("subject"), F.col("body_text"))).withColumn(
+    keyed = df.withColumn("_text", model_text(F.col("subject"), F.col("body_text"), params)).withColumn(
         "text_key", F.sha2(F.col("_text"), 256)
     )
-    scored = (
-        keyed.groupBy("text_key")
-        .agg(F.any_value("_text").alias("_text"))
-        .select("text_key", classify(F.col("_text")).alias("probability"))
-    )
-    return keyed.drop("_text").join(scored, "text_key", "left")
+    distinct = keyed.groupBy("text_key").agg(F.any_value("_text").alias("_text"), F.count(F.lit(1)).alias("_n"))
+    scored = stored(distinct.select("text_key", classify(F.col("_text")).alias("probability"), "_n"), "text-scores")
+    total = scored.agg(F.sum("_n")).scalar()
+    common = F.col("_n") * HOT_SHARE > total
+    hot = scored.where(common).select("text_key", F.col("probability").alias("_hot"), F.lit(True).alias("_is_hot"))
+    marked = keyed.drop("_text").join(F.broadcast(hot), "text_key", "left")
+    # unequal to any key, and different for each row
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    marked = marked.withColumn("_key", F.when(F.col("_is_hot"), alone).otherwise(F.col("text_key")))
+    cold = scored.select(F.col("text_key").alias("_key"), F.col("probability").alias("_cold"))
+    joined = marked.join(cold, "_key", "left")
+    return joined.withColumn("probability", F.coalesce("_hot", "_cold")).drop("_hot", "_is_hot", "_key", "_cold")
 
 
 def model_score(probability: Column) -> Column:
@@ -247,7 +262,7 @@ def language_layer(
             score = score + F.col(f"{name}_score")
             lists[name] = F.col(f"{name}_indicators")
     if classify is not None:
-        staged = score_distinct_texts(staged.drop("matches"), classify)
+        staged = score_distinct_texts(staged.drop("matches"), classify, params)
         probability = F.coalesce(F.col("probability"), F.lit(0.0))
         score = score + model_score(probability)
         lists["social"] = F.concat(

@@ -2,7 +2,7 @@
 
 A rule table has the columns category, pattern, description, position.  It is a
 rule catalogue, not data: patterns are compiled into the plan, so it is read to
-the driver after a check of its size.
+the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from threatloom.functions import constants as K
 from threatloom.operators.language import CATEGORIES, Rule, builtin_rules
 
-MAX_RULES = 2000
-
 
 def backtracking_form(pattern: Column) -> Column:
     """The first known unbounded-backtracking form a pattern contains, else null."""
@@ -32,18 +30,14 @@ def audit(rules: DataFrame) -> DataFrame:
 def load_rules(rules: DataFrame, extend: bool = True) -> list[Rule]:
     """Rules of a table in its order, after the built-in ones of each category.
 
-    Raises ValueError for an unsafe pattern, an unknown category or a table
-    that is too large to be a rule catalogue.
+    Raises ValueError for an unsafe pattern or an unknown category.
     """
     rows = (
         audit(rules)
         .select("category", "pattern", "description", "position", "accepted")
         .orderBy("position", "pattern")
-        .limit(MAX_RULES + 1)
         .collect()
     )
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     for row in rows:
         if not row["accepted"]:
             raise ValueError(f"pattern may backtrack without bound: {row['pattern']!r}")

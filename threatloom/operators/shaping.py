@@ -1,6 +1,6 @@
 """From header and part rows to message columns.
 
-Long tables are regrouped once, with the part cap applied before the shuffle;
+Long tables are regrouped once, with the part cap, if any, applied before the shuffle;
 everything else works on the row it is given.
 """
 
@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.functions import constants as K
 from threatloom.functions.identity import fallback_filename
-from threatloom.functions.text import strip, text
+from threatloom.functions.text import at_most, strip, text
 from threatloom.operators.attachments import admit, truncation
 from threatloom.params import DEFAULTS, Params
 
 
 def header_map(entries: Column) -> Column:
-    """``map<name, values>`` from an ordered ``array<struct<pos,name,value>>``."""
+    """``map<name, values>`` from an ordered ``array<struct<pos,name,value>>``; one message on its row."""
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["name"])))
     return F.map_from_arrays(
         names,
@@ -33,22 +32,20 @@ def header_map(entries: Column) -> Column:
 def header_multimap(headers: DataFrame, *keys: str) -> DataFrame:
     """(keys, headers): lower-cased names, repeated ones listed in order.
 
-    One shuffle by message; names are grouped on the row that results.  A
-    message's headers are one value of the result, so their size is limited by
-    what the size guard lets in, not here.
+    Grouped by message and name first, then by message, so the work is linear
+    in the number of headers and only the values of one name are ever sorted.
     """
     keys = keys or ("message_id",)
-    entries = F.array_sort(F.collect_list(F.struct("pos", "name", "value")))
-    return (
-        headers.groupBy(*keys)
-        .agg(entries.alias("_entries"))
-        .select(*keys, header_map(F.col("_entries")).alias("headers"))
-    )
+    named = headers.withColumn("_name", F.lower("name"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"])
+    by_name = named.groupBy(*keys, "_name").agg(values.alias("_values"))
+    entries = F.collect_list(F.struct(F.col("_name").alias("key"), F.col("_values").alias("value")))
+    return by_name.groupBy(*keys).agg(F.map_from_entries(entries).alias("headers"))
 
 
-def cap_subject(subject: Column) -> Column:
-    """At most 1024 characters."""
-    return F.left(text(subject), F.lit(K.MAX_SUBJECT_CHARS))
+def cap_subject(subject: Column, params: Params = DEFAULTS) -> Column:
+    """The subject, cut where the parameters ask for it."""
+    return at_most(text(subject), params.max_subject_chars)
 
 
 def parse_date(raw: Column, fallback: Column) -> Column:
@@ -81,32 +78,35 @@ def part_kind(content_type: Column, disposition: Column, filename: Column, is_mu
     )
 
 
-def cap_parts(parts: DataFrame) -> DataFrame:
-    """The first hundred parts of each message, in walk order."""
-    return parts.filter(F.col("pos") <= K.MAX_MIME_PARTS)
+def cap_parts(parts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The first ``max_parts`` parts of each message, in walk order."""
+    return parts if params.max_parts is None else parts.filter(F.col("pos") <= params.max_parts)
 
 
-def body_of(parts: Column, kind: str, budget: int) -> Column:
+def body_of(parts: Column, kind: str, budget: int | None) -> Column:
     """Texts of one kind, joined in order and cut at ``budget`` characters.
 
     Cutting the joined text equals stopping at the budget part by part, because
     parts are appended whole until the one that reaches it.
     """
     texts = F.transform(F.filter(parts, lambda p: p["kind"] == kind), lambda p: text(p["text"]))
-    return F.left(F.array_join(texts, ""), F.lit(budget))
+    return at_most(F.array_join(texts, ""), budget)
 
 
-def gather_parts(parts: DataFrame, *fields: str) -> DataFrame:
-    """One row per message with ``parts`` in walk order, at most a hundred."""
+def gather_parts(parts: DataFrame, *fields: str, params: Params = DEFAULTS) -> DataFrame:
+    """One row per message with ``parts`` in walk order.
+
+    A message is one value of the result, so it is as large as the size guard lets in.
+    """
     kind = part_kind(*(F.col(c) for c in ("content_type", "disposition", "filename", "is_multipart")))
-    rows = cap_parts(parts).withColumn("kind", kind)
+    rows = cap_parts(parts, params).withColumn("kind", kind)
     item = F.struct("pos", "kind", *fields)
     return rows.groupBy("message_id").agg(F.array_sort(F.collect_list(item)).alias("parts"))
 
 
 def assemble_bodies(parts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """(message_id, body_text, body_html) from part rows."""
-    grouped = gather_parts(parts, "text")
+    grouped = gather_parts(parts, "text", params=params)
     return grouped.select(
         "message_id",
         body_of(F.col("parts"), "text", params.max_body_chars).alias("body_text"),

@@ -9,7 +9,10 @@ from threatloom.functions import constants as K
 
 @dataclass(frozen=True)
 class Params:
-    """Defaults are the documented ones; override with ``Params(spam_threshold=3.0)``."""
+    """Defaults are the documented ones; override with ``Params(spam_threshold=3.0)``.
+
+    A limit of None is no limit; those that only protect a single process are None by default.
+    """
 
     spam_threshold: float = 5.0
     check_headers: bool = True
@@ -32,7 +35,11 @@ class Params:
     max_attachment_count: int = 10
     max_attachment_bytes: int = 25 * K.MIB
     max_total_attachment_bytes: int = 100 * K.MIB
-    max_body_chars: int = 1024 * 1024
+    max_body_chars: int | None = None
+    max_parts: int | None = None
+    max_archive_members: int | None = None
+    max_subject_chars: int | None = None
+    max_model_chars: int | None = None
     check_interval_seconds: int = 300
     sample_size: int = 1000
     product_name: str = "threatloom"

@@ -331,11 +331,13 @@ def _att_ctes() -> dict[str, str]:
             FROM att1""",
         "att3": """
             SELECT *, coalesce(typ.points, 0) AS type_score, coalesce(typ.line, '') AS type_line,
-                   ext_score + coalesce(typ.points, 0) + size_score AS meta,
-                   coalesce(filename || ': ' || typ.line, '') AS suspicious_attachments,
+                   ext_score + coalesce(typ.points, 0) + size_score + coalesce(arch_score, 0) AS meta,
+                   concat_ws(' | ', filename || ': ' || typ.line, nullif(arch_lines, '')) AS suspicious_attachments,
                    concat_ws(' | ', CASE WHEN truncated THEN 'Attachment truncated for scanning: ' || filename END,
                              nullif(size_line, '')) AS size_anomalies
-            FROM att2""",
+            FROM att2 LEFT JOIN arch_found USING (message_id, pos)""",
+        "arch_found": """
+            SELECT message_id, 1 AS pos, total AS arch_score, lines AS arch_lines FROM tot0""",
         # the walk, one attachment a step
         "walk": _walk("att3", 10, 100 * K.MIB),
         "media": """
@@ -431,8 +433,7 @@ def _member_ctes() -> dict[str, str]:
             FROM (SELECT *, penalty + coalesce(sum(points) OVER (
                      PARTITION BY container ORDER BY member_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                      AS ahead
-                  FROM (SELECT *, CASE WHEN member_count > 1000 THEN 1.0::DOUBLE ELSE 0 END AS penalty FROM {source})
-                  WHERE member_pos <= 1000)
+                  FROM (SELECT *, CASE WHEN member_count > 1000 THEN 1.0::DOUBLE ELSE 0 END AS penalty FROM {source}))
             WHERE ahead < 5 GROUP BY 1, 2"""
 
     return {
@@ -549,7 +550,6 @@ def _other_ctes() -> dict[str, str]:
         "sampled": """
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r
                            FROM obs) WHERE r <= 1000""",
-        "latest": "SELECT * FROM obs ORDER BY ts DESC, event_id DESC LIMIT 1000",
         "logs": """
             SELECT event_id, value AS raw, CASE WHEN ok THEN value END AS js
             FROM (SELECT *, json_valid(value) AS ok FROM log_lines)""",
@@ -729,11 +729,11 @@ def _queries() -> dict[str, str]:
         "mime_part_cap": """
             SELECT message_id, count(*) AS parts, CAST(sum(size) AS BIGINT) AS size FROM parts
             WHERE pos <= 100 GROUP BY 1""",
-        "part_classify": "SELECT message_id, CAST(pos AS BIGINT) AS pos, kind FROM part_kinds WHERE pos <= 100",
+        "part_classify": "SELECT message_id, CAST(pos AS BIGINT) AS pos, kind FROM part_kinds",
         "body_assemble": """
-            SELECT message_id, left(coalesce(string_agg(text, '' ORDER BY pos) FILTER (kind = 'text'), ''), 16384) AS body_text,
-                   left(coalesce(string_agg(text, '' ORDER BY pos) FILTER (kind = 'html'), ''), 16384) AS body_html
-            FROM part_kinds WHERE pos <= 100 GROUP BY 1""",
+            SELECT message_id, coalesce(string_agg(text, '' ORDER BY pos) FILTER (kind = 'text'), '') AS body_text,
+                   coalesce(string_agg(text, '' ORDER BY pos) FILTER (kind = 'html'), '') AS body_html
+            FROM part_kinds GROUP BY 1""",
         "attachment_budget": """
             SELECT message_id, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (taken), '') AS admitted
             FROM walk GROUP BY 1""",
@@ -750,7 +750,7 @@ def _queries() -> dict[str, str]:
                      || left(sha256(message_id || ':' || pos), 8)
                      || CASE content_type WHEN 'text/plain' THEN '.txt' WHEN 'text/html' THEN '.html'
                           WHEN 'application/pdf' THEN '.pdf' ELSE '.bin' END END AS filename
-            FROM parts WHERE pos <= 100""",
+            FROM parts""",
         # layer 1
         "subject_features": """
             SELECT message_id, caps AS all_caps, bangs AS many_exclamations, money FROM subj""",
@@ -802,17 +802,17 @@ def _queries() -> dict[str, str]:
                    '' AS urgency, authority, psychological FROM nlp""",
         "model_text": """
             SELECT message_id, md5(t) AS text_key, CAST(length(t) AS BIGINT) AS chars
-            FROM (SELECT message_id, left(subject || ' ' || body_text, 4096) AS t FROM mail)""",
+            FROM (SELECT message_id, subject || ' ' || body_text AS t FROM mail)""",
         "text_hash_dedup": """
             SELECT message_id, sha256(t) AS text_key,
                    round(len(regexp_extract_all(t, '[aeiou]')) / length(t)::DOUBLE, 6) AS probability
-            FROM (SELECT message_id, left(subject || ' ' || body_text, 4096) AS t FROM mail)""",
+            FROM (SELECT message_id, subject || ' ' || body_text AS t FROM mail)""",
         "model_score_map": '''
             SELECT message_id, p AS probability, CASE WHEN p > 0.5 THEN round((p - 0.5::DOUBLE) * 20, 4) ELSE 0 END AS score,
                    CASE WHEN p > 0.5 THEN 'ML Model detected high threat probability: ' || printf('%.2f', p) ELSE ''
                      END AS indicator
             FROM (SELECT message_id, floor(len(regexp_extract_all(t, '[a-s]')) / length(t)::DOUBLE * 100) / 100 AS p
-                  FROM (SELECT message_id, left(subject || ' ' || body_text, 4096) AS t FROM mail))''',
+                  FROM (SELECT message_id, subject || ' ' || body_text AS t FROM mail))''',
         # the built-in patterns match no word of the parts, so each word falls to the first user rule that lists it
         "custom_rules": '''
             SELECT category, description, count(*) AS n
@@ -845,27 +845,46 @@ def _queries() -> dict[str, str]:
         "media_layer": """
             SELECT message_id, round(score, 4) AS score, risk_level, suspicious_attachments, file_type_warnings,
                    size_anomalies FROM media_all""",
+        "media_layer_off": """
+            SELECT message_id, 0::DOUBLE AS score, 'low' AS risk_level, '' AS suspicious_attachments,
+                   '' AS file_type_warnings, '' AS size_anomalies FROM mail""",
+        "media_by_mailbox": """
+            SELECT k.account_email, k.folder, k.message_id, coalesce(a.warnings, 0) AS warnings,
+                   coalesce(a.anomalies, 0) AS anomalies, md5(coalesce(a.lines, '')) AS warnings_key
+            FROM (SELECT DISTINCT 'shop' || CAST(1 + o_orderkey % 100 AS STRING) || '@mail.example' AS account_email,
+                    CASE o_orderkey % 4 WHEN 0 THEN 'INBOX' WHEN 1 THEN 'Junk' WHEN 2 THEN 'Archive' ELSE 'Sent' END
+                      AS folder, CAST(o_orderkey % 7 AS STRING) AS message_id
+                  FROM orders) k
+            LEFT JOIN (
+              SELECT account_email, folder, CAST(n % 7 AS STRING) AS message_id,
+                     CAST(sum(CAST(dangerous AS INT) + CAST(suspicious AS INT) + CAST(several AS INT)) AS BIGINT) AS warnings,
+                     CAST(sum(CAST(truncated AS INT) + CAST(size_line <> '' AS INT)) AS BIGINT) AS anomalies,
+                     string_agg(ext_lines, ' | ' ORDER BY n) FILTER (ext_lines <> '') AS lines
+              FROM (SELECT *, CAST(substr(message_id, 2) AS BIGINT) AS n FROM att3 WHERE pos = 1) GROUP BY 1, 2, 3
+            ) a USING (account_email, folder, message_id)""",
         "path_traversal": r"""
             SELECT name, regexp_matches(name, '^([/\\]|\pL:)') OR contains(name, '..') AS escapes
             FROM (SELECT name FROM member_names UNION ALL SELECT text FROM documents)""",
         "archive_member_score": """
             SELECT container, CAST(member_pos AS BIGINT) AS member_pos, round(points, 4) AS score, lines AS findings
-            FROM mem1""",
+            FROM mem1
+            UNION ALL
+            SELECT container, CAST(member_pos AS BIGINT), round(points, 4), lines FROM mem0""",
         "archive_early_stop": "SELECT message_id, round(total, 4) AS score, lines AS findings FROM tot0",
         "archive_members": f"""
-            SELECT 'd' || doc_id || ':1:zip' AS container, CAST(0 AS BIGINT) AS depth, member_pos, member_count, name,
+            SELECT 'docs@mail.example:INBOX:d' || doc_id || ':1:zip' AS container, CAST(0 AS BIGINT) AS depth, member_pos, member_count, name,
                    CASE name WHEN '../up.txt' THEN 'up.txt' ELSE name END AS safe_name,
                    CASE name WHEN 'readme.txt' THEN strlen(text) WHEN '../up.txt' THEN 1 WHEN 'setup.exe' THEN 2
                      END AS size, nested
             FROM ({zip_rows}) WHERE name <> 'inner.zip'
             UNION ALL
-            SELECT 'd' || doc_id || ':1:zip/2', 1, 1, 2, 'doc' || doc_id || '.txt', 'doc' || doc_id || '.txt', strlen(text),
+            SELECT 'docs@mail.example:INBOX:d' || doc_id || ':1:zip/2', 1, 1, 2, 'doc' || doc_id || '.txt', 'doc' || doc_id || '.txt', strlen(text),
                    NULL FROM documents WHERE doc_id % 2 = 0
             UNION ALL
-            SELECT 'd' || doc_id || ':1:zip/2', 1, 2, 2, 'form.html', 'form.html', 1, NULL
+            SELECT 'docs@mail.example:INBOX:d' || doc_id || ':1:zip/2', 1, 2, 2, 'form.html', 'form.html', 1, NULL
             FROM documents WHERE doc_id % 2 = 0
             UNION ALL
-            SELECT 'd' || doc_id || ':1:zip', 0, member_pos, member_count, name, name,
+            SELECT 'docs@mail.example:INBOX:d' || doc_id || ':1:zip', 0, member_pos, member_count, name, name,
                    -- two stored members: local headers, directory entries and the end record around the data
                    strlen(text) + 1 + 2 * (strlen('doc' || doc_id || '.txt') + 9) + 2 * 76 + 22, nested
             FROM ({zip_rows}) WHERE name = 'inner.zip'""",
@@ -919,22 +938,23 @@ def _queries() -> dict[str, str]:
         "threat_counters": "SELECT counter, n FROM counters",
         "error_counters": "SELECT error_type, count(*) AS n FROM obs WHERE error_type IS NOT NULL GROUP BY 1",
         "bounded_sample": "SELECT event_type, event_id, processing_ms FROM sampled",
-        "latency_percentiles": f"SELECT event_type, {stats} FROM sampled GROUP BY 1",
+        "latency_percentiles": f"SELECT event_type, {stats} FROM obs GROUP BY 1",
         "metrics_summary": f"""
             SELECT (SELECT count(*) FROM obs) AS emails_processed,
                    (SELECT string_agg(counter || '=' || n, ' | ' ORDER BY counter) FROM counters) AS threats_detected,
                    (SELECT count(*) FROM counters) AS threat_types,
                    (SELECT string_agg(error_type || '=' || n, ' | ' ORDER BY error_type)
                     FROM (SELECT error_type, count(*) AS n FROM obs WHERE error_type IS NOT NULL GROUP BY 1)) AS errors,
-                   s.* FROM (SELECT {stats} FROM latest) s""",
+                   s.* FROM (SELECT {stats} FROM obs) s""",
         # functions
         "sanitize_log": """
-            SELECT conv_id, turn, CASE WHEN length(log_text) > 255 THEN left(log_text, 255) || '...' ELSE log_text END AS line,
-                   md5(log_text) AS full_key FROM clean_text""",
+            SELECT conv_id, turn, log_text AS line,
+                   CASE WHEN length(log_text) > 255 THEN left(log_text, 255) || '...' ELSE log_text END AS short
+            FROM clean_text""",
         "sanitize_text": "SELECT conv_id, turn, display AS clean, display_cell AS guarded FROM guarded",
         "csv_guard": "SELECT conv_id, turn, cell FROM guarded",
         "redact_email": """
-            SELECT c_custkey, CASE WHEN length(shown) > 255 THEN left(shown, 255) || '...' ELSE shown END AS shown
+            SELECT c_custkey, shown
             FROM (SELECT c_custkey, CASE WHEN NOT contains(address, '@') THEN address ELSE
                          CASE strpos(address, '@') WHEN 1 THEN '***' WHEN 2 THEN '*'
                            ELSE left(address, 1) || repeat('*', CAST(strpos(address, '@') - 2 AS INT)) END
@@ -1025,13 +1045,16 @@ def _queries() -> dict[str, str]:
 def _stream_book() -> _Book:
     """Documents as messages without headers; line items of the same number as attachments."""
     mail = """
-        SELECT 'd' || CAST(doc_id AS STRING) AS message_id, doc_id AS seq, left(text, 60) AS subject,
+        SELECT 'd' || CAST(doc_id AS STRING) AS message_id, doc_id AS seq, split_part(text, chr(10), 1) AS subject,
                source || '@mail.example' AS sender, 'team@corp.example' AS recipient,
-               make_timestamp((1704067200 + doc_id) * 1000000) AS date, text AS body_text, '' AS body_html
+               make_timestamp((1704067200 + doc_id) * 1000000) AS date, text AS body_text, '' AS body_html,
+               source || '@mail.example' AS account_email, 'INBOX' AS folder
         FROM documents"""
     nothing = "SELECT '' AS message_id, 0 AS pos, '' AS name, '' AS value WHERE false"
     att = _base_ctes()["att"].replace("'o' || CAST(l_orderkey", "'d' || CAST(l_orderkey")
-    return _Book({"mail": mail, "hdr": nothing, "att": att})
+    # archives of order messages, found in the document's message of that number
+    found = "SELECT 'd' || substr(message_id, 2) AS message_id, 1 AS pos, total AS arch_score, lines AS arch_lines FROM tot0"
+    return _Book({"mail": mail, "hdr": nothing, "att": att, "arch_found": found})
 
 
 def oracles() -> dict[str, str]:
@@ -1045,4 +1068,7 @@ def oracles() -> dict[str, str]:
         "SELECT message_id, round(overall, 4) AS overall_threat_score, risk AS risk_level FROM rep"
     )
     out["stream_alerts"] = stream.sql("SELECT message_id, risk AS risk_level FROM alerted")
+    key = "m.account_email, m.folder, m.message_id"
+    out["stream_processed"] = stream.sql(f"SELECT {key} FROM mail m")
+    out["stream_alert_channel"] = stream.sql(f"SELECT {key} FROM mail m JOIN alerted USING (message_id)")
     return out

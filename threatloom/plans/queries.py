@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,7 @@ from threatloom.operators import (
     shaping,
     spam,
 )
+from threatloom.operators.scans import MAILBOX_KEY
 from threatloom.params import DEFAULTS
 from threatloom.session import shared_folder, stored
 from threatloom.sources import archive_members as listing
@@ -185,7 +186,7 @@ def header_multimap(t: SampleTables) -> DataFrame:
 def subject_cap(t: SampleTables) -> DataFrame:
     # documents as over-long subjects
     docs = t.source("documents")
-    return docs.select("doc_id", shaping.cap_subject(F.col("text")).alias("subject"))
+    return docs.select("doc_id", shaping.cap_subject(F.col("text"), replace(DEFAULTS, max_subject_chars=K.MAX_SUBJECT_CHARS)).alias("subject"))
 
 
 @query
@@ -212,7 +213,7 @@ def date_fallback(t: SampleTables) -> DataFrame:
 
 @query
 def mime_part_cap(t: SampleTables) -> DataFrame:
-    kept = shaping.cap_parts(t.parts())
+    kept = shaping.cap_parts(t.parts(), replace(DEFAULTS, max_parts=K.MAX_MIME_PARTS))
     return kept.groupBy("message_id").agg(F.count("*").alias("parts"), F.sum("size").alias("size"))
 
 
@@ -222,12 +223,12 @@ _PART_COLUMNS = ("content_type", "disposition", "filename", "is_multipart")
 @query
 def part_classify(t: SampleTables) -> DataFrame:
     kind = shaping.part_kind(*(F.col(c) for c in _PART_COLUMNS))
-    return shaping.cap_parts(t.parts()).select("message_id", F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"))
+    return t.parts().select("message_id", F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"))
 
 
 @query
 def body_assemble(t: SampleTables) -> DataFrame:
-    return shaping.assemble_bodies(t.parts(), replace(DEFAULTS, max_body_chars=16 * 1024))
+    return shaping.assemble_bodies(t.parts())
 
 
 @query
@@ -258,7 +259,7 @@ def filename_sanitize(t: SampleTables) -> DataFrame:
 
 @query
 def filename_fallback(t: SampleTables) -> DataFrame:
-    p = shaping.cap_parts(t.parts())
+    p = t.parts()
     name = identity.fallback_filename(F.col("filename"), F.col("content_type"), F.col("message_id"), F.col("pos"))
     return p.select("message_id", F.col("pos").cast("bigint").alias("pos"), name.alias("filename"))
 
@@ -546,7 +547,7 @@ def size_anomaly(t: SampleTables) -> DataFrame:
 
 @query
 def attachment_metadata(t: SampleTables) -> DataFrame:
-    checked = attachments.attachment_checks(t.attachments())
+    checked = attachments.attachment_checks(t.attachments(), _archive_scores(t))
     return checked.select(
         *_att_keys(),
         rounded("meta_score").alias("score"),
@@ -558,7 +559,7 @@ def attachment_metadata(t: SampleTables) -> DataFrame:
 
 @query
 def media_gated_fold(t: SampleTables) -> DataFrame:
-    scores = attachments.media_scores(t.attachments())
+    scores = attachments.media_scores(t.attachments(), archives=_archive_scores(t))
     return scores.select("message_id", joined("media.potential_deepfakes").alias("flagged"))
 
 
@@ -575,7 +576,41 @@ def _media_columns(df: DataFrame) -> DataFrame:
 
 @query
 def media_layer(t: SampleTables) -> DataFrame:
-    return _media_columns(attachments.media_layer(t.mail().select("message_id"), t.attachments()))
+    mail = t.mail().select(*MAILBOX_KEY)
+    return _media_columns(attachments.media_layer(mail, t.attachments(), archives=_archive_scores(t)))
+
+
+@query
+def media_layer_off(t: SampleTables) -> DataFrame:
+    params = replace(DEFAULTS, check_attachments=False)
+    return _media_columns(attachments.media_layer(t.mail().select(*MAILBOX_KEY), t.attachments(), params))
+
+
+@query
+def media_by_mailbox(t: SampleTables) -> DataFrame:
+    # mail servers number each mailbox from one: the same ids in a hundred accounts
+    numbered = F.pmod(F.col("n"), F.lit(7)).cast("string")
+    mail = t.sql(_ORDER_MAIL).withColumn("message_id", numbered).dropDuplicates(list(MAILBOX_KEY))
+    first = t.attachments().filter("pos = 1").withColumn("n", F.expr("CAST(substr(message_id, 2) AS BIGINT)"))
+    own = first.withColumn("message_id", numbered)
+    order = Window.partitionBy(*MAILBOX_KEY).orderBy("n")
+    own = own.withColumn("pos", F.row_number().over(order)).drop("n")
+    params = replace(DEFAULTS, max_attachment_count=1_000_000, max_total_attachment_bytes=0)
+    scored = attachments.media_layer(mail.select(*MAILBOX_KEY), own, params)
+    return scored.select(
+        *MAILBOX_KEY,
+        F.size("media.file_type_warnings").cast("bigint").alias("warnings"),
+        F.size("media.size_anomalies").cast("bigint").alias("anomalies"),
+        F.md5(joined("media.file_type_warnings")).alias("warnings_key"),
+    )
+
+
+_ORDER_MAIL = """
+SELECT 'shop' || CAST(1 + o_orderkey % 100 AS STRING) || '@mail.example' AS account_email,
+       CASE o_orderkey % 4 WHEN 0 THEN 'INBOX' WHEN 1 THEN 'Junk' WHEN 2 THEN 'Archive' ELSE 'Sent' END AS folder,
+       o_orderkey AS n
+FROM @orders@
+"""
 
 
 @query
@@ -590,8 +625,11 @@ def _safe_members(t: SampleTables) -> DataFrame:
 
 @query
 def archive_member_score(t: SampleTables) -> DataFrame:
-    scored = archives.score_members(_safe_members(t).filter(F.col("depth") == 1))
-    return scored.select(
+    # nested archives are scored first, for what they add to the members above
+    members = stored(_safe_members(t), "members")
+    below = archives.score_members(members.filter("depth = 1"))
+    above = archives.score_members(members.filter("depth = 0"), archives.container_totals(below))
+    return below.unionByName(above).select(
         "container",
         F.col("member_pos").cast("bigint").alias("member_pos"),
         rounded("member_score").alias("score"),
@@ -599,15 +637,19 @@ def archive_member_score(t: SampleTables) -> DataFrame:
     )
 
 
+def _archive_scores(t: SampleTables) -> DataFrame:
+    """Scores of the sample's archives, which are nested once; members are derived once for all levels."""
+    return archives.archive_scores(stored(_safe_members(t), "members"), deepest=1)
+
+
 @query
 def archive_early_stop(t: SampleTables) -> DataFrame:
-    totals = archives.archive_scores(_safe_members(t))
-    return totals.select(
+    return _archive_scores(t).select(
         "message_id", rounded("archive_score").alias("score"), joined("archive_warnings").alias("findings")
     )
 
 
-_ZIP_SCHEMA = "message_id string, pos int, filename string, data binary"
+_ZIP_SCHEMA = "account_email string, folder string, message_id string, pos int, filename string, data binary"
 
 
 def _zip_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -630,12 +672,12 @@ def _zip_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 entries["../up.txt"] = b"x"
             if doc_id % 5 == 0:
                 entries["setup.exe"] = b"MZ"
-            rows.append((f"d{doc_id}", 1, f"doc{doc_id}.zip", zipped(entries)))
-        yield pd.DataFrame(rows, columns=["message_id", "pos", "filename", "data"])
+            rows.append(("docs@mail.example", "INBOX", f"d{doc_id}", 1, f"doc{doc_id}.zip", zipped(entries)))
+        yield pd.DataFrame(rows, columns=["account_email", "folder", "message_id", "pos", "filename", "data"])
 
 
 def _zips(t: SampleTables) -> DataFrame:
-    return t.spread(t.source("documents").select("doc_id", "text")).mapInPandas(_zip_up, _ZIP_SCHEMA)
+    return t.source("documents").select("doc_id", "text").mapInPandas(_zip_up, _ZIP_SCHEMA)
 
 
 @query
@@ -666,7 +708,7 @@ def archive_total(t: SampleTables) -> DataFrame:
 
 
 def _reports(t: SampleTables) -> DataFrame:
-    return fusion.threat_report(t.emails(), t.attachments())
+    return fusion.threat_report(t.emails(), t.attachments(), archives=_archive_scores(t))
 
 
 @query
@@ -710,13 +752,13 @@ def alert_route(t: SampleTables) -> DataFrame:
 
 @query
 def threat_type(t: SampleTables) -> DataFrame:
-    return fusion.detected_threats(_reports(t))
+    return fusion.detected_threats(_reports(t)).select("message_id", "threat_type", "severity")
 
 
 @query
 def report_digest(t: SampleTables) -> DataFrame:
     digest = fusion.report_digest(_reports(t))
-    lists = [c for c in digest.columns if c not in ("message_id", "risk_level")]
+    lists = [c for c in digest.columns if c not in (*MAILBOX_KEY, "risk_level")]
     return digest.select("message_id", "risk_level", *[joined(c).alias(c) for c in lists])
 
 
@@ -760,7 +802,7 @@ def alert_payload_json(t: SampleTables) -> DataFrame:
 
 @query
 def alert_payload_chat(t: SampleTables) -> DataFrame:
-    return payloads.chat_payload(fusion.alerts(_reports(t)))
+    return payloads.chat_payload(fusion.alerts(_reports(t))).select("message_id", "payload")
 
 
 # --- metrics ------------------------------------------------------------------
@@ -784,8 +826,7 @@ def bounded_sample(t: SampleTables) -> DataFrame:
 
 @query
 def latency_percentiles(t: SampleTables) -> DataFrame:
-    kept = metrics.bounded_sample(t.observations(), keys=["event_type"], order=("ts", "event_id"))
-    stats = metrics.latency_stats(kept, ["event_type"])
+    stats = metrics.latency_stats(t.observations(), ["event_type"])
     return stats.withColumn("avg_ms", rounded("avg_ms"))
 
 
@@ -816,9 +857,11 @@ def metrics_summary(t: SampleTables) -> DataFrame:
 
 @query
 def sanitize_log(t: SampleTables) -> DataFrame:
-    full = text.sanitize_log(F.col("text"), 10_000_000)
     return t.texts().select(
-        "conv_id", "turn", text.sanitize_log(F.col("text")).alias("line"), F.md5(full).alias("full_key")
+        "conv_id",
+        "turn",
+        text.sanitize_log(F.col("text")).alias("line"),
+        text.sanitize_log(F.col("text"), 255).alias("short"),
     )
 
 
@@ -960,7 +1003,7 @@ def _document_stream(t: SampleTables) -> DataFrame:
     no_headers = F.create_map().cast("map<string,array<string>>")
     return docs.select(
         doc.alias("message_id"),
-        F.left("text", F.lit(60)).alias("subject"),
+        F.substring_index("text", "\n", 1).alias("subject"),
         F.concat("source", F.lit("@mail.example")).alias("sender"),
         F.lit("team@corp.example").alias("recipient"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("date"),
@@ -978,11 +1021,23 @@ def _finish(running) -> None:
         raise running.exception()
 
 
-def _monitored(t: SampleTables) -> str:
+def _monitored(t: SampleTables, channel: Callable[[DataFrame, int], None] | None = None) -> str:
     out = shared_folder(t.spark, "monitor")
     # document messages carry the line items of the order with their number
-    own = t.attachments().withColumn("message_id", F.regexp_replace("message_id", "^o", "d"))
-    _finish(stream.monitor(_document_stream(t), own, out, once=True))
+    docs = t.source("documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"),
+        F.concat("source", F.lit("@mail.example")).alias("account_email"),
+        F.lit("INBOX").alias("folder"),
+    )
+
+    def in_mailbox(rows: DataFrame) -> DataFrame:
+        named = rows.drop("account_email", "folder")
+        return named.withColumn("message_id", F.regexp_replace("message_id", "^o", "d")).join(docs, "message_id")
+
+    # numbered and scored once, not once for each cycle
+    own = stored(in_mailbox(t.attachments()), "attachments")
+    inside = stored(in_mailbox(_archive_scores(t)), "archives")
+    _finish(stream.monitor(_document_stream(t), own, out, once=True, on_alerts=channel, archives=inside))
     return out
 
 
@@ -999,6 +1054,23 @@ def stream_alerts(t: SampleTables) -> DataFrame:
     )
 
 
+@query
+def stream_processed(t: SampleTables) -> DataFrame:
+    return t.spark.read.parquet(f"{_monitored(t)}/processed").select(*MAILBOX_KEY)
+
+
+@query
+def stream_alert_channel(t: SampleTables) -> DataFrame:
+    # the hook writes what a channel would be sent, one folder for each cycle
+    sent = shared_folder(t.spark, "channel")
+
+    def channel(alerts: DataFrame, cycle: int) -> None:
+        payloads.json_payload(alerts).select(*MAILBOX_KEY).write.mode("overwrite").parquet(f"{sent}/cycle={cycle}")
+
+    _monitored(t, channel)
+    return t.spark.read.parquet(sent).select(*MAILBOX_KEY)
+
+
 @query
 def stream_dedup(t: SampleTables) -> DataFrame:
     events = _event_stream(t)

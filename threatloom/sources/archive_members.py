@@ -8,6 +8,7 @@ Nothing is extracted to disk, and reads are cut off at fixed limits.
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import unicodedata
 import zipfile
@@ -21,12 +22,12 @@ from pyspark.sql import types as T
 from threatloom.functions import constants as K
 from threatloom.functions.identity import sanitize_filename
 from threatloom.functions.text import sanitize_log
-from threatloom.operators.attachments import is_tar, is_zip
+from threatloom.operators.attachments import MESSAGE_KEY, is_tar, is_zip
 
 _S, _L = T.StringType(), T.LongType()
 LISTING_SCHEMA = T.StructType(
     [
-        T.StructField("message_id", _S),
+        *[T.StructField(k, _S) for k in MESSAGE_KEY],
         T.StructField("pos", T.IntegerType()),
         T.StructField("container", _S),
         T.StructField("container_name", _S),
@@ -42,11 +43,6 @@ LISTING_SCHEMA = T.StructType(
 )
 
 
-# each nested archive scores at least 2 of the 5 points that end the walk, so
-# members after the third one are never reached and need not be opened
-_ARCHIVES_TO_STOP = 3
-
-
 class _TooBig(ValueError):
     """A nested archive unpacks to more than the limit."""
 
@@ -59,8 +55,10 @@ def _read_limited(stream) -> bytes:
 
 
 def _extension(name: str) -> str:
+    """Extension of the name as it is scored: safe characters only, runs of dots made one."""
     last = unicodedata.normalize("NFKC", name).replace("\\", "/").rsplit("/", 1)[-1]
-    return last.strip(". ").rpartition(".")[2].lower() if "." in last.strip(". ") else ""
+    safe = re.sub(r"\.{2,}", ".", re.sub(r"[^\w\s\-.]", "", last)).strip(". ")
+    return safe.rpartition(".")[2].lower() if "." in safe else ""
 
 
 def _open_members(kind: str, data: bytes):
@@ -70,15 +68,11 @@ def _open_members(kind: str, data: bytes):
         infos = archive.infolist()
         rows = [
             (i.filename, i.file_size, None, lambda n=i.filename: archive.open(n))
-            for i in infos[: K.MAX_ARCHIVE_MEMBERS]
+            for i in infos
         ]
         return len(infos), rows
     archive = tarfile.open(fileobj=io.BytesIO(data), mode="r:*")
-    infos = []
-    for info in archive:
-        infos.append(info)
-        if len(infos) > K.MAX_ARCHIVE_MEMBERS:
-            break
+    infos = archive.getmembers()
     rows = [
         (
             i.name,
@@ -86,7 +80,7 @@ def _open_members(kind: str, data: bytes):
             i.linkname if i.issym() or i.islnk() else None,
             lambda i=i: archive.extractfile(i),
         )
-        for i in infos[: K.MAX_ARCHIVE_MEMBERS]
+        for i in infos
     ]
     return len(infos), rows
 
@@ -114,13 +108,8 @@ def list_archive(kind: str, data: bytes, key: str, shown: str, depth: int = 0) -
         count, members = _open_members(kind, data)
     except Exception:  # not an archive after all: no members
         return
-    opened = 0
     for pos, (name, size, link, reader) in enumerate(members, start=1):
-        if opened < _ARCHIVES_TO_STOP:
-            outcome, inner = _look_inside(kind, depth, name, size, reader)
-            opened += outcome is not None
-        else:
-            outcome, inner = ("skipped" if _extension(name) in K.ARCHIVE_EXTENSIONS else None), None
+        outcome, inner = _look_inside(kind, depth, name, size, reader)
         yield {
             "container": key,
             "container_name": shown,
@@ -144,11 +133,12 @@ def _list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
             found = []
+            mailbox = {k: getattr(row, k) for k in MESSAGE_KEY}
             for kind, wanted in (("zip", row.as_zip), ("tar", row.as_tar)):
                 if wanted and row.data is not None:
-                    key = f"{row.message_id}:{row.pos}:{kind}"
+                    key = ":".join([row.account_email, row.folder, row.message_id, str(row.pos), kind])
                     found += [
-                        {"message_id": row.message_id, "pos": row.pos, **m}
+                        {**mailbox, "pos": row.pos, **m}
                         for m in list_archive(kind, bytes(row.data), key, row.filename)
                     ]
             if found:
@@ -156,14 +146,14 @@ def _list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def archive_members(attachments: DataFrame) -> DataFrame:
-    """Member rows of all attachments that are archives (message_id, pos, filename, data).
+    """Member rows of all attachments that are archives (mailbox key, pos, filename, data).
 
     Attachments that are no archive are filtered out before their bytes go to
     a worker.
     """
     name, data = F.col("filename"), F.col("data")
     candidates = attachments.select(
-        "message_id",
+        *MESSAGE_KEY,
         F.col("pos").cast("int").alias("pos"),
         "filename",
         "data",

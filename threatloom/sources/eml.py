@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import email
 from collections.abc import Iterator
+from datetime import timezone
 from email.header import decode_header, make_header
 from email.message import Message
 from email.utils import getaddresses, parsedate_to_datetime
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from threatloom.functions import constants as K
 from threatloom.functions.identity import format_addresses
 from threatloom.operators.shaping import attachments_of, body_of, cap_subject, header_map, part_kind
+from threatloom.operators.scans import MAILBOX_KEY
 from threatloom.params import DEFAULTS, Params
 
 _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
@@ -89,29 +91,25 @@ def _part_row(pos: int, part: Message) -> dict:
     payload = b"" if multipart else (part.get_payload(decode=True) or b"")
     kind = part.get_content_type()
     readable = kind in ("text/plain", "text/html")
+    disposition = str(part.get("Content-Disposition") or "")
     return {
         "pos": pos,
         "content_type": kind,
-        "disposition": str(part.get("Content-Disposition") or ""),
+        "disposition": disposition,
         "filename": _header_text(part.get_filename() or ""),
         "is_multipart": multipart,
         "text": _body_text(part, payload) if readable else None,
         "size": len(payload),
-        "data": payload,
+        "data": None if readable and not part.get_filename() and not disposition else payload,
     }
 
 
-def _walk(message: Message) -> Iterator[tuple[int, Message]]:
-    for pos, part in enumerate(message.walk(), start=1):
-        if pos > K.MAX_MIME_PARTS:
-            return
-        yield pos, part
-
-
 def _decode_one(seq: str, raw: bytes) -> dict:
     message = email.message_from_bytes(raw)
     try:
-        sent = parsedate_to_datetime(str(message.get("Date", ""))).timestamp()
+        when = parsedate_to_datetime(str(message.get("Date", "")))
+        # "-0000" says that the zone is unknown: taken as UTC, wherever the worker runs
+        sent = (when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp()
     except Exception:  # any unreadable date falls back to the ingest time
         sent = None
     pairs = message.raw_items()
@@ -124,7 +122,7 @@ def _decode_one(seq: str, raw: bytes) -> dict:
         "header_list": [
             {"pos": i, "name": k, "value": _header_text(v)} for i, (k, v) in enumerate(pairs, start=1)
         ],
-        "part_list": [_part_row(pos, part) for pos, part in _walk(message)],
+        "part_list": [_part_row(pos, part) for pos, part in enumerate(message.walk(), start=1)],
         "_corrupt": None,
     }
 
@@ -186,11 +184,14 @@ def _kinds(parts: Column) -> Column:
 
 def shape_messages(decoded: DataFrame, ingest_time: Column, params: Params = DEFAULTS) -> DataFrame:
     """Typed message rows; rejected ones keep their ``_corrupt`` reason."""
-    staged = decoded.withColumn("_parts", _kinds(F.col("part_list")))
+    parts = F.col("part_list")
+    if params.max_parts is not None:
+        parts = F.filter(parts, lambda p: p["pos"] <= params.max_parts)
+    staged = decoded.withColumn("_parts", _kinds(parts))
     staged = staged.withColumn("attachments", attachments_of(F.col("_parts"), F.col("message_id"), params))
     return staged.select(
         F.coalesce("message_id", "seq").alias("message_id"),
-        cap_subject(F.col("subject")).alias("subject"),
+        cap_subject(F.col("subject"), params).alias("subject"),
         format_addresses(F.col("sender_list")).alias("sender"),
         format_addresses(F.col("recipient_list")).alias("recipient"),
         F.coalesce(F.timestamp_micros((F.col("sent_at") * 1000000).cast("bigint")), ingest_time).alias("date"),
@@ -213,4 +214,4 @@ def split_rejects(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def attachment_rows(messages: DataFrame) -> DataFrame:
     """Long attachment table of shaped messages."""
-    return messages.select("message_id", F.explode("attachments").alias("a")).select("message_id", "a.*")
+    return messages.select(*MAILBOX_KEY, F.explode("attachments").alias("a")).select(*MAILBOX_KEY, "a.*")

@@ -11,7 +11,6 @@ Each table is one SQL text in a form both Spark and an ANSI checker accept;
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +98,7 @@ SELECT 'd' || CAST(doc_id AS STRING) AS message_id, doc_id AS n, source || '@mai
        text AS base_text, '' AS base_html, CAST(n_chars * 20000 AS BIGINT) AS size
 FROM @documents@
 UNION ALL
-SELECT 'p' || CAST(page_id AS STRING), page_id, 'web@mail.example', '', html,
+SELECT 'p' || CAST(page_id AS STRING), page_id, 'web' || CAST(page_id % 4 AS STRING) || '@mail.example', '', html,
        CAST(length(html) AS BIGINT) * 20000
 FROM @pages@
 UNION ALL
@@ -107,7 +106,7 @@ SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), conv_id *
        role || '@mail.example', text, '', CAST(length(text) AS BIGINT) * 20000
 FROM @conversations@
 UNION ALL
-SELECT 'o' || CAST(o_orderkey AS STRING), o_orderkey, 'shop' || CAST(o_custkey AS STRING) || '@mail.example',
+SELECT 'o' || CAST(o_orderkey AS STRING), o_orderkey, 'shop' || CAST(1 + o_orderkey % 100 AS STRING) || '@mail.example',
        'Order ' || CAST(o_orderkey AS STRING) || ' is ' || o_orderstatus || ' with priority ' || o_orderpriority,
        '', CAST(floor(o_totalprice * 400) AS BIGINT)
 FROM @orders@
@@ -197,11 +196,13 @@ _LINE_ORDER = (
     " l_returnflag, l_linestatus"
 )
 
-# The part cap is part of the message format: parts past the hundredth do not exist.
+# the mailbox an order's message lies in
+_ORDER_ACCOUNT = "'shop' || CAST(1 + l_orderkey % 100 AS STRING) || '@mail.example'"
 ATTACHMENTS = f"""
-SELECT message_id, pos, filename, content_type, size, head, size > 26214400 AS truncated
+SELECT account_email, folder, message_id, pos, filename, content_type, size, head, size > 26214400 AS truncated
 FROM (
-  SELECT 'o' || CAST(l_orderkey AS STRING) AS message_id,
+  SELECT {_ORDER_ACCOUNT} AS account_email, {pick("l_orderkey", FOLDERS)} AS folder,
+         'o' || CAST(l_orderkey AS STRING) AS message_id,
          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS INT) AS pos,
          'file' || CAST(l_partkey AS STRING) || {pick("l_partkey", EXTENSIONS)} AS filename,
          {pick("l_partkey", ["application/octet-stream", "image/png", "text/csv", "video/mp4"])} AS content_type,
@@ -210,7 +211,6 @@ FROM (
          unhex({pick("l_suppkey + l_linenumber", HEADS)}) AS head
   FROM @lineitem@
 ) AS numbered
-WHERE pos <= 100
 """
 
 MEMBER_NAMES = [
@@ -219,10 +219,13 @@ MEMBER_NAMES = [
 ]
 NESTED_STATES = ["'ok'", "'ok'", "'unreadable'", "'bomb'", "'skipped'", "NULL"]
 
-# A few archives hold a large share of all members; one in 11 rows has a telling name.
+# Each order's first attachment is an archive of its line items; seventh lines all lie in three very large
+# archives of nobody's message.  One in 11 rows has a telling name.
 _MEMBER_ROWS = f"""
-SELECT CASE WHEN l_linenumber >= 5 THEN 'hot' || l_returnflag ELSE 's' || CAST(l_suppkey AS STRING) END AS archive,
-       CASE WHEN l_linenumber = 4 THEN 1 + CAST(l_quantity AS BIGINT) % 20 ELSE 0 END AS parent_pos,
+SELECT CASE WHEN l_linenumber = 7 THEN 'hot' || l_returnflag ELSE 'o' || CAST(l_orderkey AS STRING) END AS archive,
+       CASE WHEN l_linenumber IN (4, 5) THEN 1 + CAST(l_quantity AS BIGINT) % 3 ELSE 0 END AS parent_pos,
+       CASE WHEN l_linenumber = 7 THEN 'hot@mail.example' ELSE {_ORDER_ACCOUNT} END AS account_email,
+       CASE WHEN l_linenumber = 7 THEN 'INBOX' ELSE {pick("l_orderkey", FOLDERS)} END AS folder,
        CASE WHEN (l_partkey + l_linenumber) % 11 = 0 THEN {pick("l_suppkey + l_partkey", MEMBER_NAMES)}
             ELSE 'docs/file' || CAST(l_partkey AS STRING) || '.txt' END AS name,
        CAST(floor(l_extendedprice) AS BIGINT) AS size,
@@ -232,18 +235,16 @@ SELECT CASE WHEN l_linenumber >= 5 THEN 'hot' || l_returnflag ELSE 's' || CAST(l
 FROM @lineitem@
 """
 MEMBERS = f"""
-SELECT archive AS message_id, CAST(1 AS INT) AS pos,
+SELECT account_email, folder, archive AS message_id, CAST(1 AS INT) AS pos,
        CASE WHEN parent_pos = 0 THEN archive ELSE archive || '/' || CAST(parent_pos AS STRING) END AS container,
        archive || CASE WHEN parent_pos = 0 THEN '.zip' ELSE '.zip/inner' END AS container_name,
        CAST(CASE WHEN parent_pos = 0 THEN 0 ELSE 1 END AS INT) AS depth,
        CASE WHEN archive LIKE '%1' OR archive LIKE '%R' THEN 'tar' ELSE 'zip' END AS kind,
-       CAST(row_number() OVER (PARTITION BY archive, parent_pos ORDER BY l_orderkey, {_LINE_ORDER}) AS INT)
-         AS member_pos,
+       row_number() OVER (PARTITION BY l_orderkey, archive, parent_pos ORDER BY {_LINE_ORDER})
+         + CASE WHEN archive LIKE 'hot%' THEN l_orderkey * 64 ELSE 0 END AS member_pos,
        name, size, linkname, nested
 FROM ({_MEMBER_ROWS}) AS rows_of
 """
-# what a listing job hands on: the first thousand members of each archive
-MEMBERS = f"SELECT * FROM ({MEMBERS}) AS numbered WHERE member_pos <= 1000"
 MEMBER_COUNTS = f"""
 SELECT CASE WHEN parent_pos = 0 THEN archive ELSE archive || '/' || CAST(parent_pos AS STRING) END AS container,
        count(*) AS member_count
@@ -262,7 +263,7 @@ FROM (
   SELECT 'conv' || CAST(conv_id AS STRING) AS message_id, CAST(turn + 1 AS INT) AS pos, conv_id + turn AS n, text
   FROM @conversations@
   UNION ALL
-  SELECT 'digest-' || lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INT), doc_id, text
+  SELECT 'digest-' || CAST(CAST(floor(doc_id / 120) AS BIGINT) AS STRING), CAST(1 + doc_id % 120 AS INT), doc_id, text
   FROM @documents@
 ) AS raw_parts
 """
@@ -434,21 +435,9 @@ class SampleTables:
         """A source table as it is."""
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Deal the rows of small local files over all cores.
-
-        A small file is one task.  Text scoring is heavy per row, so samples
-        are spread first; folders that fill the cores by themselves are not.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        if not os.path.isdir(self.folder):
-            return df
-        held = sum(e.stat().st_size for e in os.scandir(self.folder) if e.is_file())
-        return df.repartition(cores) if held < cores * 128 * 1024 * 1024 else df
-
     def mail(self) -> DataFrame:
         """Messages without headers."""
-        source = self.spread(self.sql(MAIL_SOURCE))
+        source = self.sql(MAIL_SOURCE)
         return self.spark.sql(render(MAIL_ROWS, "spark", {"mail_source": "{src}"}), src=source)
 
     def emails(self) -> DataFrame:
@@ -475,7 +464,7 @@ class SampleTables:
         return self.sql(MEMBER_NAMES_SQL)
 
     def parts(self) -> DataFrame:
-        """MIME parts of conversations (one part a turn) and language digests (one part a document)."""
+        """MIME parts of conversations (one part a turn) and digests of 120 documents (one part each)."""
         return self.sql(PARTS)
 
     def observations(self) -> DataFrame:
