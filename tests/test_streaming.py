@@ -66,3 +66,52 @@ def test_each_distinct_text_is_classified_once(spark):
     p = F.lit(0.75)
     assert spark.range(1).select(model_score(p)).first()[0] == 5.0
     assert spark.range(1).select(model_indicator(p)).first()[0].endswith("0.75")
+
+
+def test_a_date_in_the_future_makes_nothing_late(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for day, name in ((10**10, "future"), (1000, "honest"), (1000, "future")):
+        dated = emails(spark, {"message_id": name}).withColumn("date", F.timestamp_seconds(F.lit(day)))
+        dated.coalesce(1).write.mode("append").parquet(source)
+    kept = stream.first_deliveries(stream.file_stream(spark, source, per_cycle=1))
+    running = (
+        kept.writeStream.format("parquet")
+        .option("path", str(tmp_path / "kept"))
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    assert sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == ["future", "honest"]
+
+
+def test_fetching_loop_goes_on_after_a_failed_cycle(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    box = [F.lit(n).cast("bigint").alias(c) for c, n in (("seq", 1), ("size", 10))]
+    accounts = spark.createDataFrame(
+        [("a@example.com", True, True), ("off@example.com", False, True)], "account_email string, enabled boolean, connected boolean"
+    )
+    none = attachments(spark).limit(0)
+    calls = []
+
+    def own(batch):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("mailbox gone")
+        return none
+
+    def run(*rows):
+        emails(spark, *rows).select("*", *box).coalesce(1).write.mode("append").parquet(source)
+        running = stream.monitor(
+            stream.file_stream(spark, source), own, out, once=True, accounts=accounts, go_on=True
+        )
+        running.awaitTermination()
+        assert running.exception() is None
+
+    run({"message_id": "m1"}, {"message_id": "x", "account_email": "off@example.com"})
+    run({"message_id": "m2"})
+    run({"message_id": "m1"}, {"message_id": "m3"})
+    seen = sorted(r.message_id for r in spark.read.parquet(f"{out}/processed").collect())
+    assert seen == ["m1", "m3"]
+    failed = spark.read.parquet(f"{out}/failed").collect()
+    assert [(r.message_id, r.error) for r in failed] == [("m2", "RuntimeError: mailbox gone")]

@@ -20,7 +20,6 @@ SPAM_KEYWORD_GROUPS = [
 URL_PATTERN = r'https?://[^\s<>"]+'
 MONEY_PATTERN = r"\$\d+|\d+\s*(dollar|usd|euro)"
 HIDDEN_TEXT_PATTERN = r"font-size:\s*[0-2]px|color:\s*#fff.{0,100}background.{0,100}#fff"
-ADDRESS_PATTERN = r"[\w\.-]+@[\w\.-]+"
 ADDRESS_DOMAIN_PATTERN = r"[\w\.-]+@([\w\.-]+)"
 
 SUSPICIOUS_HOST_PATTERNS = [
@@ -92,7 +91,6 @@ PSYCHOLOGICAL_PATTERNS = [
 ]
 
 CAPS_WORD_PATTERN = r"\b[A-Z]{4,}\b"
-SENDER_DOMAIN_PATTERN = r"@([\w\.-]+)"
 MODEL_TEXT_CHARS = 4096
 
 # --- fixed values: attachment layer -------------------------------------------

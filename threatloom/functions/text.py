@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -63,7 +62,7 @@ def drop_unprintable(col: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+    return s.str.normalize("NFKC")
 
 
 def normalize_compat(col: Column) -> Column:

@@ -167,6 +167,11 @@ def redact_url_secrets(url: Column) -> Column:
     return let(_part(url, 2), shown)
 
 
+def url_for_display(url: Column) -> Column:
+    """Secrets hidden as by ``redact_url_secrets``, the encoded marker shown in clear."""
+    return F.regexp_replace(redact_url_secrets(url), "%5[bB]REDACTED%5[dD]", K.REDACTED)
+
+
 def redact_urls_in_text(col: Column) -> Column:
     """Redact every URL-like span inside free text."""
 

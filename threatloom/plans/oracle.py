@@ -981,6 +981,18 @@ def _queries() -> dict[str, str]:
               WHEN 8 THEN 'https://api.example/v1?a=1&a=2&b=~%2A&API_KEY=%5BREDACTED%5D&c='
               ELSE url END AS shown
             FROM url_list""",
+        "url_for_display": """
+            SELECT page_id, replace(shown, '%5BREDACTED%5D', '[REDACTED]') AS shown FROM (SELECT page_id, CASE page_id % 13
+              WHEN 0 THEN CASE WHEN contains(url, '#') OR NOT contains(url, '?') THEN url
+                ELSE regexp_replace(regexp_replace(url, '&token=abc', '&token=%5BREDACTED%5D'), '&Token=x%20y',
+                                    '&Token=%5BREDACTED%5D') END
+              WHEN 2 THEN 'https://user:[REDACTED]@shop.example/p?x=1&sig=%5BREDACTED%5D#frag'
+              WHEN 3 THEN 'https://hooks.slack.com/services/T000/B000/[REDACTED]'
+              WHEN 4 THEN regexp_replace(url, '[^/]*$', '[REDACTED]')
+              WHEN 5 THEN regexp_replace(regexp_replace(url, '^HTTPS', 'https'), '[?]$', '')
+              WHEN 8 THEN 'https://api.example/v1?a=1&a=2&b=~%2A&API_KEY=%5BREDACTED%5D&c='
+              ELSE url END AS shown
+            FROM url_list)""",
         "redact_urls_in_text": """
             SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 = 4 THEN
                 replace(replace(replace(text, 'https://api.example/v1?token=abc', 'https://api.example/v1?token=%5BREDACTED%5D'),

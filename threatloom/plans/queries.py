@@ -896,6 +896,11 @@ def redact_url_secrets(t: SampleTables) -> DataFrame:
     return t.urls().select("page_id", urls.redact_url_secrets(F.col("url")).alias("shown"))
 
 
+@query
+def url_for_display(t: SampleTables) -> DataFrame:
+    return t.urls().select("page_id", urls.url_for_display(F.col("url")).alias("shown"))
+
+
 @query
 def redact_urls_in_text(t: SampleTables) -> DataFrame:
     return t.texts().select("conv_id", "turn", urls.redact_urls_in_text(F.col("text")).alias("shown"))
@@ -1080,10 +1085,10 @@ def stream_dedup(t: SampleTables) -> DataFrame:
         F.col("event_id").cast("string").alias("message_id"),
         F.col("event_type").alias("folder"),
         F.lit("a@mail.example").alias("account_email"),
-        F.col("ts").cast("timestamp").alias("date"),
+        F.col("ts").cast("timestamp").alias("arrived"),
     )
     out = shared_folder(t.spark, "dedup")
-    kept = stream.first_deliveries(twice, delay="60 days").select("message_id", "folder", "account_email")
+    kept = stream.first_deliveries(twice, "arrived", "60 days").select("message_id", "folder", "account_email")
     running = (
         kept.writeStream.format("parquet")
         .option("path", f"{out}/kept")
