@@ -2,7 +2,90 @@
 
 from __future__ import annotations
 
+from threatloom.llm import chat, url_filter
+from threatloom.llm.queries import CONTROL_TEXT
+
+SPACE = r"[\x20\x09-\x0D]"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def escaped(text: str) -> str:
+    """A text as a pattern that matches just it."""
+    return "".join("\\" + c if c in r"\.^$*+?()[]{}|" else c for c in text)
+
+
+def _chat() -> str:
+    controls = "|".join(escaped(c) for c in (*chat.RESERVED, *chat.FOREIGN))
+    markers = " ".join(f"WHEN {literal(r)} THEN {len(m)}" for r, m in chat.ROLE_MARKERS.items())
+    marks = f"{len(chat.OTHER_ROLE) + len(chat.HEADER_END)} + length(role)"
+
+    def growth(column: str) -> str:
+        return (
+            f"2 * len(regexp_extract_all({column}, {literal(controls)}))"
+            f" + length({column}) - length(replace({column}, {literal(chat.ESCAPE)}, ''))"
+        )
+
+    return f"""
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', {literal(CONTROL_TEXT)}
+          UNION ALL SELECT -1, 1, 'assistant', {literal(CONTROL_TEXT)})
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(CASE role {markers} ELSE {marks} + {growth("role")} END + length(text) + {growth("text")}
+                        + {len(chat.TURN_END)}) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id"""
+
+
+def _urls() -> str:
+    """Every rule tried on every URL, the first that holds decides."""
+
+    def fits(regex: str) -> str:
+        return f"regexp_matches(page, {literal('^(?:' + regex + ')')}, 's')"
+
+    pages = sorted(url_filter.PAGE_RULES, key=lambda r: (r.rank, r.text), reverse=True)
+    rules = " ".join(f"WHEN {fits(r.regex.replace(chr(92) + '/', '/'))} THEN {literal(r.text)}" for r in pages)
+    verdicts = " ".join(f"WHEN {literal(r.text)} THEN {literal(r.verdict)}" for r in pages)
+    patterns = " ".join(f"WHEN {fits(r.regex)} THEN {literal(r.text)}" for r in url_filter.method_rules())
+    return rf"""
+        WITH cut AS (
+          SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+          FROM pages),
+        hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM cut),
+        parts AS (
+          SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM hosts),
+        judged AS (
+          SELECT page_id, host, path, CASE {rules} END AS rule, CASE {patterns} END AS pattern
+          FROM (SELECT *, host || path AS page FROM parts))
+        SELECT page_id, host, path, rule, pattern,
+               CASE WHEN rule IS NOT NULL THEN CASE rule {verdicts} END
+                    WHEN pattern IS NOT NULL THEN split_part(pattern, ':', 1) ELSE 'allow' END AS verdict
+        FROM judged"""
+
+
+def _lines() -> str:
+    return rf"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        lines AS (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                 unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts),
+        keyed AS (
+          SELECT doc_id, pos, line,
+                 translate(regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+        marked AS (SELECT k.*, c.key IS NOT NULL AS goes FROM keyed k LEFT JOIN common c ON k.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id"""
+
 
 def oracles() -> dict[str, str]:
-    """The SQL by query name."""
-    return {}
+    """The SQL by query name; the others rest on trained models, tokenizers or searches, and are tested by brute force."""
+    return {"op3_chat_format": _chat(), "op6_url_filter": _urls(), "op7_line_dedup": _lines()}
