@@ -294,10 +294,11 @@ def _pairs_of_small_groups(small: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def _differences(clusters: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
-    """(cluster, cid, n, added, removed): how each member differs from what most of its cluster have.
+    """(cluster, cid, n, added, removed): how each member differs from a centre of its cluster.
 
-    The shingles of more than half of a cluster's members are its centre, which
-    is thus at most twice as large as a member is on average.
+    The centre holds the shingles of more than half of a bounded number of
+    members.  Any set would do; one that is near to many members leaves them few
+    differences.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,12 +317,15 @@ def _differences(clusters: DataFrame, texts: DataFrame, params: JoinParams) -> D
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (added, removed)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["cluster", "cid", "n", "added", "removed"])
 
-    members = clusters.join(texts.select("cid", "n", "text"), "cid").select("cluster", "cid", "n", "text")
-    own = members.select("cluster", "text").mapInArrow(sets, "cluster bigint, own array<bigint>")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("cid"), "cid"))
+    few = stored(clusters.withColumn("place", place).where(F.col("place") <= params.large).drop("place"), "centre-members")
+    own = few.join(texts.select("cid", "text"), "cid").select("cluster", "text").mapInArrow(sets, "cluster bigint, own array<bigint>")
     having = own.select("cluster", F.explode("own").alias("h")).groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("having"))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    sizes = few.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     most = having.join(sizes, "cluster").where(F.col("having") * 2 > F.col("members"))
-    centres = most.groupBy("cluster").agg(F.collect_list("h").alias("centre"))
+    # a written table, so that a large cluster's side of the join can be split
+    centres = stored(most.groupBy("cluster").agg(F.collect_list("h").alias("centre")), "centres")
+    members = clusters.join(texts.select("cid", "n", "text"), "cid")
     rows = members.join(centres, "cluster", "left").select("cluster", "cid", "n", "text", "centre")
     schema = "cluster bigint, cid bigint, n bigint, added array<bigint>, removed array<bigint>"
     return stored(rows.mapInArrow(against, schema), "differences")
@@ -350,29 +354,33 @@ def _pairs_of_clusters(clusters: DataFrame, texts: DataFrame, params: JoinParams
     more = Window.partitionBy("cluster").orderBy("r").rowsBetween(1, Window.unboundedFollowing)
     own_removed = F.col("r") * (2 * scale)
     least = F.least(F.min(F.col("u") - own_removed).over(fewer), F.min("u").over(more) - own_removed)
-    bounds = by_removed.select("cluster", "r", least.alias("least_v"))
-    rows = rows.join(hubs, "cluster").join(bounds, ["cluster", "r"])
+    bounds = stored(by_removed.select("cluster", "r", least.alias("least_v")), "bounds")
+    rows = rows.join(stored(hubs, "hubs"), "cluster").join(bounds, ["cluster", "r"])
     central = F.col("u") + F.col("least_u") <= 0
     star = rows.where(central & (F.col("cid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     # how many added ones, or differences of any kind, a partner must share
     need_added = F.ceil((F.col("u") + F.col("least_v")) / (2 * scale))
     need_any = F.ceil((F.col("u") + F.col("least_u")) / (2 * scale))
     by_added = need_added >= 1
-    outer = rows.where(~central).select(
-        "cluster",
-        "cid",
-        *("a", "r", "u"),
-        by_added.alias("by_added"),
-        F.when(by_added, F.col("added")).otherwise(F.concat("added", "removed")).alias("own"),
-        F.when(by_added, F.col("a") - need_added + 1).otherwise(F.col("a") + F.col("r") - need_any + 1).alias("looked_up"),
+    size = F.when(by_added, F.col("a")).otherwise(F.col("a") + F.col("r"))
+    rows = rows.withColumns(
+        {
+            "by_added": by_added,
+            "size": size,
+            "looked_up": F.when(central, F.lit(0)).otherwise(size - F.when(by_added, need_added).otherwise(need_any) + 1),
+            "added": F.transform("added", lambda h: F.struct(h.alias("h"), F.lit(True).alias("is_added"))),
+            "removed": F.transform("removed", lambda h: F.struct(h.alias("h"), F.lit(False).alias("is_added"))),
+        }
     )
-    index = rows.select("cluster", "cid", *("a", "r", "u"), F.explode(F.concat("added", "removed")).alias("h"))
-    index = stored(index, "difference-index")
-    often = index.groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("having"))
-    order = Window.partitionBy("cluster", "cid").orderBy("having", "h")
-    probes = outer.where("looked_up >= 1").withColumn("size", F.size("own")).withColumn("h", F.explode("own")).drop("own")
-    probes = probes.join(often, ["cluster", "h"]).withColumn("rank", F.row_number().over(order))
-    x, y = probes.where("rank <= looked_up and having > 1").alias("x"), index.alias("y")
+    # dealt evenly before every difference becomes a row
+    spread = rows.drop("n", "least_u", "least_v", "hub").repartition("cid")
+    each = spread.withColumn("d", F.explode(F.concat("added", "removed"))).drop("added", "removed").select("*", "d.*").drop("d")
+    having = F.count(F.lit(1)).over(Window.partitionBy("cluster", "h"))
+    counts = F.col("is_added") | ~F.col("by_added")
+    rarest = Window.partitionBy("cluster", "cid").orderBy(counts.desc(), "having", "h")
+    each = each.withColumn("having", having).withColumn("rank", F.row_number().over(rarest))
+    index = stored(each.where("having > 1"), "difference-index")
+    x, y = index.where(counts & (F.col("rank") <= F.col("looked_up"))).alias("x"), index.alias("y")
     shared = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.cid") != F.col("y.cid"))
     # of a pair's first common difference, what is left must hold all they have to share
     left = F.col("x.size") - F.col("x.rank") + 1
