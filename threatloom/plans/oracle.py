@@ -921,13 +921,16 @@ def _queries() -> dict[str, str]:
                      WHEN regexp_matches(upper(line), '{K.REC_YELLOW_PATTERN}') THEN 'YELLOW' ELSE 'GREEN' END AS severity,
                    regexp_replace(line, '^({prefixes})+', '') AS bare
             FROM (SELECT message_id, unnest(advice) AS line FROM rep)""",
-        "alert_payload_json": r"""
-            SELECT message_id, risk AS risk_level,
-                   CASE WHEN suspicious_urls = '' THEN '[]' ELSE
-                     regexp_replace(CAST(to_json(string_split(suspicious_urls, ' | ')) AS VARCHAR), 'token=s3', 'token=%5BREDACTED%5D', 'g')
-                     END AS suspicious_urls,
-                   CASE WHEN urgency = '' THEN '[]' ELSE CAST(to_json(string_split(urgency, ' | ')) AS VARCHAR) END
-                     AS urgency_markers, advice[1] AS first_advice
+        "alert_payload_json": """
+            SELECT message_id, subject, sender, recipient, CAST(epoch(date) AS BIGINT) AS sent, risk AS risk_level,
+                   round(overall, 4) AS overall_threat_score, round(spam_score, 4) AS spam_score,
+                   round(nlp_score, 4) AS nlp_score, round(media_score, 4) AS media_score, spam_risk, nlp_risk, media_risk,
+                   indicators, header_issues,
+                   regexp_replace(suspicious_urls, 'token=s3', 'token=%5BREDACTED%5D', 'g') AS suspicious_urls,
+                   social AS social_engineering_indicators, urgency AS urgency_markers,
+                   authority AS authority_impersonation, psychological AS psychological_triggers, file_type_warnings,
+                   suspicious_attachments, size_anomalies, flagged AS potential_deepfakes,
+                   array_to_string(advice, ' | ') AS recommendations
             FROM alerted""",
         "alert_payload_chat": f"""
             SELECT message_id, '{{"text":"New email security threat detected","attachments":[{{"color":"' || {color}

@@ -790,13 +790,21 @@ def recommendation_class(t: SampleTables) -> DataFrame:
 @query
 def alert_payload_json(t: SampleTables) -> DataFrame:
     sent = fusion.alerts(_reports(t)).withColumn("date", F.unix_timestamp("date"))
-    # numbers print differently from engine to engine; the text lists are compared whole
-    return payloads.json_payload(sent).select(
+    # numbers print differently from engine to engine, so the payload is read back, once and whole
+    read = payloads.json_payload(sent).select(F.from_json("payload", sent.schema).alias("p")).select("p.*")
+    lists = {
+        "spam": ("indicators", "header_issues", "suspicious_urls"),
+        "nlp": ("social_engineering_indicators", "urgency_markers", "authority_impersonation", "psychological_triggers"),
+        "media": ("file_type_warnings", "suspicious_attachments", "size_anomalies", "potential_deepfakes"),
+    }
+    return read.select(
         "message_id",
-        F.get_json_object("payload", "$.risk_level").alias("risk_level"),
-        F.get_json_object("payload", "$.spam.suspicious_urls").alias("suspicious_urls"),
-        F.get_json_object("payload", "$.nlp.urgency_markers").alias("urgency_markers"),
-        F.get_json_object("payload", "$.recommendations[0]").alias("first_advice"),
+        *("subject", "sender", "recipient", F.col("date").alias("sent"), "risk_level"),
+        rounded("overall_threat_score").alias("overall_threat_score"),
+        *[rounded(f"{layer}.score").alias(f"{layer}_score") for layer in lists],
+        *[F.col(f"{layer}.risk_level").alias(f"{layer}_risk") for layer in lists],
+        *[joined(f"{layer}.{name}").alias(name) for layer, names in lists.items() for name in names],
+        joined("recommendations").alias("recommendations"),
     )
 
 
