@@ -276,18 +276,24 @@ def linked(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
-def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, cid, comp, members): the members of groups that still hold several components."""
-    rows = groups.select("sig", "cid").union(groups.select("sig", F.col("pivot").alias("cid"))).distinct()
-    named = rows.join(labels, "cid").select("sig", "cid", "comp")
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), F.count("cid").alias("members"))
-    return named.join(mixed.where("one <> two").select("sig", "members"), "sig")
+def _clusters(groups: DataFrame, params: JoinParams) -> DataFrame:
+    """(cid, cluster): classes that large groups connect."""
+    sizes = Window.partitionBy("sig")
+    large = groups.withColumn("members", F.count(F.lit(1)).over(sizes)).where(F.col("members") >= params.large)
+    return stored(component_labels(large.select(F.col("pivot").alias("a"), F.col("cid").alias("b"))).toDF("cid", "cluster"), "clusters")
 
 
-def _pairs_of_small_groups(small: DataFrame, clusters: DataFrame) -> DataFrame:
+def _pairs_of_small_groups(groups: DataFrame, labels: DataFrame, clusters: DataFrame, params: JoinParams) -> DataFrame:
     """Pairs (a, b) of different components within groups of a bounded size, unless one cluster holds both."""
-    named = small.join(clusters, "cid", "left").select("sig", "cid", "comp", F.coalesce("cluster", "cid").alias("cluster"))
-    a, b = named.alias("a"), named.alias("b")
+    known = labels.join(clusters, "cid", "left").select("cid", "comp", F.coalesce("cluster", "cid").alias("cluster"))
+    rows = groups.select("sig", "cid").union(groups.select("sig", F.col("pivot").alias("cid")).distinct())
+    named = rows.join(stored(known, "known-classes"), "cid")
+    group = Window.partitionBy("sig")
+    mixed = [F.min(c).over(group) != F.max(c).over(group) for c in ("comp", "cluster")]
+    # a large group lies in one cluster, so what is left is small
+    still = named.withColumn("still", mixed[0] & mixed[1]).where("still").select("sig", "cid", "comp", "cluster")
+    still = stored(still, "open-groups")
+    a, b = still.alias("a"), still.alias("b")
     apart = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.cluster") != F.col("b.cluster"))
     same = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid"))
     return a.join(b, same & apart).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
@@ -405,23 +411,19 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
     known = stored(classes(docs, params), "classes")
-    groups = stored(signature_groups(signature_rows(docs, params)), "signature-groups")
+    groups = stored(signature_groups(signature_rows(docs, params)).distinct(), "signature-groups")
     wanted = groups.select("cid").union(groups.select(F.col("pivot").alias("cid"))).distinct()
     wanted = stored(wanted, "candidate-classes")
     texts = stored(class_texts(docs, known, wanted, params), "class-texts")
     tested = stored(groups.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "candidates")
     links = stored(linked(stored(near(tested, texts, params), "near"), texts, params), "links")
     labels = _merged(wanted.select("cid", F.col("cid").alias("comp")), links)
-    still = stored(_open_groups(groups, labels), "open-groups")
-    large = still.where(F.col("members") > params.large)
-    # groups with common members are one cluster
-    firsts = Window.partitionBy("sig").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chains = large.select(F.first("cid").over(firsts).alias("a"), F.col("cid").alias("b"))
-    clusters = stored(component_labels(chains).toDF("cid", "cluster"), "clusters")
-    small = still.where(F.col("members") <= params.large)
-    pairs = _pairs_of_small_groups(small, clusters)
-    if not clusters.isEmpty():
-        pairs = pairs.union(_pairs_of_clusters(clusters, texts, params)).distinct()
+    clusters = _clusters(groups, params)
+    pairs = _pairs_of_small_groups(groups, labels, clusters, params)
+    several = clusters.join(labels, "cid").groupBy("cluster").agg(F.min("comp").alias("one"), F.max("comp").alias("two"))
+    still = stored(clusters.join(several.where("one <> two").select("cluster"), "cluster").select("cid", "cluster"), "open-clusters")
+    if not still.isEmpty():
+        pairs = pairs.union(_pairs_of_clusters(still, texts, params)).distinct()
     new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
     labels = _merged(labels, linked(stored(near(new, texts, params), "near"), texts, params))
     return _named(known, labels)

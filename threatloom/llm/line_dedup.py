@@ -180,8 +180,8 @@ def unpack_bitmap(bitmap: bytes | None, n_lines: int) -> np.ndarray:
     """Which of ``n_lines`` lines stay; all, without a bitmap."""
     keep = np.ones(n_lines, bool)
     if bitmap:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")
-        keep[: len(bits)] = bits[:n_lines]  # lines after the last bit stay
+        bits = _flags(bitmap)
+        keep[: len(bits)] = bits[:n_lines]
     return keep
 
 
@@ -246,20 +246,29 @@ def cleaned_documents(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     with the first document that said it.
     """
 
-    @F.arrow_udf("string")
-    def shortened(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        made = [surviving(t, b)[0] for t, b in zip(byte_texts(texts), marks.to_pylist(), strict=True)]
-        return pa.array(made, pa.binary()).cast(pa.string())
-
-    joined = with_bitmaps(docs, bitmaps)
-    touched = joined.where("bitmap is not null").select(
-        "row", shortened(F.col("row.text").cast("string"), F.col("bitmap")).alias("shorter")
-    )
-    untouched = joined.where("bitmap is null").select("row", F.col("row.text").cast("string").alias("shorter"))
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_flags(mark) for mark in batch.column(2).to_pylist()]
+            arrays = [batch.column(0), batch.column(1), pa.array(keep, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*DOCUMENT, "bitmap"])
+
+    # only bitmaps go to Python, and texts are shuffled once
+    rows = bitmaps.select(*DOCUMENT, "bitmap")
+    unpacked = rows.mapInArrow(flags, "doc_id bigint, text_hash bigint, bitmap array<boolean>")
+    joined = with_bitmaps(docs, unpacked)
+    old, keep = F.col("row.text").cast("string"), F.col("bitmap")
+    lines = F.filter(F.split(old, "\n", -1), lambda line, at: F.coalesce(F.get(keep, at), F.lit(True)))
+    marked = joined.withColumn("shorter", F.when(keep.isNotNull(), F.array_join(lines, "\n")))
+    left = marked.where(keep.isNull() | F.col("shorter").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("shorter"), "n_chars": F.length("shorter").cast("bigint")}
 
-    def columns(changed: bool) -> list[Column]:
-        return [new[c].alias(c) if changed and c in new else F.col("row." + quoted(c)) for c in docs.columns]
+    def column(name: str) -> Column:
+        before = F.col("row." + quoted(name))
+        return (F.when(keep.isNotNull(), new[name]).otherwise(before) if name in new else before).alias(name)
+
+    return left.select(*map(column, docs.columns))
+
 
-    left = touched.where(F.col("shorter").rlike(r"[^\x20\x09-\x0D]")).select(*columns(True))
-    return left.unionByName(untouched.select(*columns(False)))
+def _flags(bitmap: bytes) -> np.ndarray:
+    """Which lines stay, up to the last bit; lines after it stay."""
+    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little").astype(bool)
