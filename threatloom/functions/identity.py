@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threatloom.functions import constants as K
+from threatloom.functions.patterns import unicode_regex
 from threatloom.functions.text import at_most, sanitize_log, strip, text
 
 
@@ -81,12 +82,12 @@ def format_addresses(addresses: Column) -> Column:
 
 def sender_domain(sender: Column) -> Column:
     """Domain after the first ``@`` of a lower-cased sender, else empty."""
-    return F.regexp_extract(F.lower(text(sender)), r"@([\p{L}\p{N}_.\-]+)", 1)
+    return F.regexp_extract(F.lower(text(sender)), unicode_regex(K.SENDER_DOMAIN_PATTERN), 1)
 
 
 def first_address(col: Column) -> Column:
     """First address-like token of a lower-cased text, else empty."""
-    return F.regexp_extract(F.lower(text(col)), r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+", 0)
+    return F.regexp_extract(F.lower(text(col)), unicode_regex(K.ADDRESS_PATTERN), 0)
 
 
 def path_traversal(path: Column) -> Column:
