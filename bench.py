@@ -54,7 +54,7 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     known = registry()
     names = list(known) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
-    spark = local_session(cpus)
+    spark = local_session(cpus, **{"threatloom.samplePartitions": str(cpus)})
     seconds = {}
     for name in names:
         seconds[name] = round(timed(known[name], spark, folder, repeats), 3)
