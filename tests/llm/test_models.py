@@ -112,3 +112,39 @@ def test_models_on_awkward_rows(spark):
             assert len(rows) == 10
             assert all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in rows)
         assert report(documents(spark, []).limit(0), one_kind).count() == 0
+
+
+def test_copies_of_examples_without_telling_terms_are_found(spark):
+    """Also where toxic examples are too few for any term to count for more."""
+    docs, labels, _ = fixture(spark, toxic_words=("v1",))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:40]
+    texts = {r["doc_id"]: r["text"] for r in docs.where(docs.doc_id.isin(ids)).collect()}
+    copies = documents(spark, [(1000 + i, texts[i]) for i in ids])
+    few = labels.where(labels.doc_id.isin(ids[:12]))
+    for known in (labels, few):
+        wanted = ids if known is labels else ids[:12]
+        rows = {r["doc_id"]: r for r in toxicity.toxicity_report(docs.union(copies), known).collect()}
+        assert all(rows[1000 + i]["neighbours"][0] == i and rows[1000 + i]["terms"] for i in wanted)
+        assert all(r["neighbours"] for r in rows.values())
+
+
+def test_cosines_are_of_whole_texts(spark):
+    texts = [(i, " ".join(prose(i, 30, 90))) for i in range(60)]
+    docs = documents(spark, texts)
+    index = toxicity.fit_index(docs, spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(60)], LABELS))
+    having = {}
+    for _, text in texts:
+        for w in set(text.split()):
+            having[w] = having.get(w, 0) + 1
+
+    def vector(text):
+        n = {w: text.split().count(w) for w in set(text.split())}
+        v = {w: (1 + np.log(c)) * (np.log(61 / (1 + having.get(w, 0))) + 1) for w, c in n.items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    query = texts[3][1] + " never seen seen"
+    got = index.cosines([index.vocabulary.all_counts(query.encode())])[0]
+    q = vector(query)
+    wanted = [sum(x * q.get(w, 0) for w, x in vector(dict(texts)[i]).items()) for i in index.ids.tolist()]
+    assert np.allclose(got, wanted)

@@ -1,29 +1,37 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine over whole texts.
 
-Fitting reads a bounded sample of labelled documents.  What counts are words, how
-they begin, and whether the same occurs twice; what toxic examples have clearly
-more often than other examples becomes a term.  Terms are weighed by their
-document frequency in the whole corpus.  The examples form an inverted index cut into blocks of examples, with each term's
-largest weight in each block.  A query sums these for an upper bound per block
-and reads blocks from the highest bound down, until no further block can hold
-anything nearer than the neighbours it has: the result is exact.
+Fitting reads a bounded sample of labelled documents.  Every word of these
+examples is a term, weighed by its document frequency in the whole corpus.
+Words, how they begin, and whether the same occurs twice count for more, as
+terms of their own, where toxic examples have them clearly more often than
+other examples.  That is a further weight: no text is left out for having none
+of them, so a copy of an example always finds it.
+
+The examples form an inverted index.  Terms that many examples have are rows of
+a matrix, multiplied for many texts at once; postings of the others are added
+up.  All examples that share a term are compared: the result is exact.
 
 The vote is the mean label of the neighbours, weighted by cosine, with the share
-of toxic examples among those without any term as a prior; a logistic curve
-fitted on votes of examples that leave themselves out turns it into a score.
-Evidence is the neighbours' ids and the terms shared with them.
+of toxic examples among those without any term as a prior (of all, if each has
+one); a logistic curve fitted on votes of examples that leave themselves out
+turns it into a score.  Evidence is the neighbours' ids and the terms shared
+with them, the weightiest first.  Words that no example has count for the length
+of a text, as those of no document.
 
 Null and empty texts have no terms and get the score of an empty vote, as does
-every text without a term.  Ties between neighbours go to the earlier example.
-Repeated rows score alike.  Without labels of both kinds the score is the share
-of toxic examples, one half without any; an empty table gives no rows.
+every text that shares no word with any example.  Ties between neighbours go to
+the earlier example.  Repeated rows score alike.  Without labels of both kinds
+the score is the share of toxic examples, one half without any; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +48,10 @@ FIELDS = "score double, vote double, neighbours array<bigint>, terms array<strin
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``examples`` bounds the labelled sample; a term's shares differ by ``least_z`` deviations at least."""
+    """``examples`` bounds the labelled sample; shares of a term that counts for more differ by ``least_z`` deviations.
+
+    Terms that more than four in ``block`` examples have are multiplied as a matrix.
+    """
 
     examples: int = 8192
     least_docs: int = 8
@@ -51,6 +62,8 @@ class ToxicityParams:
 
 PREFIXES = (4, 5, 6, 7)
 TWICE = "+"
+# texts whose cosines are computed together
+TOGETHER = 64
 
 
 def pieces(word: str) -> list[str]:
@@ -78,104 +91,167 @@ class Vocabulary:
         place = {t: i for i, t in enumerate(terms)}
         self.once = [place.get(b, -1) for b in bases]
         self.twice = [place.get(b + TWICE, -1) for b in bases]
-        self.seen: dict[bytes, tuple[int, ...]] = {}
+        self.starts = {b[: PREFIXES[0]] for b in bases if b.endswith("*")}
+        self.seen: dict[bytes, int | tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "seen": {}}
 
-    def _bases(self, word: bytes) -> tuple[int, ...]:
+    def _find(self, word: bytes) -> int | tuple[int, ...]:
+        """The term of a word that stands for nothing else, -1 for a word without a term; or else all bases."""
         if len(self.seen) > 300_000:
             self.seen.clear()
-        found = tuple(self.base[p] for p in pieces(word.decode()) if p in self.base)
+        text = word.decode()
+        parts = pieces(text) if text[: PREFIXES[0]] in self.starts else (text,)
+        found = tuple(self.base[p] for p in parts if p in self.base)
+        if not found:
+            return -1  # words of junk are mostly unique: not remembered
+        if len(found) == 1 and text in self.base and self.twice[found[0]] < 0:
+            found = self.once[found[0]]
         self.seen[word] = found
         return found
 
-    def counts(self, text: bytes) -> tuple[list[int], list[int]]:
-        """The text's terms in order, and how often each occurs."""
-        seen, tally = self.seen, Counter()
+    def tally(self, text: bytes) -> tuple[dict[int, int], list[int]]:
+        """How often each of the text's terms occurs, and each word that has no term."""
+        seen, own, several, unknown = self.seen, {}, defaultdict(int), []
         for word, n in Counter(words_of(text)).items():
             found = seen.get(word)
-            for base in self._bases(word) if found is None else found:
-                tally[base] += n
-        own = {self.once[b]: n for b, n in tally.items()} | {self.twice[b]: n for b, n in tally.items() if n > 1}
-        own.pop(-1, None)
+            if found is None:
+                found = self._find(word)
+            if found.__class__ is tuple:
+                for base in found:
+                    several[base] += n
+            elif found >= 0:
+                own[found] = n
+            else:
+                unknown.append(n)
+        if several:
+            own |= {self.once[b]: n for b, n in several.items()} | {self.twice[b]: n for b, n in several.items() if n > 1}
+            own.pop(-1, None)
+        return own, unknown
+
+    def all_counts(self, text: bytes) -> tuple[list[int], list[int], list[int]]:
+        """The text's terms in order, how often each occurs, and each word that has no term."""
+        own, unknown = self.tally(text)
         order = sorted(own)
-        return order, [own[t] for t in order]
+        return order, [own[t] for t in order], unknown
 
 
 @dataclass
 class Index:
-    """Inverted index over the examples, in blocks, with the largest weight of each term in each block."""
+    """Inverted index over the examples: postings by term, and the terms of each example."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]  # by term, then block: places and weights
-    most: np.ndarray  # term x block
+    first: np.ndarray  # of each term's postings, and the end
+    places: np.ndarray
+    weights: np.ndarray
+    own: list[np.ndarray]
+    common: np.ndarray  # the row of a term in the matrix, or -1
     params: ToxicityParams
+    unknown: float = 0.0  # idf of a word that no example has
     prior: float = 0.5
     curve: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def of(cls, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple], params: ToxicityParams) -> Index:
+    def of(
+        cls, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple], params: ToxicityParams, unknown: float = 0.0
+    ) -> Index:
         """``examples`` are (id, label, terms, counts)."""
-        terms = vocabulary.terms
-        blocks = -(-len(examples) // params.block)
-        most = np.zeros((len(terms), blocks))
-        lists: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in terms]
-        for n, (_, _, own, counts) in enumerate(examples):
-            for term, weight in zip(own, unit(own, counts, idf), strict=True):
-                places, weights = lists[term].setdefault(n // params.block, ([], []))
-                places.append(n % params.block)
-                weights.append(weight)
-                most[term, n // params.block] = max(most[term, n // params.block], weight)
-        postings = [{b: (np.array(p), np.array(w)) for b, (p, w) in found.items()} for found in lists]
+        own = [np.asarray(e[2], np.int32) for e in examples]
+        terms = np.concatenate([np.zeros(0, np.int32), *own])
+        weights = np.concatenate([np.zeros(0), *(unit(o, e[3], idf) for o, e in zip(own, examples, strict=True))])
+        places = np.repeat(np.arange(len(own), dtype=np.int32), [len(o) for o in own])
+        order = np.argsort(terms, kind="stable")
+        size = np.bincount(terms, minlength=len(vocabulary.terms))
+        often = size * params.block > 4 * len(own)
+        common = np.where(often, np.cumsum(often) - 1, -1)
         labels = np.array([e[1] for e in examples], float)
-        index = cls(vocabulary, idf, labels, np.array([e[0] for e in examples], np.int64), postings, most, params)
-        bare = [e[1] for e in examples if not e[2]] or labels.tolist()
+        ids = np.array([e[0] for e in examples], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        index = cls(vocabulary, idf, labels, ids, first, places[order], weights[order], own, common, params, unknown)
+        bare = [e[1] for e in examples if not len(e[2])] or labels.tolist()
         index.prior = (sum(bare) + 0.5) / (len(bare) + 1)
         if 0 < labels.sum() < len(labels):
-            votes = np.array([index.vote(own, counts, n)[0] for n, (_, _, own, counts) in enumerate(examples)])
+            texts = [(o, e[3], ()) for o, e in zip(own, examples, strict=True)]
+            votes = np.array([vote for vote, _ in index.votes(texts, range(len(texts)))])
             index.curve = logistic(votes, labels)
         return index
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("matrix", "marked")}
+
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """Weights of the common terms in each example."""
+        made = np.zeros((int((self.common >= 0).sum()), len(self.own)))
+        for term in np.flatnonzero(self.common >= 0).tolist():
+            low, high = self.first[term], self.first[term + 1]
+            made[self.common[term], self.places[low:high]] = self.weights[low:high]
+        return made
+
+    @cached_property
+    def marked(self) -> np.ndarray:
+        """One flag for each term, all down."""
+        return np.zeros(len(self.idf), bool)
+
+    def cosines(self, texts: list[tuple]) -> np.ndarray:
+        """Cosine of each (terms, counts, counts of words without a term) with each example."""
+        dense = np.zeros((len(texts), len(self.matrix)))
+        rest = []
+        for n, (own, counts, unknown) in enumerate(texts):
+            own = np.asarray(own, np.int64)
+            weights = unit(own, counts, self.idf, [self.unknown * (1 + log(c)) for c in unknown])
+            row = self.common[own]
+            dense[n, row[row >= 0]] = weights[row >= 0]
+            rest.append((own[row < 0], weights[row < 0]))
+        scores = dense @ self.matrix
+        for n, (own, weights) in enumerate(rest):
+            low = self.first[own]
+            size = self.first[own + 1] - low
+            at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            added = np.repeat(weights, size) * self.weights[at]
+            scores[n] += np.bincount(self.places[at], weights=added, minlength=len(self.own))
+        # alike copies tie, in whatever order their products were added
+        return scores.round(12)
+
     def nearest(self, own: list[int], counts: list[int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples, nearest first; exact."""
-        weights = unit(own, counts, self.idf)
-        bounds = weights @ self.most[own]
-        order = np.argsort(-bounds, kind="stable")
-        size, wanted = self.params.block, self.params.neighbours
-        places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in order.tolist():
-            if bounds[block] <= 0 or (len(cosines) == wanted and bounds[block] < cosines[-1] - 1e-12):
-                break
-            scores = np.zeros(size)
-            for term, weight in zip(own, weights.tolist(), strict=True):
-                if block in self.postings[term]:
-                    at, values = self.postings[term][block]
-                    scores[at] += weight * values
-            if without // size == block and without >= 0:
-                scores[without % size] = 0
-            at = np.flatnonzero(scores > 0)
-            places = np.concatenate([places, at + block * size])
-            cosines = np.concatenate([cosines, scores[at]])
-            best = np.lexsort((places, -cosines))[:wanted]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
-
-    def vote(self, own: list[int], counts: list[int], without: int = -1) -> tuple[float, np.ndarray]:
-        """Distance-weighted share of toxic neighbours, with one neighbour's worth of prior."""
-        if not own or not len(self.labels):
-            return self.prior, np.zeros(0, np.int64)
-        places, cosines = self.nearest(own, counts, without)
-        weight = cosines**2
-        return float((weight @ self.labels[places] + self.prior) / (weight.sum() + 1)), places
-
-    def has_any(self, term: int, places: list[int]) -> bool:
-        """Whether one of the examples has the term."""
-        found = ((self.postings[term].get(p // self.params.block), p % self.params.block) for p in places)
-        return any(at is not None and bool((at[0] == own).any()) for at, own in found)
+        return self._best(self.cosines([(own, counts, ())])[0], without)
+
+    def _best(self, scores: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        wanted = self.params.neighbours
+        if without >= 0:
+            scores[without] = 0
+        least = np.partition(scores, -wanted)[-wanted] if len(scores) > wanted else 0.0
+        places = np.flatnonzero((scores >= least) & (scores > 0))
+        places = places[np.lexsort((places, -scores[places]))[:wanted]]
+        return places, scores[places]
+
+    def votes(self, texts: list[tuple], without: Iterable[int] = ()) -> Iterator[tuple[float, np.ndarray]]:
+        """For each text the weighted share of toxic neighbours, with one neighbour's worth of prior, and their places."""
+        leave = list(without) or [-1] * len(texts)
+        for low in range(0, len(texts), TOGETHER):
+            part = texts[low : low + TOGETHER]
+            scores = self.cosines(part) if len(self.labels) else np.zeros((len(part), 0))
+            for row, left in zip(scores, leave[low:], strict=False):
+                places, cosines = self._best(row, left)
+                weight = cosines**2
+                yield float((weight @ self.labels[places] + self.prior) / (weight.sum() + 1)), places
+
+    def shared(self, text: tuple, places: list[int]) -> list[str]:
+        """The text's terms that one of the examples has, the weightiest first."""
+        own = np.asarray(text[0], np.int64)
+        if not len(own) or not len(places):
+            return []
+        theirs = np.concatenate([self.own[p] for p in places])
+        self.marked[theirs] = True
+        has = self.marked[own]
+        self.marked[theirs] = False
+        order = np.argsort(-unit(own, text[1], self.idf)[has], kind="stable")
+        return [self.vocabulary.terms[t] for t in own[has][order].tolist()]
 
     def score(self, vote: float) -> float:
         slope, shift = self.curve
@@ -183,10 +259,10 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(slope * logit + shift, -40, 40))))
 
 
-def unit(own: list[int], counts: list[int], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights of length one; term frequencies are dampened."""
+def unit(own: list[int], counts: list[int], idf: np.ndarray, more: list[float] = ()) -> np.ndarray:
+    """TF-IDF weights, of length one together with weights ``more``; term frequencies are dampened."""
     weights = (1 + np.log(np.array(counts, float))) * idf[own]
-    length = np.sqrt((weights**2).sum())
+    length = np.sqrt((weights**2).sum() + (np.array(more, float) ** 2).sum())
     return weights / length if length else weights
 
 
@@ -211,8 +287,8 @@ def labelled_sample(labels: DataFrame, params: ToxicityParams) -> DataFrame:
     return bounded_sample(rows, "doc_id", params.examples)
 
 
-def telling_terms(examples: DataFrame, params: ToxicityParams) -> list[str]:
-    """Terms that a clearly larger share of toxic examples has than of other ones."""
+def telling_terms(examples: DataFrame, params: ToxicityParams) -> dict[str, float]:
+    """Terms that a clearly larger share of toxic examples has than of other ones, and by how many deviations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         having: Counter = Counter()
@@ -228,34 +304,56 @@ def telling_terms(examples: DataFrame, params: ToxicityParams) -> list[str]:
     # of a bounded sample, these too are few
     found = sorted((r["term"], r["docs"]) for r in common.collect())
     if not found:
-        return []
+        return {}
     terms, with_it = [t for t, _ in found], np.array([n for _, n in found], float)
     n_toxic = toxic.count()
     others, n_other = term_frequencies(examples.where("toxic = 0"), terms)
     if not n_other:
-        return []
+        return {}
     share = (with_it + others) / (n_toxic + n_other)
     apart = with_it / n_toxic - others / n_other
     deviation = np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
-    return [t for t, a, d in zip(terms, apart, deviation, strict=True) if a >= params.least_z * d and a > 0]
+    return {
+        t: a / d if d else params.least_z
+        for t, a, d in zip(terms, apart.tolist(), deviation.tolist(), strict=True)
+        if a >= params.least_z * d and a > 0
+    }
+
+
+def example_words(examples: DataFrame) -> list[str]:
+    """Every word of the examples; of a bounded sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[bytes] = set()
+        for batch in batches:
+            for text in byte_texts(batch.column(0)):
+                words.update(words_of(text))
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string())], names=["word"])
+
+    found = examples.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string").distinct()
+    return found.toArrow().column(0).to_pylist()
 
 
 def term_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
     """In how many documents each term occurs, and the number of documents."""
-    vocabulary = Vocabulary(terms)
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        having, read = np.zeros(len(terms) + 1, np.int64), 0
+        vocabulary = sent.value
+        having, read = np.zeros(len(vocabulary.terms) + 1, np.int64), 0
         for batch in batches:
             for text in byte_texts(batch.column(0)):
-                having[vocabulary.counts(text)[0]] += 1
+                having[list(vocabulary.tally(text)[0])] += 1
             read += batch.num_rows
         having[-1] = read
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(having))), pa.array(having)], names=["term", "docs"])
+        some = np.flatnonzero(having)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(having[some])], names=["term", "docs"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term bigint, docs bigint")
-    found = {r[0]: r[1] for r in counted.groupBy("term").agg(F.sum("docs")).collect()}
-    return np.array([found.get(i, 0) for i in range(len(terms))], float), found.get(len(terms), 0)
+    found = counted.groupBy("term").agg(F.sum("docs")).toArrow()
+    having = np.zeros(len(terms) + 1)
+    having[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return having[:-1], int(having[-1])
 
 
 def fit_index(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> Index:
@@ -263,29 +361,41 @@ def fit_index(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxic
     sample = F.broadcast(labelled_sample(labels, params))
     examples = docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
     examples = stored(examples, "toxicity-examples")
-    vocabulary = Vocabulary(telling_terms(examples, params))
+    telling = telling_terms(examples, params)
+    vocabulary = Vocabulary(sorted({*example_words(examples), *telling}))
     having, total = term_frequencies(docs, vocabulary.terms)
-    idf = np.log((1 + total) / (1 + having)) + 1
+    idf = (np.log((1 + total) / (1 + having)) + 1) * np.array([telling.get(t, 1.0) for t in vocabulary.terms])
 
     def make():
-        return lambda texts: list(zip(*map(vocabulary.counts, texts), strict=True)) or [[], []]
+        def packed(texts: Texts) -> list:
+            counted = [vocabulary.all_counts(t) for t in texts]
+            return [[np.array(c[i], np.int32).tobytes() for c in counted] for i in range(2)]
 
-    counted, name = with_struct(examples, "text", "terms array<int>, counts array<int>", make, ["doc_id", "toxic"])
+        return packed
+
+    counted, name = with_struct(examples, "text", "terms binary, counts binary", make, ["doc_id", "toxic"])
     rows = counted.select("doc_id", "toxic", f"{name}.*").collect()
-    return Index.of(vocabulary, idf, sorted((r[0], r[1], list(r[2]), list(r[3])) for r in rows), params)
+    known = sorted((r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in rows)
+    return Index.of(vocabulary, idf, known, params, float(np.log(1 + total) + 1))
 
 
 def score_toxicity(docs: DataFrame, index: Index, keep: list[str] | None = None) -> tuple[DataFrame, str]:
-    """Columns ``keep`` (all by default) and a struct with score, vote and evidence; its name."""
+    """Columns ``keep`` (all by default) and a struct with score, vote and evidence; its name.
+
+    The index is a broadcast variable, of which a worker holds one for all its tasks.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
+        index = sent.value
+
         def score(texts: Texts) -> list:
             rows = []
-            for text in texts:
-                own, counts = index.vocabulary.counts(text)
-                vote, places = index.vote(own, counts)
-                names = [index.vocabulary.terms[t] for t in own if index.has_any(t, places.tolist())]
-                rows.append((index.score(vote), vote, index.ids[places].tolist(), names))
+            for low in range(0, len(texts), TOGETHER):
+                counted = [index.vocabulary.all_counts(t) for t in texts[low : low + TOGETHER]]
+                for text, (vote, places) in zip(counted, index.votes(counted), strict=True):
+                    shared = index.shared(text, places.tolist())
+                    rows.append((index.score(vote), vote, index.ids[places].tolist(), shared))
             return list(zip(*rows, strict=True)) if rows else [[]] * 4
 
         return score
