@@ -71,6 +71,35 @@ def test_every_similar_window_is_verified_exactly():
     assert total >= 20 and missed <= total * 0.05
 
 
+def test_texts_shorter_than_an_item_are_one_window(spark):
+    items = [prose(i, 59 + i, 5000) for i in range(6)]
+    texts = [[i[:30] + i[31:], i[:-1], i[4:], i[:30], i[:3]] for i in items]
+    docs = documents(spark, [" ".join(t) for five in texts for t in five])
+    found = decontaminate.leaks(docs, bench(spark, [" ".join(t) for t in items])).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(5 * i + k, i) for i in range(6) for k in range(3)}
+    assert all((r["start_word"], r["n_words"]) == (0, 59 + r["item_id"] - (4 if r["doc_id"] % 5 == 2 else 1)) for r in found)
+
+
+def test_short_texts_are_verified_exactly():
+    """Whole texts against every item, without gate, fingerprint or index."""
+    params = decontaminate.LeakParams()
+    items = [(i, " ".join(prose(i, 30 + i % 7, 60)).encode()) for i in range(20)]
+    index = decontaminate.BenchmarkIndex.of(items, params)
+    missed = total = 0
+    for seed in range(200):
+        item = items[seed % 20][1].decode().split()
+        text = " ".join(item[seed % 3 : len(item) - 1 - seed % 4]).encode()
+        w = decontaminate.folded_words(text)
+        got = {m[0]: m[4] for m in index.matches(text)}
+        for item_id, length, own, _ in index.items:
+            if length > len(w):
+                alike = index.similarity(decontaminate.shingles(w, 5), own)
+                total += alike >= params.similarity
+                missed += alike >= params.similarity and item_id not in got
+                assert item_id not in got or got[item_id] == pytest.approx(alike) and alike >= params.similarity
+    assert total >= 100 and missed <= total * 0.05
+
+
 def test_leaks_of_awkward_rows(spark):
     docs = clashing(awkward(spark))
     items = spark.createDataFrame([(1, "a b c d e f g h"), (2, None), (3, ""), (None, "another"), (4, "a b")], ITEMS)

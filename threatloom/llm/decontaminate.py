@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-A document's words are read in windows as long as each benchmark item.  A
-window and an item have a SimHash of their weighted shingles; fingerprints are
+A document's words are read in windows as long as each benchmark item; one that
+is shorter than an item is a single window for it, the whole text.  A window and an item have a SimHash of their weighted shingles; fingerprints are
 cut into ``radius + 1`` blocks and indexed by block, so every fingerprint
 within the radius shares a block and is found.  What is found is verified by
 the exact weighted Jaccard similarity of both bags of shingles.  Windows that
@@ -91,6 +91,7 @@ class BenchmarkIndex:
     gate: np.ndarray = field(default_factory=lambda: np.zeros(_GATE // 8, np.uint8))
     items: list[tuple] = field(default_factory=list)  # id, words, hashes, fingerprint
     by_length: dict[int, dict] = field(default_factory=dict)
+    lightest: dict[int, float] = field(default_factory=dict)  # by length: least weight of an item's shingles
 
     @classmethod
     def of(cls, items: list[tuple[int, bytes]], params: LeakParams) -> BenchmarkIndex:
@@ -106,7 +107,9 @@ class BenchmarkIndex:
         flags[slot] = 1
         index.gate = np.packbits(flags)
         for item, length, hashes in read:
-            mark = fingerprint(hashes, index.weights(hashes)[0])
+            weight = index.weights(hashes)[0]
+            index.lightest[length] = min(float(weight.sum()), index.lightest.get(length, np.inf))
+            mark = fingerprint(hashes, weight)
             tables = index.by_length.setdefault(length, defaultdict(list))
             for block in blocks_of(mark, params.radius):
                 tables[block].append(len(index.items))
@@ -139,9 +142,9 @@ class BenchmarkIndex:
         best: dict[int, tuple] = {}
         shared: dict[int, tuple] = {}
         for length, tables in self.by_length.items():
-            if length > len(words):
-                continue
             wide = min(self.params.words, length)
+            if wide > len(words):  # too short to share a shingle
+                continue
             if wide not in shared:
                 hashes = shingles(words, wide)
                 maybe = np.flatnonzero(self.may_know(hashes))
@@ -155,13 +158,17 @@ class BenchmarkIndex:
             if not shared[wide]:
                 continue
             hashes, weight, sums, hits = shared[wide]
-            span = length - wide + 1
+            long = min(length, len(words))
+            # what a text shares is at most what it holds of the benchmark, and the union at least the item
+            if long < length and hits[-1] < (self.params.similarity - 1e-9) * self.lightest[length]:
+                continue
+            span = long - wide + 1
             enough = hits[span:] - hits[:-span] >= (self.params.similarity - 1e-9) * (sums[span:] - sums[:-span])
             for start in np.flatnonzero(enough).tolist():
-                self._look_up(hashes[start : start + span], weight[start : start + span], start, length, tables, best)
+                self._look_up(hashes[start : start + span], weight[start : start + span], start, long, tables, best)
         return [best[k] for k in sorted(best)]
 
-    def _look_up(self, hashes, weight, start: int, length: int, tables: dict, best: dict) -> None:
+    def _look_up(self, hashes, weight, start: int, long: int, tables: dict, best: dict) -> None:
         mark = fingerprint(hashes, weight)
         found = {n for block in blocks_of(mark, self.params.radius) for n in tables.get(block, ())}
         for n in found:
@@ -170,7 +177,7 @@ class BenchmarkIndex:
             if bits <= self.params.radius:
                 alike = self.similarity(hashes, own)
                 if alike >= self.params.similarity and (n not in best or alike > best[n][4]):
-                    best[n] = (item, start, length, bits, alike)
+                    best[n] = (item, start, long, bits, alike)
 
 
 def item_blocks(benchmark: DataFrame, params: LeakParams) -> Iterator[BenchmarkIndex]:
