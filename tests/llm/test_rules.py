@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import LABELS, awkward, clashing, documents, lower, prose, words
 from threatloom.llm import licenses, license_rules, quality_rules, url_filter
 
@@ -160,3 +162,18 @@ def test_index_finds_what_trying_every_rule_finds():
     for page in (f"{h}{p}".encode() for h in hosts for p in paths):
         every = {r.text for r in known if re.match(r.regex.encode(), page, re.DOTALL)}
         assert {r.text for r in index.fitting(page)} == every, page
+
+
+def test_all_good_labels_are_trusted(spark):
+    """More than were once read: where every document is good, both models are the same."""
+    ids = spark.range(20_500).withColumnRenamed("id", "doc_id")
+    docs = ids.withColumn("text", F.concat(F.lit("w"), F.sha2(F.col("doc_id").cast("string"), 256)))
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            judged, name = quality_rules.quality_verdicts(docs, labels, keep=["doc_id"])
+            far = judged.agg(F.max(F.abs(F.col(f"{name}.llr"))), F.count("*")).first()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert tuple(far) == (0.0, 20_500)

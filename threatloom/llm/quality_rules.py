@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.batches import CONTINUATION, WHITE_SPACE, Texts, bounded_sample, byte_texts, with_struct
+from threatloom.llm.batches import CONTINUATION, WHITE_SPACE, Texts, byte_texts, with_struct
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = WHITE_SPACE + CONTINUATION
@@ -33,11 +33,10 @@ FIELDS = (
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``target_rows`` bounds the labelled sample that the trusted model is fitted on."""
+    """All documents that the labels call good make the trusted model."""
 
     buckets: int = 1 << 16
     orders: tuple[int, ...] = (3,)
-    target_rows: int = 20_000
     smoothing: float = 0.5
     threshold: float = -0.25
     min_words: int = 50
@@ -95,8 +94,9 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, params: QualityParams) ->
     """(bucket, raw, target): n-grams of all documents, and of the trusted ones.
 
     Each task adds up its own documents and sends one row per bucket.  The
-    trusted ids are a sample of at most ``target_rows`` and thus small enough
-    to be sent to every task.
+    trusted ids grow with the labels, so the optimizer decides by their size how
+    they are joined.  Only texts are shuffled that are counted as trusted; all
+    others are counted where they lie.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,16 +106,15 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, params: QualityParams) ->
             is_trusted = batch.column(1).to_pylist()
             for text, good in zip(byte_texts(batch.column(0)), is_trusted, strict=True):
                 counts = np.bincount(hashed_ngrams(text, params.orders, params.buckets), minlength=1)
-                raw[: len(counts)] += counts
-                if good:
-                    target[: len(counts)] += counts
-        seen = np.flatnonzero(raw)
+                (target if good else raw)[: len(counts)] += counts
+        seen = np.flatnonzero(raw + target)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"]
         )
 
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
-    rows = marked.select(F.col("text").cast("string").alias("text"), F.coalesce("good", F.lit(False)).alias("good"))
+    text = F.col("text").cast("string").alias("text")
+    known = docs.join(trusted.select("doc_id"), "doc_id", "left_semi").select(text, F.lit(True).alias("good"))
+    rows = docs.select(text, F.lit(False).alias("good")).unionAll(known)
     partial = rows.mapInArrow(run, "bucket bigint, raw bigint, target bigint")
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
@@ -134,10 +133,9 @@ def log_ratios(counts: DataFrame, params: QualityParams) -> np.ndarray:
     return logs(target) - logs(raw)
 
 
-def trusted_sample(labels: DataFrame, params: QualityParams) -> DataFrame:
-    """Ids of at most ``target_rows`` documents that the labels call good."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return bounded_sample(good, "doc_id", params.target_rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents that the labels call good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def quality_verdicts(
@@ -145,9 +143,10 @@ def quality_verdicts(
 ) -> tuple[DataFrame, str]:
     """Columns ``keep`` (all by default) and a struct with counts, ratio and verdict.
 
-    Two narrow passes over the texts; texts are never shuffled.
+    Two passes over the texts, and one over those of trusted documents, which
+    are shuffled if their ids are too many to be sent to every task.
     """
-    counts = ngram_counts(docs.select("doc_id", "text"), trusted_sample(labels, params), params)
+    counts = ngram_counts(docs.select("doc_id", "text"), trusted_ids(labels), params)
     ratios = log_ratios(counts, params)
 
     def judge(texts: Texts) -> list:
