@@ -177,3 +177,47 @@ def test_all_good_labels_are_trusted(spark):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert tuple(far) == (0.0, 20_500)
+
+
+def forms(parsed):
+    """Texts of every alternative of a parsed pattern, one character of each class, repeats at their bounds."""
+    found = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            parts = [chr(value)]
+        elif kind == "IN":
+            parts = [chr(value[0][1][0] if str(value[0][0]) == "RANGE" else value[0][1])]
+        elif kind == "BRANCH":
+            parts = [t for branch in value[1] for t in forms(branch)]
+        elif kind == "SUBPATTERN":
+            parts = forms(value[-1])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            parts = [t * n for t in forms(inner) for n in {low, min(high, low + 1)}]
+        else:
+            assert kind == "ASSERT", kind
+            parts = [""]
+        found = [a + b for a in found for b in dict.fromkeys(parts)]
+    return found
+
+
+def test_every_form_of_a_rule_passes_its_own_gate():
+    for rule in license_rules.rules():
+        for form in forms(re._parser.parse(rule.pattern.pattern.decode())):
+            line = form.encode() + b" "
+            assert rule.pattern.fullmatch(line, 0, len(line)) or rule.pattern.match(line), form
+            assert rule.keyword in line, (rule.name, rule.keyword, form)
+
+
+def test_names_written_together_or_apart():
+    scanner = licenses.Scanner(license_rules.rules())
+    for text, label in (
+        (b"beerware license", "beerware"),
+        (b"beer ware license", "beerware"),
+        (b"creative commons attribution share alike 3 0", "cc-by-sa-3.0"),
+        (b"creative commons attribution share alike 4 0 international", "cc-by-sa-4.0"),
+        (b"creative commons attribution sharealike 4 0", "cc-by-sa-4.0"),
+        (b"machine executable object code generated by a source language processor", "bsl-1.0"),
+    ):
+        assert label in {rule.label for rule, _, _ in scanner.detect(licenses.license_words(text))}

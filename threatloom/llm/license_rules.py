@@ -15,7 +15,7 @@ NAMES = (
     ("apsl-2.0", "apple", r"apple public source license"),
     ("artistic-1.0", "artistic", r"artistic license (?:version )?1 0"),
     ("artistic-2.0", "artistic", r"artistic license (?:version )?2 0"),
-    ("beerware", "beer", r"beer ?ware license"),
+    ("beerware", "license", r"beer ?ware license"),
     ("blueoak-1.0.0", "oak", r"blue oak model license"),
     ("bsd-2-clause", "bsd", r"(?:simplified|two clause|2 clause|freebsd) bsd(?: license)?|bsd 2 clause(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|three clause|3 clause) bsd(?: license)?|bsd 3 clause(?: license)?"),
@@ -29,8 +29,8 @@ NAMES = (
     ("cc-by-nc-sa-4.0", "noncommercial", r"creative commons attribution noncommercial sharealike 4 0"),
     ("cc-by-nc-nd-4.0", "noncommercial", r"creative commons attribution noncommercial noderivatives 4 0"),
     ("cc-by-nd-4.0", "noderivatives", r"creative commons attribution noderivatives 4 0"),
-    ("cc-by-sa-3.0", "sharealike", r"creative commons attribution share ?alike 3 0"),
-    ("cc-by-sa-4.0", "sharealike", r"creative commons attribution share ?alike 4 0(?: international)?"),
+    ("cc-by-sa-3.0", "commons", r"creative commons attribution share ?alike 3 0"),
+    ("cc-by-sa-4.0", "commons", r"creative commons attribution share ?alike 4 0(?: international)?"),
     ("cddl-1.0", "common", r"common development and distribution license(?: (?:version )?1 0)?"),
     ("cecill-2.1", "cecill", r"cecill(?: free software)? license(?: agreement)?"),
     ("cpal-1.0", "attribution", r"common public attribution license"),
@@ -92,7 +92,7 @@ NAMES = (
 SENTENCES = (
     ("mit", "merge", r"to use copy modify merge publish distribute sublicense and or sell copies"),
     ("mit", "noninfringement", r"fitness for a particular purpose and noninfringement"),
-    ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", "purpose", r"permission to use copy modify and or distribute this software for any purpose"),
     ("bsd-3-clause", "endorse", r"used to endorse or promote products derived from this software"),
     ("bsd-2-clause", "redistributions", r"redistributions of source code must retain the above copyright notice"),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software"),
@@ -106,7 +106,7 @@ SENTENCES = (
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("wtfpl", "fuck", r"do what the fuck you want to(?: public license)?"),
-    ("bsl-1.0", "derivative", r"machine executable object code generated by a source language processor"),
+    ("bsl-1.0", "executable", r"machine executable object code generated by a source language processor"),
     ("public-domain", "domain", r"(?:released into|dedicated to|placed in|is in) the public domain"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
