@@ -11,12 +11,15 @@ from threatloom.llm import (
     chat,
     decontaminate,
     jaccard_join,
+    lexical_search,
     licenses,
     line_dedup,
+    mixing,
     packing,
     quality_gam,
     quality_rules,
     toxicity,
+    turn_repair,
     url_filter,
 )
 
@@ -76,6 +79,23 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", f"{name}.*")
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns, present = turn_repair.damaged(table(spark, folder, "conversations"))
+    return turn_repair.repair_report(turns, present)
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    taken, sources = mixing.mixture(docs, F.array("source"))
+    # as many rows as sources, which the operator bounds
+    known = F.broadcast(sources.select("key", F.col("size").alias("source_size"), "target"))
+    return taken.join(known, "key").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def registry() -> dict[str, Query]:
     """All queries by name."""
     found = (
@@ -89,5 +109,8 @@ def registry() -> dict[str, Query]:
         op8_jaccard_join,
         op9_packing,
         op10_quality_rules,
+        op11_conversation_repair,
+        op12_lexical_search,
+        op13_source_mixing,
     )
     return {f.__name__: f for f in found}
