@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.llm.batches import CONTINUATION, WHITE_SPACE, Texts, byte_texts, with_struct
+from threatloom.llm.bloom import Bloom, key_hash
+from threatloom.session import stored
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = WHITE_SPACE + CONTINUATION
@@ -93,28 +95,47 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 def ngram_counts(docs: DataFrame, trusted: DataFrame, params: QualityParams) -> DataFrame:
     """(bucket, raw, target): n-grams of all documents, and of the trusted ones.
 
-    Each task adds up its own documents and sends one row per bucket.  The
-    trusted ids grow with the labels, so the optimizer decides by their size how
-    they are joined.  Only texts are shuffled that are counted as trusted; all
-    others are counted where they lie.
+    Each task adds up its own documents and sends one row per bucket.  A document
+    counts as trusted where it lies, if a Bloom filter may hold its id; what the
+    filter let pass wrongly is found by a join of ids alone, and the n-grams of
+    those few documents are taken off again.  So the counts are exact, and only
+    texts that a second filter takes for these few are shuffled.
     """
+    trusted = trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    bloom = Bloom.of(trusted, "doc_id")
+    counts = _counted(docs, bloom, params)
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    passed = ids.where(bloom.passes(ids, "doc_id")).distinct()
+    wrong = stored(passed.join(trusted, "doc_id", "left_anti"), "wrongly-trusted")
+    if wrong.isEmpty():
+        return counts
+    again = Bloom.of(wrong, "doc_id")
+    few = docs.where(again.passes(docs, "doc_id")).join(wrong, "doc_id", "left_semi")
+    less = _counted(few.select("doc_id", "text"), bloom, params).select("bucket", F.lit(0).alias("raw"), (-F.col("target")).alias("target"))
+    return counts.unionAll(less).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+
+def _counted(docs: DataFrame, bloom: Bloom, params: QualityParams) -> DataFrame:
+    """(bucket, raw, target): n-grams of all documents, and of those that the filter lets pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.zeros(params.buckets, np.int64)
         target = np.zeros(params.buckets, np.int64)
         for batch in batches:
-            is_trusted = batch.column(1).to_pylist()
-            for text, good in zip(byte_texts(batch.column(0)), is_trusted, strict=True):
+            hashes = batch.column(1)
+            good = sent.value.may_hold(hashes.fill_null(0).to_numpy()) & hashes.is_valid().to_numpy(zero_copy_only=False)
+            for text, trusted in zip(byte_texts(batch.column(0)), good.tolist(), strict=True):
                 counts = np.bincount(hashed_ngrams(text, params.orders, params.buckets), minlength=1)
-                (target if good else raw)[: len(counts)] += counts
-        seen = np.flatnonzero(raw + target)
+                raw[: len(counts)] += counts
+                if trusted:
+                    target[: len(counts)] += counts
+        seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"]
         )
 
-    text = F.col("text").cast("string").alias("text")
-    known = docs.join(trusted.select("doc_id"), "doc_id", "left_semi").select(text, F.lit(True).alias("good"))
-    rows = docs.select(text, F.lit(False).alias("good")).unionAll(known)
+    rows = docs.select(F.col("text").cast("string").alias("text"), key_hash(F.col("doc_id")).alias("h"))
     partial = rows.mapInArrow(run, "bucket bigint, raw bigint, target bigint")
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
@@ -143,8 +164,8 @@ def quality_verdicts(
 ) -> tuple[DataFrame, str]:
     """Columns ``keep`` (all by default) and a struct with counts, ratio and verdict.
 
-    Two passes over the texts, and one over those of trusted documents, which
-    are shuffled if their ids are too many to be sent to every task.
+    Two passes over the texts, and one that finds the few documents which the
+    filter of trusted ids takes for trusted wrongly.
     """
     counts = ngram_counts(docs.select("doc_id", "text"), trusted_ids(labels), params)
     ratios = log_ratios(counts, params)
