@@ -12,6 +12,7 @@ import re
 
 from threatloom.functions import constants as K
 from threatloom.operators.fusion import DIGEST_LIMITS
+from threatloom.params import DEFAULTS
 from threatloom.sources import sample_tables as S
 
 _TABLES = {name: name for name in S.SOURCES}
@@ -1057,8 +1058,8 @@ def _queries() -> dict[str, str]:
     }
 
 
-def _stream_book() -> _Book:
-    """Documents as messages without headers; line items of the same number as attachments."""
+def _stream_book(attachments: bool = True) -> _Book:
+    """Documents as messages without headers; line items of the same number as attachments, or none."""
     mail = """
         SELECT 'd' || CAST(doc_id AS STRING) AS message_id, doc_id AS seq, split_part(text, chr(10), 1) AS subject,
                source || '@mail.example' AS sender, 'team@corp.example' AS recipient,
@@ -1069,6 +1070,8 @@ def _stream_book() -> _Book:
     att = _base_ctes()["att"].replace("'o' || CAST(l_orderkey", "'d' || CAST(l_orderkey")
     # archives of order messages, found in the document's message of that number
     found = "SELECT 'd' || substr(message_id, 2) AS message_id, 1 AS pos, total AS arch_score, lines AS arch_lines FROM tot0"
+    if not attachments:
+        att, found = f"SELECT * FROM ({att}) AS a WHERE false", f"SELECT * FROM ({found}) AS f WHERE false"
     return _Book({"mail": mail, "hdr": nothing, "att": att, "arch_found": found})
 
 
@@ -1085,5 +1088,19 @@ def oracles() -> dict[str, str]:
     out["stream_alerts"] = stream.sql("SELECT message_id, risk AS risk_level FROM alerted")
     key = "m.account_email, m.folder, m.message_id"
     out["stream_processed"] = stream.sql(f"SELECT {key} FROM mail m")
+    largest = DEFAULTS.max_message_bytes
+    out["stream_fetch"] = f"""
+        SELECT 'd' || doc_id AS message_id,
+               CASE WHEN source = 'src3' THEN 'waiting' WHEN n_chars * 20000 <= {largest} THEN 'reported' ELSE 'too large' END AS state,
+               CASE WHEN source <> 'src3' THEN (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 40 END AS cycle
+        FROM documents"""
+    out["stream_retry"] = """
+        SELECT 'd' || doc_id AS message_id, CASE WHEN doc_id = 5 THEN 'dead' ELSE 'reported' END AS state,
+               CASE WHEN doc_id = 5 THEN 3 ELSE 0 END AS failures FROM documents"""
+    plain = _stream_book(attachments=False)
+    out["stream_outbox"] = plain.sql("""
+        SELECT message_id, CASE WHEN n % 7 = 0 THEN 'refused' ELSE 'sent' END AS state,
+               CASE WHEN n % 7 = 0 THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS attempts
+        FROM (SELECT message_id, CAST(substr(message_id, 2) AS BIGINT) AS n FROM alerted)""")
     out["stream_alert_channel"] = stream.sql(f"SELECT {key} FROM mail m JOIN alerted USING (message_id)")
     return out

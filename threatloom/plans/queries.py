@@ -38,6 +38,8 @@ from threatloom.sources import archive_members as listing
 from threatloom.sources import eml
 from threatloom.sources.sample_tables import SampleTables
 from threatloom.streaming import monitor as stream
+from threatloom.streaming.commits import Commits
+from threatloom.streaming.outbox import DEAD, SENT, deliver
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -1025,6 +1027,8 @@ def _document_stream(t: SampleTables) -> DataFrame:
         no_headers.alias("headers"),
         F.concat("source", F.lit("@mail.example")).alias("account_email"),
         F.lit("INBOX").alias("folder"),
+        F.col("doc_id").alias("seq"),
+        (F.col("n_chars") * 20000).alias("size"),
     )
 
 
@@ -1034,9 +1038,8 @@ def _finish(running) -> None:
         raise running.exception()
 
 
-def _monitored(t: SampleTables, channel: Callable[[DataFrame, int], None] | None = None) -> str:
-    out = shared_folder(t.spark, "monitor")
-    # document messages carry the line items of the order with their number
+def _document_loop(t: SampleTables, **hooks) -> stream.Loop:
+    """Document messages carry the line items of the order with their number."""
     docs = t.source("documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"),
         F.concat("source", F.lit("@mail.example")).alias("account_email"),
@@ -1050,26 +1053,34 @@ def _monitored(t: SampleTables, channel: Callable[[DataFrame, int], None] | None
     # numbered and scored once, not once for each cycle
     own = stored(in_mailbox(t.attachments()), "attachments")
     inside = stored(in_mailbox(_archive_scores(t)), "archives")
-    _finish(stream.monitor(_document_stream(t), own, out, once=True, on_alerts=channel, archives=inside))
-    return out
+    return stream.Loop(shared_folder(t.spark, "monitor"), own, inside, **hooks)
+
+
+def _monitored(t: SampleTables, **hooks) -> Commits:
+    loop = _document_loop(t, **hooks)
+    _finish(stream.monitor(_document_stream(t), loop, once=True))
+    return Commits(t.spark, loop.out)
+
+
+_SCORES = "message_id string, overall_threat_score double, risk_level string"
 
 
 @query
 def stream_monitor(t: SampleTables) -> DataFrame:
-    reports = t.spark.read.parquet(f"{_monitored(t)}/reports")
+    reports = _monitored(t).read("reports", _SCORES)
     return reports.select("message_id", rounded("overall_threat_score").alias("overall_threat_score"), "risk_level")
 
 
 @query
 def stream_alerts(t: SampleTables) -> DataFrame:
-    return t.spark.read.parquet(f"{_monitored(t)}/alerts").select(
+    return _monitored(t).read("alerts", stream.ALERTS).select(
         "message_id", F.get_json_object("payload", "$.risk_level").alias("risk_level")
     )
 
 
 @query
 def stream_processed(t: SampleTables) -> DataFrame:
-    return t.spark.read.parquet(f"{_monitored(t)}/processed").select(*MAILBOX_KEY)
+    return _monitored(t).read("processed", stream.KEYS).select(*MAILBOX_KEY)
 
 
 @query
@@ -1078,12 +1089,82 @@ def stream_alert_channel(t: SampleTables) -> DataFrame:
     sent = shared_folder(t.spark, "channel")
 
     def channel(alerts: DataFrame, cycle: int) -> None:
-        payloads.json_payload(alerts).select(*MAILBOX_KEY).write.mode("overwrite").parquet(f"{sent}/cycle={cycle}")
+        alerts.select(*MAILBOX_KEY).write.mode("overwrite").parquet(f"{sent}/cycle={cycle}")
 
-    _monitored(t, channel)
+    _monitored(t, on_alerts=channel)
     return t.spark.read.parquet(sent).select(*MAILBOX_KEY)
 
 
+def _plain_loop(t: SampleTables, **more) -> stream.Loop:
+    """A loop over document messages without attachments."""
+    none = t.attachments().where("false")
+    return stream.Loop(shared_folder(t.spark, "monitor"), none, **more)
+
+
+def _drained(t: SampleTables, loop: stream.Loop) -> Commits:
+    """The loop over all documents, with further cycles until nothing waits that may go on."""
+    messages = _document_stream(t)
+    _finish(stream.monitor(messages, loop, once=True))
+    while stream.idle_cycle(t.spark, loop, messages.schema):
+        pass
+    return Commits(t.spark, loop.out)
+
+
+# messages that one cycle takes from each folder; the others wait
+_FETCH = 40
+
+
+@query
+def stream_fetch(t: SampleTables) -> DataFrame:
+    loop = _plain_loop(t, accounts=t.accounts(), params=replace(DEFAULTS, max_per_folder=_FETCH))
+    store = _drained(t, loop)
+    told = [
+        store.read_numbered(table, schema).select("message_id", F.lit(state).alias("state"), "cycle")
+        for table, schema, state in (("reports", _SCORES, "reported"), ("skipped", stream.SKIPPED, "too large"))
+    ]
+    off = store.snapshot("queue", stream.QUEUE).select("message_id", F.lit("waiting").alias("state"), F.lit(None).cast("bigint").alias("cycle"))
+    return told[0].unionByName(told[1]).unionByName(off)
+
+
+@query
+def stream_retry(t: SampleTables) -> DataFrame:
+    # one message whose attachments cannot be read; the others are not held up by it
+    none = t.attachments().where("false")
+
+    def own(batch: DataFrame) -> DataFrame:
+        broken = F.col("message_id") == "d5"
+        told = F.when(broken, F.raise_error(F.lit("cannot be read")).cast("string")).otherwise("")
+        return none.unionByName(
+            batch.where(told != "").select(
+                *[F.col(f.name) if f.name in MAILBOX_KEY else F.lit(None).cast(f.dataType).alias(f.name) for f in none.schema]
+            )
+        )
+
+    store = _drained(t, stream.Loop(shared_folder(t.spark, "monitor"), own, go_on=True))
+    reported = store.read("reports", _SCORES).select("message_id", F.lit("reported").alias("state"), F.lit(0).alias("failures"))
+    dead = store.read("dead", stream.FAILED).select("message_id", F.lit("dead").alias("state"), F.col("attempts").alias("failures"))
+    return reported.unionByName(dead)
+
+
+@query
+def stream_outbox(t: SampleTables) -> DataFrame:
+    # a channel that refuses every third message once and every seventh always
+    ticks = iter(range(0, 1000, 10))
+
+    def channel(due: DataFrame) -> DataFrame:
+        n = F.substring("message_id", 2, 20).cast("bigint")
+        refused = (n % 7 == 0) | ((n % 3 == 0) & (F.col("attempts") == 0))
+        return due.select("delivery_id", (~refused).alias("delivered"), F.when(refused, "refused").alias("reason"))
+
+    loop = _plain_loop(t, channel=channel, clock=lambda: float(next(ticks)))
+    store = _drained(t, loop)
+    out = Commits(t.spark, f"{loop.out}/deliveries")
+    while deliver(store, out, channel, loop.clock()):
+        pass
+    sent = out.read("sent", SENT).select("message_id", F.lit("sent").alias("state"), "attempts")
+    return sent.unionByName(out.read("dead", DEAD).select("message_id", F.col("reason").alias("state"), "attempts"))
+
+
 @query
 def stream_dedup(t: SampleTables) -> DataFrame:
     events = _event_stream(t)
