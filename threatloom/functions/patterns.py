@@ -12,8 +12,6 @@ leading letters its members can start with; it never changes what matches.
 from __future__ import annotations
 
 import re
-from re import _constants as rc
-from re import _parser as rp
 
 WORD = r"[\p{L}\p{N}_]"
 _AT_EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
@@ -33,44 +31,50 @@ def _inner(pattern: str) -> str | None:
     return None
 
 
-def _extend(prefixes: set[tuple[str, bool]], tails: set[tuple[str, bool]], depth: int):
-    out = set()
-    for head, is_open in prefixes:
-        if not is_open or len(head) >= depth:
-            out.add((head[:depth], False))
-        else:
-            for tail, tail_open in tails:
-                joined = head + tail
-                out.add((joined[:depth], tail_open and len(joined) < depth))
-    return out
-
-
-def _prefixes(tree, depth: int) -> set[tuple[str, bool]]:
-    """Leading texts (text, may be followed) that a parsed pattern can start with."""
-    state: set[tuple[str, bool]] = {("", True)}
-    for op, arg in tree:
-        if op is rc.LITERAL:
-            tails = {(chr(arg), True)}
-        elif op is rc.BRANCH:
-            tails = set().union(*(_prefixes(t, depth) for t in arg[1]))
-        elif op is rc.SUBPATTERN:
-            tails = _prefixes(arg[3], depth)
-        elif op is rc.MAX_REPEAT and arg[1] == 1:
-            tails = _prefixes(arg[2], depth) | ({("", True)} if arg[0] == 0 else set())
-        elif op is rc.AT:
-            continue
-        else:
-            tails = {("", False)}
-        state = _extend(state, tails, depth)
-    return state
+def _alternatives(body: str) -> list[str]:
+    """The alternatives of a pattern at its outermost level."""
+    found, depth, start, at = [], 0, 0, 0
+    while at < len(body):
+        if body[at] == "\\":
+            at += 1
+        elif body[at] in "([":
+            depth += 1
+        elif body[at] in ")]":
+            depth -= 1
+        elif body[at] == "|" and not depth:
+            found.append(body[start:at])
+            start = at + 1
+        at += 1
+    return [*found, body[start:]]
+
+
+def _first_group(body: str) -> str | None:
+    """What a pattern's leading group holds, or the pattern itself without one; None if the group may be absent."""
+    if not body.startswith("("):
+        return body
+    depth, at = 0, 0
+    for at, letter in enumerate(body):
+        depth += (letter == "(") - (letter == ")")
+        if not depth:
+            break
+    if body[at + 1 : at + 2] in ("?", "*", "{"):
+        return None
+    return body[1:at].removeprefix("?:")
 
 
 def leading_texts(patterns: list[str], depth: int = 4) -> set[str] | None:
     """Texts of at most ``depth`` letters, one of which opens every match; None if unknown."""
-    found = {text for p in patterns for text, _ in _prefixes(rp.parse(p), depth)}
-    if not found or "" in found:
-        return None
-    return {t for t in found if not any(o != t and t.startswith(o) for o in found)}
+    found = set()
+    for pattern in patterns:
+        inner = _first_group(pattern.removeprefix(r"\b"))
+        for choice in _alternatives(inner) if inner is not None else [""]:
+            literal = re.match(r"[a-z0-9 ]*", choice)[0]
+            if choice[len(literal) : len(literal) + 1] in ("?", "*", "{"):
+                literal = literal[:-1]
+            if not literal:
+                return None
+            found.add(literal[:depth])
+    return {t for t in found if not any(o != t and t.startswith(o) for o in found)} or None
 
 
 def _trie(texts: set[str]) -> str:

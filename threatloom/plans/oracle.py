@@ -816,16 +816,14 @@ def _queries() -> dict[str, str]:
                   FROM (SELECT message_id, subject || ' ' || body_text AS t FROM mail))''',
         # the built-in patterns match no word of the parts, so each word falls to the first user rule that lists it
         "custom_rules": '''
-            SELECT category, description, count(*) AS n
-            FROM (SELECT w.id, w.k, arg_min(r.category, r.rank) AS category, arg_min(r.description, r.rank) AS description
-                  FROM (SELECT p_partkey AS id, unnest(range(len(words))) AS k, unnest(words) AS word
-                        FROM (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type), ' ') AS words FROM part)) w
-                  JOIN (SELECT category, description, unnest(string_split(description, ' ')) AS word,
+            SELECT r.c AS category, r.d AS description, count(*) AS n
+            FROM (SELECT p_partkey AS id, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS word FROM part) AS w
+            JOIN (SELECT word, arg_min({'c': category, 'd': description}, {'rank': rank, 'position': position, 'pattern': pattern}) AS r
+                  FROM (SELECT category, description, unnest(string_split(description, ' ')) AS word, pattern, position,
                                CASE category WHEN 'SE' THEN 1 WHEN 'UG' THEN 2 WHEN 'AU' THEN 3 ELSE 4 END AS rank
-                        FROM (SELECT category, arg_min(description, position) AS description FROM rule_rows
-                              WHERE NOT contains(pattern, '+)') AND NOT contains(pattern, '+)*') AND NOT contains(pattern, '+)+')
-                              GROUP BY category)) r ON r.word = w.word
-                  GROUP BY 1, 2)
+                        FROM rule_rows
+                        WHERE NOT contains(pattern, '+)') AND NOT contains(pattern, '+)*') AND NOT contains(pattern, '+)+')) AS ruled
+                  GROUP BY word) AS firsts USING (word)
             GROUP BY 1, 2''',
         # layer 3
         "attachment_extension": """

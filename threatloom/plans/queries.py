@@ -26,6 +26,7 @@ from threatloom.operators import (
     logs,
     metrics,
     payloads,
+    rule_index,
     rules,
     scans,
     shaping,
@@ -462,12 +463,9 @@ def nlp_layer_toggles(t: SampleTables) -> DataFrame:
 
 @query
 def custom_rules(t: SampleTables) -> DataFrame:
-    # each brand's first safe part rule becomes a rule of its own
-    safe = rules.audit(t.rules()).filter("accepted").groupBy("category").agg(
-        F.min_by(F.struct("pattern", "description", "position"), "position").alias("r")
-    )
-    chosen = safe.select("category", "r.*")
-    found = language.pattern_scan(t.sql(_PART_MAIL), rules.load_rules(chosen))
+    # every rule of the table that the audit accepts
+    safe = rules.audit(t.rules()).filter("accepted").drop("accepted", "unsafe_form")
+    found = rule_index.scan_with_rules(t.sql(_PART_MAIL), safe, ["message_id"])
     return found.select("message_id", F.explode("matches").alias("m")).groupBy(
         F.col("m.category").alias("category"), F.col("m.description").alias("description")
     ).agg(F.count("*").alias("n"))
