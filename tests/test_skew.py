@@ -114,3 +114,41 @@ def test_hot_key_of_exact_percentiles(spark):
     whole = metrics.latency_stats(table).collect()
     assert len(whole) == 1 and whole[0]["sample_count"] == 6001
     assert metrics.latency_stats(table.limit(0)).count() == 0
+
+
+def test_hot_archives_send_three_members_a_task(spark):
+    """Three archives hold all members; only what decides them is shuffled, at every depth at once."""
+    members = spark.range(30_000).select(
+        *[F.lit(v).alias(c) for c, v in (("account_email", "a"), ("folder", "f"))],
+        F.concat(F.lit("hot"), F.col("id") % 3).alias("message_id"),
+        F.lit(1).alias("pos"),
+        F.concat(F.lit("hot"), F.col("id") % 3).alias("container"),
+        F.lit("x.zip").alias("container_name"),
+        F.lit(0).alias("depth"),
+        F.lit("zip").alias("kind"),
+        F.lit(10).cast("long").alias("member_count"),
+        (F.col("id") + 1).cast("int").alias("member_pos"),
+        F.when(F.col("id") >= 29_000, "a.docm").otherwise("a.txt").alias("name"),
+        F.lit(None).cast("string").alias("linkname"),
+        F.lit(None).cast("string").alias("nested"),
+    )
+    members = members.withColumn("safe_name", F.col("name")).repartition(4)
+    scored = archives.score_members(members)
+    kept = archives.deciding_members(scored)
+    assert kept.groupBy("container").count().agg(F.max("count")).first()[0] == 3
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.index("Final") < plan.index("Partial")
+    got = archives.archive_scores(members).collect()
+    assert sorted((r.message_id, r.archive_score, len(r.archive_warnings)) for r in got) == [(f"hot{i}", 6.0, 2) for i in range(3)]
+
+
+def test_reasons_of_nested_archives(spark):
+    rows = [("a", "f", "m", 1, "m", "x.zip", 0, "zip", 2, i, n, n, None, state, why) for i, n, state, why in (
+        (1, "in.zip", "unreadable", "File is not a zip file"), (2, "big.zip", "bomb", None))]
+    names = "account_email folder message_id pos container container_name depth kind member_count member_pos name safe_name linkname nested reason"
+    kinds = "string string string int string string int string long int string string string string string".split()
+    table = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names.split(), kinds, strict=True)))
+    (got,) = archives.archive_scores(table).collect()
+    assert got.archive_warnings == ["Archive x.zip contains nested archive: in.zip", "Failed to inspect nested archive in.zip: File is not a zip file"]
+    second = archives.score_members(table).where("member_pos = 2").first()
+    assert second.member_warnings[1] == "Zip bomb detected: x.zip/big.zip"

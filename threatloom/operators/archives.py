@@ -12,13 +12,22 @@
     linkname               link target, null for plain members
     nested                 null, or what became of looking into a nested archive:
                            'ok', 'unreadable', 'bomb', 'skipped'
+    reason                 why it could not be read, or was taken for a bomb; may be missing or null
 
 The container key of a nested archive is its parent's key, a slash and the
 member position, so sums move up one level by an equi-join per level.
+
+Looking into an archive stops once its score has reached the stop score, and no
+finding adds less than two points: whatever its size, an archive is settled by its
+first three members with a finding.  Those of all archives at all depths are taken
+by one ranked limit, applied before the shuffle, so an archive that holds a third
+of all members sends three rows a task, and the levels are folded on what is left.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +35,12 @@ from threatloom.functions import constants as K
 from threatloom.functions.identity import path_traversal
 from threatloom.operators.attachments import MESSAGE_KEY, has_extension
 from threatloom.params import DEFAULTS, Params
+from threatloom.session import stored
+
+# the least that a member with a finding adds: a nested archive of which nothing is known
+LEAST_SCORE = 2.0
+# members with a finding that can be reached below the stop score
+REACHED = math.ceil(K.STOP_SCORE / LEAST_SCORE)
 
 
 def nested_score() -> Column:
@@ -56,6 +71,7 @@ def score_members(members: DataFrame, nested_totals: DataFrame | None = None) ->
             F.col("warnings").alias("_nested_warnings"),
         )
         staged = staged.join(below, "_child", "left")
+    why = F.col("reason") if "reason" in members.columns else F.lit(None).cast("string")
     low, safe, inside = F.lower("safe_name"), F.col("safe_name"), F.col("container_name")
     staged = staged.withColumns(
         {
@@ -88,11 +104,11 @@ def score_members(members: DataFrame, nested_totals: DataFrame | None = None) ->
         F.when(archive & (F.col("nested") == "ok"), F.coalesce("_nested_warnings", none))
         .when(
             archive & (F.col("nested") == "bomb"),
-            F.array(F.concat(F.lit("Zip bomb detected: "), inside, F.lit("/"), safe)),
+            F.array(F.concat(F.lit("Zip bomb detected: "), inside, F.lit("/"), safe, _if_known(" (", why, ")"))),
         )
         .when(
             archive & (F.col("nested") == "unreadable"),
-            F.array(F.concat(F.lit("Failed to inspect nested archive "), safe)),
+            F.array(F.concat(F.lit("Failed to inspect nested archive "), safe, _if_known(": ", why, ""))),
         )
         .otherwise(none)
     )
@@ -117,39 +133,28 @@ def count_penalty() -> Column:
     return F.when(F.col("member_count") > K.MAX_ARCHIVE_MEMBERS, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-# members whose scores are added up in one go
-BLOCK = 4096
+def _if_known(before: str, why: Column, behind: str) -> Column:
+    return F.when(why.isNotNull(), F.concat(F.lit(before), why, F.lit(behind))).otherwise(F.lit(""))
 
 
-def with_running_score(scored: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Adds ``score_before``: penalty plus the scores of the members ahead.
+def deciding_members(scored: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """At most three members of each container: the first with a finding, then others.
 
-    Members are added up in blocks of positions: the sums of the blocks ahead
-    are taken first, then the sum within a block, and blocks that begin beyond
-    the stop score are left out before their members meet.  So an archive that
-    holds a third of all members is spread over as many tasks as it has blocks,
-    and nothing is capped unless the parameters ask for it.
+    The limit is applied on the map side and again behind the shuffle.
     """
     if params.max_archive_members is not None:
         scored = scored.filter(F.col("member_pos") <= params.max_archive_members)
-    placed = scored.withColumn("_block", F.floor(F.col("member_pos") / BLOCK))
-    sums = placed.groupBy("container", "_block").agg(F.sum("member_score").alias("_sum"))
-    blocks_ahead = Window.partitionBy("container").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(blocks_ahead), F.lit(0.0)))
-    reached = before.filter(F.col("_before") < K.STOP_SCORE).select("container", "_block", "_before")
-    ahead = Window.partitionBy("container", "_block").orderBy("member_pos").rowsBetween(Window.unboundedPreceding, -1)
-    within = F.coalesce(F.sum("member_score").over(ahead), F.lit(0.0))
-    joined = placed.join(reached, ["container", "_block"])
-    return joined.withColumn("score_before", count_penalty() + F.col("_before") + within).drop("_block", "_before")
+    order = Window.partitionBy("container").orderBy(F.desc("_tells"), "member_pos")
+    ranked = scored.withColumn("_tells", F.col("member_score") > 0).withColumn("_place", F.row_number().over(order))
+    return ranked.filter(F.col("_place") <= REACHED).drop("_tells", "_place")
 
 
 def container_totals(scored: DataFrame, *keys: str, params: Params = DEFAULTS) -> DataFrame:
     """(container, total, warnings): members in order until the stop score is reached.
 
-    The member that crosses the line still counts.  Weights are never negative,
-    so "score ahead below the line" keeps exactly the members that were reached.
+    The member that crosses the line still counts.
     """
-    reached = with_running_score(scored, params).filter(F.col("score_before") < K.STOP_SCORE)
+    member = F.struct("member_pos", "member_score", "member_warnings")
     many = F.max("member_count")
     too_many = F.when(
         many > K.MAX_ARCHIVE_MEMBERS,
@@ -163,26 +168,31 @@ def container_totals(scored: DataFrame, *keys: str, params: Params = DEFAULTS) -
             )
         ),
     ).otherwise(F.array().cast("array<string>"))
-    lines = F.array_sort(F.collect_list(F.struct("member_pos", "member_warnings")))
-    return (
-        reached.groupBy("container", *keys)
-        .agg(
-            (F.max(count_penalty()) + F.sum("member_score")).alias("total"),
-            too_many.alias("_head"),
-            lines.alias("_lines"),
-        )
-        .select(
-            "container",
-            *keys,
-            "total",
-            F.concat("_head", F.flatten(F.col("_lines.member_warnings"))).alias("warnings"),
-        )
+    grouped = deciding_members(scored, params).groupBy("container", *keys).agg(
+        F.max(count_penalty()).alias("total"), too_many.alias("warnings"), F.array_sort(F.collect_list(member)).alias("_members")
     )
 
+    def step(state: Column, m: Column) -> Column:
+        return F.when(
+            state["total"] < K.STOP_SCORE,
+            F.struct(
+                (state["total"] + m["member_score"]).alias("total"),
+                F.concat(state["warnings"], m["member_warnings"]).alias("warnings"),
+            ),
+        ).otherwise(state)
+
+    folded = F.aggregate("_members", F.struct("total", "warnings"), step)
+    return grouped.withColumn("_fold", folded).select("container", *keys, "_fold.total", "_fold.warnings")
+
 
 def archive_scores(members: DataFrame, params: Params = DEFAULTS, deepest: int = K.MAX_ARCHIVE_DEPTH) -> DataFrame:
-    """(mailbox key, pos, archive_score, archive_warnings) from the deepest level up."""
-    totals = None
+    """(mailbox key, pos, archive_score, archive_warnings) from the deepest level up.
+
+    Members are read and shuffled once; what decides each container is written,
+    and the levels are folded on that.
+    """
+    first = deciding_members(score_members(members), params).select(*members.columns)
+    members, totals = stored(first, "deciding-members"), None
     for depth in range(deepest, -1, -1):
         level = score_members(members.filter(F.col("depth") == depth), totals)
         totals = container_totals(level, *MESSAGE_KEY, "pos", "kind", params=params)

@@ -395,8 +395,8 @@ def _member_ctes() -> dict[str, str]:
         nested = f"CASE nested WHEN 'ok' THEN {below} WHEN 'bomb' THEN 5 WHEN 'unreadable' THEN 3 ELSE 0 END"
         arch = f"(2.0::DOUBLE + {nested})"
         nested_lines = (
-            f"CASE nested WHEN 'ok' THEN {below_lines} WHEN 'bomb' THEN 'Zip bomb detected: ' || container_name || '/' || safe_name"
-            " WHEN 'unreadable' THEN 'Failed to inspect nested archive ' || safe_name END"
+            f"CASE nested WHEN 'ok' THEN {below_lines} WHEN 'bomb' THEN 'Zip bomb detected: ' || container_name || '/' || safe_name || ' (' || reason || ')'"
+            " WHEN 'unreadable' THEN 'Failed to inspect nested archive ' || safe_name || ': ' || reason END"
         )
 
         def says(what: str) -> str:

@@ -637,9 +637,10 @@ def archive_member_score(t: SampleTables) -> DataFrame:
     )
 
 
-def _archive_scores(t: SampleTables) -> DataFrame:
-    """Scores of the sample's archives, which are nested once; members are derived once for all levels."""
-    return archives.archive_scores(stored(_safe_members(t), "members"), deepest=1)
+def _archive_scores(t: SampleTables, messages: DataFrame | None = None) -> DataFrame:
+    """Scores of the sample's archives, which are nested once; of those in ``messages`` only, if given."""
+    members = t.members() if messages is None else t.members().join(messages, "message_id", "left_semi")
+    return archives.archive_scores(members.withColumn("safe_name", identity.sanitize_filename(F.col("name"))), deepest=1)
 
 
 @query
@@ -1050,7 +1051,8 @@ def _document_loop(t: SampleTables, **hooks) -> stream.Loop:
 
     # numbered and scored once, not once for each cycle
     own = stored(in_mailbox(t.attachments()), "attachments")
-    inside = stored(in_mailbox(_archive_scores(t)), "archives")
+    orders = docs.select(F.regexp_replace("message_id", "^d", "o").alias("message_id"))
+    inside = stored(in_mailbox(_archive_scores(t, orders)), "archives")
     return stream.Loop(shared_folder(t.spark, "monitor"), own, inside, **hooks)
 
 

@@ -242,7 +242,9 @@ SELECT account_email, folder, archive AS message_id, CAST(1 AS INT) AS pos,
        CASE WHEN archive LIKE '%1' OR archive LIKE '%R' THEN 'tar' ELSE 'zip' END AS kind,
        row_number() OVER (PARTITION BY l_orderkey, archive, parent_pos ORDER BY {_LINE_ORDER})
          + CASE WHEN archive LIKE 'hot%' THEN l_orderkey * 64 ELSE 0 END AS member_pos,
-       name, size, linkname, nested
+       name, size, linkname, nested,
+       CASE nested WHEN 'unreadable' THEN 'File is not a ' || CASE WHEN archive LIKE '%1' OR archive LIKE '%R' THEN 'tar' ELSE 'zip' END || ' file'
+                   WHEN 'bomb' THEN 'ratio ' || CAST(size AS STRING) || ':1' END AS reason
 FROM ({_MEMBER_ROWS}) AS rows_of
 """
 MEMBER_COUNTS = f"""
