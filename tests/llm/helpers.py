@@ -38,7 +38,7 @@ def awkward(spark):
 
 def clashing(docs):
     """Further columns whose names the operators use themselves."""
-    names = ["found", "source_text", "kept", "score", "cid", "sig", "pos", "row", "bitmap", "text_hash", "comp", "leaks", "m"]
+    names = ["found", "source_text", "kept", "score", "cid", "sig", "pos", "row", "bitmap", "text_hash", "comp", "leaks", "m", "gone_id", "often_id", "other_id", "c0", "h", "known", "a.b", "kept_text", "edge", "part"]
     return docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, clashing, documents, kept_lines, prose
 from threatloom.llm import line_dedup as L
@@ -31,6 +32,27 @@ def test_one_line_holds_a_third_of_all(spark):
     assert digests(docs, params) == kept_lines(texts, 10, True)
 
 
+def test_a_hot_line_is_decided_from_sums(spark):
+    """Its rows stay in the partitions they were dealt to; only sums of each partition are brought together."""
+    texts = {i: "\n".join(["hot"] * (1 + i % 3) + [f"own {i}"]) for i in range(600)}
+    docs = documents(spark, list(texts.items())).repartition(4)
+    gone = L.dropped_lines(docs, L.LineParams())
+    assert gone.count() == sum(1 + i % 3 for i in range(600))
+    plan = gone._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    sizes = [r[1] for r in gone.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 600
+
+
+def test_a_document_over_several_partitions_counts_once(spark):
+    texts = {0: "\n".join(["hot"] * 5000), **{i: "hot" for i in range(1, 9)}}
+    docs = documents(spark, list(texts.items()))
+    assert all(gone == 0 for _, gone, _ in digests(docs, L.LineParams()).values())
+    texts[9] = "hot"
+    docs = documents(spark, list(texts.items()))
+    assert digests(docs, L.LineParams(keep_first=True)) == kept_lines(texts, 10, True)
+
+
 def test_threshold_counts_documents_not_lines(spark):
     texts = {0: "\n".join(["same"] * 30), **{i: "same" for i in range(1, 9)}}
     assert all(gone == 0 for _, gone, _ in digests(documents(spark, list(texts.items())), L.LineParams()).values())

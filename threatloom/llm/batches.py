@@ -40,7 +40,6 @@ def with_struct(
     the new column, which clashes with none that ``df`` has.
     """
     name = fresh_name(df, "found")
-    source = fresh_name(df, "source_text")
     kind = T.StructType.fromDDL(fields)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, kind)])
     arrow = to_arrow_schema(schema, prefers_large_types=False)
@@ -55,8 +54,9 @@ def with_struct(
             kept = batch.columns[: len(keep)]
             yield pa.RecordBatch.from_arrays([*kept, found], names=arrow.names)
 
-    chosen = [F.col(quoted(c)) for c in keep]
-    rows = df.select(*chosen, F.col(quoted(text)).cast("string").alias(source))
+    # Spark looks its input up by name, and a name may hold dots
+    chosen = [F.col(quoted(c)).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    rows = df.select(*chosen, F.col(quoted(text)).cast("string").alias("kept_text"))
     return rows.mapInArrow(run, schema), name
 
 

@@ -3,8 +3,9 @@
 Lines become (hash, document, position) rows, which are range-partitioned and
 sorted by all three, so that a very common line is spread over as many
 partitions as it needs.  One streaming pass over each partition decides the
-lines of every run of equal hashes; only runs that touch a partition's edge,
-at most two for each partition, are decided afterwards from sums.  The result
+lines of every run of equal hashes; runs that touch a partition's edge, at most
+two for each partition, are decided afterwards from one row of sums for each, and
+the decision goes back to where their lines lie.  The result
 is one compressed keep bitmap per document, not text.
 
 A document is told from others by its id and a fingerprint of its text, so
@@ -23,7 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.batches import CONTINUATION, WHITE_SPACE, byte_texts, quoted
@@ -86,16 +88,19 @@ class _Runs:
     """Walks sorted rows and tells which lines go; remembers at most ``min_docs`` documents of a run.
 
     A run that touches the edge of the partition may go on in the next one, so
-    its rows are passed on as ``edge`` without a decision.
+    its rows are passed on as ``edge`` without a decision, and ``sums`` tells of
+    its documents: how many, the first row, and the last document.
     """
 
     def __init__(self, params: LineParams) -> None:
         self.params = params
         self.key: tuple | None = None
-        self.first_run = True
+        self.open_run = True
         self.pending: list[tuple] = []
         self.docs = 0
+        self.first: tuple | None = None
         self.last_doc: tuple | None = None
+        self.sums: list[tuple] = []
 
     def feed(self, rows: Iterator[tuple]) -> Iterator[tuple]:
         """Rows are (h1, h2, doc_id, text_hash, pos); yields them with an edge mark."""
@@ -104,12 +109,12 @@ class _Runs:
             key, doc = row[:2], row[2:4]
             if key != self.key:
                 yield from self._close()
-                self.first_run = self.key is None
-                self.key, self.docs, self.last_doc = key, 0, None
+                self.open_run = self.key is None
+                self.key, self.docs, self.first, self.last_doc = key, 0, row, None
             if doc != self.last_doc:
                 self.docs += 1
                 self.last_doc = doc
-            if self.first_run:
+            if self.open_run:
                 yield (*row, True)
             else:
                 self.pending.append(row)
@@ -117,18 +122,21 @@ class _Runs:
                     # long enough to be decided, yet it may reach the edge: sums decide, as for edges
                     yield from ((*r, True) for r in self.pending)
                     self.pending = []
-                    self.first_run = True
+                    self.open_run = True
 
     def _close(self) -> Iterator[tuple]:
-        if not self.first_run and self.docs >= self.params.min_docs:
+        if self.open_run and self.key is not None:
+            self.sums.append((*self.first, self.docs, *self.last_doc))
+        elif self.docs >= self.params.min_docs:
             gone = self.pending[1:] if self.params.keep_first else self.pending
             yield from ((*r, False) for r in gone)
         self.pending = []
 
     def end(self) -> Iterator[tuple]:
         """The last run may go on in the next partition."""
+        self.open_run = True
         yield from ((*r, True) for r in self.pending)
-        self.pending = []
+        yield from self._close()
 
 
 def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -139,34 +147,41 @@ def dropped_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFra
     order = [*HASH, *DOCUMENT, "pos"]
     # a repeated row is one document
     ranged = lines.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = "h1 bigint, h2 bigint, doc_id bigint, text_hash bigint, pos int, edge boolean"
+    schema = "h1 bigint, h2 bigint, doc_id bigint, text_hash bigint, pos int, edge boolean, docs bigint, last_id bigint, last_hash bigint, part int"
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_()] + [pa.int64()] * 3 + [pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(params)
+        runs, part = _Runs(params), TaskContext.get().partitionId()
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_()]
+            columns = [*zip(*rows, strict=True)] or [[]] * 6
+            columns += [[None] * len(rows)] * 4
             arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=[*order, "edge"])
+            return pa.RecordBatch.from_arrays(arrays, names=[*order, "edge", "docs", "last_id", "last_hash", "part"])
 
         for batch in batches:
             yield packed(list(runs.feed(zip(*(c.to_pylist() for c in batch.columns), strict=True))))
         yield packed(list(runs.end()))
+        sums = [(*s[:5], None, *s[5:], part) for s in runs.sums]
+        arrays = [pa.array(c, type=k) for c, k in zip([*zip(*sums, strict=True)] or [[]] * 10, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*order, "edge", "docs", "last_id", "last_hash", "part"])
 
     decided = stored(ranged.mapInArrow(run, schema), "line-runs")
-    edges = decided.where("edge")
-    # each run at an edge: its documents, and where it first occurs
-    per_doc = edges.groupBy(*HASH, *DOCUMENT).agg(F.min("pos").alias("pos"))
-    first = F.min(F.struct(*DOCUMENT, "pos")).alias("first")
-    totals = per_doc.groupBy(*HASH).agg(F.count(F.lit(1)).alias("docs"), first)
+    edges = decided.where("edge").drop("edge", "docs", "last_id", "last_hash", "part")
+    # a row for each run at an edge and partition; a document that goes on behind an edge counts once
+    along = Window.partitionBy(*HASH).orderBy("part")
+    goes_on = F.lag("part").over(along).isNotNull()
+    for own, before in zip(DOCUMENT, ("last_id", "last_hash"), strict=True):
+        goes_on = goes_on & F.col(own).eqNullSafe(F.lag(before).over(along))
+    sums = decided.where("docs IS NOT NULL").withColumn("new", F.col("docs") - goes_on.cast("int"))
+    totals = sums.groupBy(*HASH).agg(F.sum("new").alias("docs"), F.min(F.struct(*DOCUMENT, "pos")).alias("first"))
     common = totals.where(F.col("docs") >= params.min_docs).drop("docs")
-    # a row for each run at an edge, of which a partition has two and those cut as too long
-    late = edges.join(common, HASH)
+    # two rows for each partition at most, and those of runs cut as too long
+    late = edges.join(F.broadcast(common), HASH)
     if params.keep_first:
         late = late.where(~F.col("first").eqNullSafe(F.struct(*DOCUMENT, "pos")))
     columns = [*DOCUMENT, "pos"]
-    return decided.where("not edge").select(*columns).unionByName(late.select(*columns))
+    return decided.where("NOT edge").select(*columns).unionByName(late.select(*columns))
 
 
 def pack_bitmap(dropped: list[int]) -> bytes:
@@ -202,7 +217,7 @@ def keep_bitmaps(docs: DataFrame, params: LineParams = LineParams()) -> DataFram
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` as a struct column ``row``, its fingerprint, and the bitmap if it has one."""
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash")
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash")
     )
     marks = bitmaps.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"), "bitmap")
     same = (F.col("text_hash") == F.col("other_hash")) & F.col("doc_id").eqNullSafe(F.col("other_id"))
