@@ -7,7 +7,7 @@ from tests.helpers import FULL_HEADERS, attachments, emails
 from threatloom.functions import identity, text, urls
 from threatloom.functions.risk import risk_bucket
 from threatloom.operators import attachments as att
-from threatloom.operators import fusion, language, metrics, spam
+from threatloom.operators import fusion, language, metrics, shaping, spam
 from threatloom.params import Params
 
 
@@ -342,3 +342,30 @@ def test_recommendation_prefixes_are_stripped_repeatedly(spark):
     given = "⚠️ 🎣 🎣 Potential phishing"
     assert value(spark, fusion.bare_recommendation, given) == "Potential phishing"
     assert value(spark, fusion.recommendation_class, given) == "RED"
+
+
+def test_text_with_many_urls_is_cut_once(spark):
+    """As much time per character as for few URLs; each span is redacted by itself."""
+    import time
+
+    def spent(n):
+        given = " ".join(f"at https://h{i}.example/x?token=a{i}, then" for i in range(n))
+        wanted = " ".join(f"at https://h{i}.example/x?token=%5BREDACTED%5D, then" for i in range(n))
+        table = spark.createDataFrame([(given,)], "t string").select(urls.redact_urls_in_text(F.col("t")).alias("t"))
+        assert table.first().t == wanted
+        start = time.perf_counter()
+        table.collect()
+        return time.perf_counter() - start
+
+    few, many = spent(1000), spent(20_000)
+    assert many < 20 * 3 * max(few, 0.05)
+    given = "https://h.example/x?token=a https://h.example/x?token=ab) \n/p?key=1"
+    wanted = "https://h.example/x?token=%5BREDACTED%5D https://h.example/x?token=%5BREDACTED%5D) \n/p?key=%5BREDACTED%5D"
+    assert value(spark, urls.redact_urls_in_text, given) == wanted
+
+
+def test_header_map_groups_by_runs(spark):
+    entries = [(0, "From", "a"), (1, "to", "b"), (2, "FROM", "c"), (3, "x", None), (4, "from", "d")]
+    table = spark.createDataFrame([(entries,), ([],), (None,)], "e array<struct<pos:int,name:string,value:string>>")
+    found = [r[0] for r in table.select(shaping.header_map(F.col("e"))).collect()]
+    assert found == [{"from": ["a", "c", "d"], "to": ["b"], "x": [None]}, {}, None]

@@ -173,16 +173,24 @@ def url_for_display(url: Column) -> Column:
 
 
 def redact_urls_in_text(col: Column) -> Column:
-    """Redact every URL-like span inside free text."""
+    """Redact every URL-like span inside free text.
 
-    def step(message: Column, found: Column) -> Column:
+    The text is cut into what lies between the spans and the spans themselves,
+    each is redacted by itself, and the pieces are joined: linear in the text.
+    """
+    pattern = "(?U)" + K.TEXT_URL_PATTERN
+
+    def shown(found: Column, behind: Column) -> Column:
         url = F.regexp_replace(found, r"[.,;:)']+\z", "")
-        shown = redact_url_secrets(url)
-        return F.when((url != "") & (shown != url), F.replace(message, url, shown)).otherwise(message)
+        return F.concat(redact_url_secrets(url), F.substring(found, F.length(url) + 1, F.length(found)), behind)
+
+    def spliced(between: Column) -> Column:
+        spans = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
+        pieces = F.zip_with(spans, F.slice(between, F.lit(2), F.size(between) - 1), shown)
+        return F.concat(F.get(between, F.lit(0)), F.array_join(pieces, ""))
 
     col = text(col)
-    found = F.regexp_extract_all(col, F.lit("(?U)" + K.TEXT_URL_PATTERN), F.lit(0))
-    return F.when(F.size(found) > 0, F.aggregate(found, col, step)).otherwise(col)
+    return F.when(col.rlike(pattern), let(F.split(col, pattern, -1), spliced)).otherwise(col)
 
 
 # --- outbound audit -----------------------------------------------------------

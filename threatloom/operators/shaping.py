@@ -10,23 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.functions.identity import fallback_filename
-from threatloom.functions.text import at_most, strip, text
+from threatloom.functions.text import at_most, let, strip, text
 from threatloom.operators.attachments import admit, truncation
 from threatloom.params import DEFAULTS, Params
 
 
 def header_map(entries: Column) -> Column:
-    """``map<name, values>`` from an ordered ``array<struct<pos,name,value>>``; one message on its row."""
-    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["name"])))
-    return F.map_from_arrays(
-        names,
-        F.transform(
-            names,
-            lambda n: F.transform(
-                F.filter(entries, lambda e: F.lower(e["name"]) == n), lambda e: e["value"]
-            ),
-        ),
-    )
+    """``map<name, values>`` from an ordered ``array<struct<pos,name,value>>``; one message on its row.
+
+    Entries are sorted by name once, and each name takes its run of them.
+    """
+    named = F.transform(entries, lambda e, i: F.struct(F.lower(e["name"]).alias("name"), i.alias("i"), e["value"].alias("value")))
+
+    def runs(rows: Column) -> Column:
+        def begins(i: Column) -> Column:
+            return (i == 0) | (F.get(rows, i)["name"] != F.get(rows, i - 1)["name"])
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(rows) - 1), begins), lambda starts: from_runs(rows, starts))
+
+    def from_runs(rows: Column, starts: Column) -> Column:
+        def values(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(rows))
+            return F.transform(F.slice(rows, start + 1, end - start), lambda e: e["value"])
+
+        return F.map_from_arrays(F.transform(starts, lambda i: F.get(rows, i)["name"]), F.transform(starts, values))
+
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
+    return F.when(F.size(entries) == 0, none).otherwise(let(F.array_sort(named), runs))
 
 
 def header_multimap(headers: DataFrame, *keys: str) -> DataFrame:
