@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import ATTACHMENT_SCHEMA
@@ -152,3 +153,29 @@ def test_reasons_of_nested_archives(spark):
     assert got.archive_warnings == ["Archive x.zip contains nested archive: in.zip", "Failed to inspect nested archive in.zip: File is not a zip file"]
     second = archives.score_members(table).where("member_pos = 2").first()
     assert second.member_warnings[1] == "Zip bomb detected: x.zip/big.zip"
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_streamed_admission_is_the_walk(spark, batch):
+    """Carried over batches of any size, equal to the fold over a message's array."""
+    rng = random.Random(4)
+    rows = [
+        (f"a{m % 2}", "f", None if m == 7 else f"m{m}", p, None if rng.random() < 0.05 else rng.randint(1, 60), f"{p}.x")
+        for m in range(40)
+        for p in range(1, rng.choice([2, 3, 5, 15, 40]))
+    ]
+    table = spark.createDataFrame(rows, "account_email string, folder string, message_id string, pos int, size long, `file.name` string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for params in (Params(max_total_attachment_bytes=100), Params(max_total_attachment_bytes=0), Params(max_attachment_count=2)):
+            marked = attachments.with_admission(table.repartition(3), params)
+            assert marked.columns == [*table.columns, "admitted"]
+            got = {}
+            for r in marked.where("admitted").collect():
+                got.setdefault((r.account_email, r.message_id), []).append(r.pos)
+            items = F.array_sort(F.collect_list(F.struct("pos", "size")))
+            walked = table.groupBy("account_email", "folder", "message_id").agg(attachments.admit(items, params).alias("kept"))
+            wanted = {(r.account_email, r.message_id): r.kept for r in walked.collect() if r.kept}
+            assert {k: sorted(v) for k, v in got.items()} == wanted
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

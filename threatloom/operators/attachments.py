@@ -7,8 +7,13 @@ aggregation by message brings them together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatloom.functions import constants as K
 from threatloom.functions.risk import risk_bucket
@@ -264,20 +269,76 @@ def scanned_bytes(size: Column, params: Params = DEFAULTS) -> Column:
     return F.least(size, F.lit(params.max_attachment_bytes).cast("bigint"))
 
 
+def with_admission(attachments: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Adds ``admitted``: does the walk over the message's attachments take this one?
+
+    The walk of ``admit``, streamed: attachments are dealt by message and sorted,
+    and a task carries two numbers from one to the next.  So a message may have any
+    number of attachments; most messages take all of theirs, which is seen from
+    sums of whole batches.  Attachments of unknown size are not taken if bytes are
+    limited; ties of position are walked by size, then name.
+    """
+    most, limit = params.max_attachment_count, params.max_total_attachment_bytes
+    names = attachments.columns
+    schema = T.StructType(
+        [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(attachments.schema)] + [T.StructField("admitted", T.BooleanType())]
+    )
+    key = [names.index(c) for c in MESSAGE_KEY]
+    size_at = names.index("size")
+    dealt = attachments.repartition(*MESSAGE_KEY)
+    order = [*MESSAGE_KEY, "pos", "size", *(c for c in ("filename",) if c in names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, total = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy() for i in key]
+            new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], batch.num_rows)
+            sizes = batch.column(size_at).cast(pa.int64())
+            # what is beyond the limit, or unknown, never fits
+            known = np.minimum(sizes.fill_null(limit + 1).to_numpy(), limit + 1) if limit > 0 else np.zeros(batch.num_rows, np.int64)
+            whole = (ends - starts <= most) & (np.add.reduceat(known, starts) <= limit if limit > 0 else True)
+            taken = np.repeat(whole, ends - starts)
+            first = tuple(batch.column(i)[0].as_py() for i in key)
+            goes_on = first == last
+            for group in sorted({0, len(starts) - 1, *np.flatnonzero(~whole).tolist()}):
+                if not (group == 0 and goes_on):
+                    count, total = 0, 0
+                for at in range(starts[group], ends[group]):
+                    taken[at] = fits = count < most and (limit <= 0 or total + known[at] <= limit)
+                    count, total = count + bool(fits), total + int(known[at]) * bool(fits)
+            last = tuple(batch.column(i)[batch.num_rows - 1].as_py() for i in key)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], names=schema.names)
+
+    # Spark looks its input up by name, and a name may hold dots
+    rows = dealt.sortWithinPartitions(*order).toDF(*schema.names[:-1])
+    return rows.mapInArrow(run, schema).toDF(*names, "admitted")
+
+
 def gather(attachments: DataFrame, *fields: str, params: Params = DEFAULTS) -> DataFrame:
-    """One row per message with ``items``, its attachments in walk order.
+    """One row per message with ``items``, those of its attachments that are admitted, in walk order.
 
-    A message's attachments are one value of the result.  A part cap, if there
-    is one, is applied before the shuffle.
+    A part cap, if there is one, is applied before the shuffle.  Needs ``admitted``,
+    or takes all.
     """
     item = F.struct("pos", *[f for f in fields if f != "pos"])
+    if "admitted" in attachments.columns:
+        item = F.when(F.col("admitted"), item)
     rows = attachments if params.max_parts is None else attachments.filter(F.col("pos") <= params.max_parts)
     return rows.groupBy(*MESSAGE_KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
+def _up_to_cap(attachments: DataFrame, params: Params) -> DataFrame:
+    return attachments if params.max_parts is None else attachments.filter(F.col("pos") <= params.max_parts)
+
+
 def admitted_attachments(attachments: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Adds ``admitted`` (array of positions) per message."""
-    return gather(attachments, "size", params=params).select(*MESSAGE_KEY, admit(F.col("items"), params).alias("admitted"))
+    marked = with_admission(_up_to_cap(attachments.select(*MESSAGE_KEY, "pos", "size"), params), params)
+    return gather(marked).select(*MESSAGE_KEY, F.col("items.pos").alias("admitted"))
 
 
 def gated_fold(items: Column, params: Params = DEFAULTS) -> Column:
@@ -309,19 +370,17 @@ def media_scores(
 ) -> DataFrame:
     """One row per message that has admitted attachments: its key and ``media``.
 
-    Checks run on attachment rows before the shuffle; only findings travel.
+    Admission is decided on sorted rows, checks run on rows, and only findings
+    of admitted attachments are brought together.
     """
     video = small_video_score(F.col("filename"), scanned_bytes(F.col("size"), params))
-    checked = attachment_checks(attachments, archives).withColumn(
+    marked = with_admission(_up_to_cap(attachments, params), params)
+    checked = attachment_checks(marked, archives).withColumn(
         "video_score", video if params.small_video_check else F.lit(0.0)
     )
     lists = ("suspicious_attachments", "file_type_warnings", "size_anomalies")
-    grouped = gather(checked, "size", "filename", "meta_score", "video_score", *lists, params=params)
-    let_in = admit(F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"))), params)
-    admitted = grouped.withColumn("_in", let_in).withColumn(
-        "items", F.filter("items", lambda x: F.array_contains("_in", x["pos"]))
-    )
-    folded = admitted.withColumn("_fold", gated_fold(F.col("items"), params))
+    grouped = gather(checked, "size", "filename", "meta_score", "video_score", *lists)
+    folded = grouped.withColumn("_fold", gated_fold(F.col("items"), params))
     score = F.col("_fold")["score"]
 
     def joined(name: str) -> Column:

@@ -850,16 +850,16 @@ def _queries() -> dict[str, str]:
         "media_by_mailbox": """
             SELECT k.account_email, k.folder, k.message_id, coalesce(a.warnings, 0) AS warnings,
                    coalesce(a.anomalies, 0) AS anomalies, md5(coalesce(a.lines, '')) AS warnings_key
-            FROM (SELECT DISTINCT 'shop' || CAST(1 + o_orderkey % 100 AS STRING) || '@mail.example' AS account_email,
+            FROM (SELECT 'shop' || CAST(1 + o_orderkey % 100 AS STRING) || '@mail.example' AS account_email,
                     CASE o_orderkey % 4 WHEN 0 THEN 'INBOX' WHEN 1 THEN 'Junk' WHEN 2 THEN 'Archive' ELSE 'Sent' END
-                      AS folder, CAST(o_orderkey % 7 AS STRING) AS message_id
+                      AS folder, CAST(o_orderkey // 100 AS STRING) AS message_id
                   FROM orders) k
             LEFT JOIN (
-              SELECT account_email, folder, CAST(n % 7 AS STRING) AS message_id,
+              SELECT account_email, folder, CAST(n // 100 AS STRING) AS message_id,
                      CAST(sum(CAST(dangerous AS INT) + CAST(suspicious AS INT) + CAST(several AS INT)) AS BIGINT) AS warnings,
                      CAST(sum(CAST(truncated AS INT) + CAST(size_line <> '' AS INT)) AS BIGINT) AS anomalies,
-                     string_agg(ext_lines, ' | ' ORDER BY n) FILTER (ext_lines <> '') AS lines
-              FROM (SELECT *, CAST(substr(message_id, 2) AS BIGINT) AS n FROM att3 WHERE pos = 1) GROUP BY 1, 2, 3
+                     string_agg(ext_lines, ' | ' ORDER BY pos) FILTER (ext_lines <> '') AS lines
+              FROM (SELECT *, CAST(substr(message_id, 2) AS BIGINT) AS n FROM att3) GROUP BY 1, 2, 3
             ) a USING (account_email, folder, message_id)""",
         "path_traversal": r"""
             SELECT name, regexp_matches(name, '^([/\\]|\pL:)') OR contains(name, '..') AS escapes

@@ -589,12 +589,9 @@ def media_layer_off(t: SampleTables) -> DataFrame:
 @query
 def media_by_mailbox(t: SampleTables) -> DataFrame:
     # mail servers number each mailbox from one: the same ids in a hundred accounts
-    numbered = F.pmod(F.col("n"), F.lit(7)).cast("string")
-    mail = t.sql(_ORDER_MAIL).withColumn("message_id", numbered).dropDuplicates(list(MAILBOX_KEY))
-    first = t.attachments().filter("pos = 1").withColumn("n", F.expr("CAST(substr(message_id, 2) AS BIGINT)"))
-    own = first.withColumn("message_id", numbered)
-    order = Window.partitionBy(*MAILBOX_KEY).orderBy("n")
-    own = own.withColumn("pos", F.row_number().over(order)).drop("n")
+    numbered = F.floor(F.col("n") / 100).cast("bigint").cast("string")
+    mail = t.sql(_ORDER_MAIL).withColumn("message_id", numbered)
+    own = t.attachments().withColumn("n", F.expr("CAST(substr(message_id, 2) AS BIGINT)")).withColumn("message_id", numbered).drop("n")
     params = replace(DEFAULTS, max_attachment_count=1_000_000, max_total_attachment_bytes=0)
     scored = attachments.media_layer(mail.select(*MAILBOX_KEY), own, params)
     return scored.select(
