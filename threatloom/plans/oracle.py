@@ -948,6 +948,13 @@ def _queries() -> dict[str, str]:
                    (SELECT string_agg(error_type || '=' || n, ' | ' ORDER BY error_type)
                     FROM (SELECT error_type, count(*) AS n FROM obs WHERE error_type IS NOT NULL GROUP BY 1)) AS errors,
                    s.* FROM (SELECT {stats} FROM obs) s""",
+        "stream_summary": f"""
+            SELECT (SELECT count(*) FROM obs) AS emails_processed,
+                   (SELECT string_agg(counter || '=' || n, ' | ' ORDER BY counter) FROM counters) AS threats_detected,
+                   (SELECT count(*) FROM counters) AS threat_types,
+                   (SELECT string_agg(error_type || '=' || n, ' | ' ORDER BY error_type)
+                    FROM (SELECT error_type, count(*) AS n FROM obs WHERE error_type IS NOT NULL GROUP BY 1)) AS errors,
+                   s.* FROM (SELECT {stats} FROM obs) s""",
         # functions
         "sanitize_log": """
             SELECT conv_id, turn, log_text AS line,
@@ -1038,6 +1045,16 @@ def _queries() -> dict[str, str]:
         "log_by_level": "SELECT event_id, message FROM log_rows WHERE level = 'ERROR'",
         "log_by_module": "SELECT event_id, level, message FROM log_rows WHERE module = 'main'",
         "log_contains": "SELECT event_id, message FROM log_rows WHERE contains(message, 'Analysis complete')",
+        "dead_letters": r"""
+            SELECT 'log' AS kind, CAST(event_id AS VARCHAR) AS key, 'not JSON' AS reason FROM log_rows WHERE corrupt
+            UNION ALL
+            SELECT 'date', message_id, 'date does not parse' FROM hdr
+            WHERE lower(name) = 'date'
+              AND try_strptime(regexp_replace(value, '^[A-Za-z]{3},\s*', ''), '%d %b %Y %H:%M:%S %z') IS NULL
+            UNION ALL
+            SELECT 'account', account_email, 'not connected' FROM accounts WHERE enabled AND NOT connected""",
+        "dead_letters_replayed": """
+            SELECT CAST(event_id AS VARCHAR) AS key, 'no level' AS reason FROM log_rows WHERE corrupt""",
         "log_level_counts": "SELECT level, count(*) AS n FROM log_rows WHERE NOT corrupt GROUP BY 1",
         "log_write": """
             SELECT event_id, replace(replace(replace(CAST(js AS VARCHAR), '": ', '":'), ', "', ',"'),

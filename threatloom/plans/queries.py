@@ -26,6 +26,7 @@ from threatloom.operators import (
     logs,
     metrics,
     payloads,
+    rejects,
     rule_index,
     rules,
     scans,
@@ -39,6 +40,7 @@ from threatloom.sources import archive_members as listing
 from threatloom.sources import eml
 from threatloom.sources.sample_tables import SampleTables
 from threatloom.streaming import monitor as stream
+from threatloom.streaming import running
 from threatloom.streaming.commits import Commits
 from threatloom.streaming.outbox import DEAD, SENT, deliver
 
@@ -836,10 +838,7 @@ def latency_percentiles(t: SampleTables) -> DataFrame:
     return stats.withColumn("avg_ms", rounded("avg_ms"))
 
 
-@query
-def metrics_summary(t: SampleTables) -> DataFrame:
-    summary = metrics.metrics_summary(t.observations())
-
+def _summary_columns(summary: DataFrame) -> DataFrame:
     def flat(name: str) -> Column:
         pairs = F.transform(
             F.array_sort(F.map_entries(name)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
@@ -858,6 +857,25 @@ def metrics_summary(t: SampleTables) -> DataFrame:
     )
 
 
+@query
+def metrics_summary(t: SampleTables) -> DataFrame:
+    return _summary_columns(metrics.metrics_summary(t.observations()))
+
+
+@query
+def stream_summary(t: SampleTables) -> DataFrame:
+    # ten cycles, the tenth of which sums up
+    source, sums = shared_folder(t.spark, "observations"), shared_folder(t.spark, "summaries")
+    t.observations().repartition(10).write.parquet(source)
+
+    def keep(summary: DataFrame, cycle: int) -> None:
+        summary.write.mode("overwrite").parquet(f"{sums}/cycle={cycle}")
+
+    arriving = stream.file_stream(t.spark, source, "*.parquet", per_cycle=1)
+    _finish(running.running_metrics(arriving, shared_folder(t.spark, "metrics"), keep, once=True))
+    return _summary_columns(t.spark.read.parquet(sums).drop("cycle"))
+
+
 # --- functions ----------------------------------------------------------------
 
 
@@ -989,6 +1007,22 @@ def log_contains(t: SampleTables) -> DataFrame:
     return logs.containing(_logs(t), "Analysis complete").select("event_id", "message")
 
 
+@query
+def dead_letters(t: SampleTables) -> DataFrame:
+    found = rejects.dead_letters(
+        rejects.bad_log_lines(t.log_lines(), "event_id"), rejects.bad_dates(t.headers()), rejects.faulty_accounts(t.accounts())
+    )
+    return found.select("kind", "key", "reason")
+
+
+@query
+def dead_letters_replayed(t: SampleTables) -> DataFrame:
+    # lines that were cut off behind the time are closed again; what is still missing is the level
+    letters = rejects.bad_log_lines(t.log_lines(), "event_id")
+    good, left = rejects.replay(letters, "log", lambda p: F.concat(p, F.lit('"}')), rejects.log_reason)
+    return left.select("key", "reason").unionByName(good.select("key", F.lit(None).cast("string").alias("reason")))
+
+
 @query
 def log_level_counts(t: SampleTables) -> DataFrame:
     return logs.level_counts(_logs(t).filter(F.col("_corrupt").isNull()))
