@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import LABELS, awkward, clashing, documents, prose
 from threatloom.llm import quality_gam, toxicity
@@ -148,3 +149,104 @@ def test_cosines_are_of_whole_texts(spark):
     q = vector(query)
     wanted = [sum(x * q.get(w, 0) for w, x in vector(dict(texts)[i]).items()) for i in index.ids.tolist()]
     assert np.allclose(got, wanted)
+
+
+def weighted_index(spark, telling=("v1", "v2")):
+    docs, labels, _ = fixture(spark, toxic_words=telling)
+    return docs, toxicity.fit_index(docs, labels, toxicity.ToxicityParams(block=8, neighbours=5))
+
+
+def test_blocks_below_the_bound_are_not_needed(spark, monkeypatch):
+    """Neighbours under weighted terms are those of comparing with every example, though not every block is read."""
+    docs, index = weighted_index(spark)
+    assert (index.idf > 3 * np.log(len(index.ids))).any()  # some terms tell
+    texts = [index.vocabulary.all_counts(r["text"].encode()) for r in docs.limit(150).collect()]
+    texts += [index.vocabulary.all_counts(t) for t in (b"", b"unheard of", b"v1", b"v1 v1 v2 and v3")]
+    shares = []
+    best = toxicity.Index._best
+    monkeypatch.setattr(toxicity.Index, "_best", lambda self, exact, read: (shares.append(read.mean()), best(self, exact, read))[1])
+    for (places, cosines), every in zip(index.nearest_of(texts), index.cosines(texts), strict=True):
+        order = np.lexsort((index.rank, -every))
+        order = order[every[order] > 0][:5]
+        assert places.tolist() == order.tolist()
+        assert np.array_equal(cosines, every[order])
+    assert np.mean(shares) < 0.9
+
+
+def test_a_copy_outvotes_all_others(spark):
+    docs, index = weighted_index(spark)
+    texts = {r["doc_id"]: index.vocabulary.all_counts(r["text"].encode()) for r in docs.collect()}
+    for place in range(0, len(index.ids), 7):
+        vote, places = next(index.votes([texts[int(index.ids[place])]]))
+        assert index.ids[places[0]] == index.ids[place]
+        assert (vote > 0.5) == (index.labels[place] == 1)
+
+
+def test_the_curve_is_fitted_on_the_other_half(spark):
+    docs, labels, known = fixture(spark)
+    rows = toxicity.toxicity_report(docs, labels).collect()
+    # scores of held-out rows are as sure as those of rows that were learned from
+    toxic = {i for i, _, t in known if t}
+    seen, unseen = ([r["score"] for r in rows if r["doc_id"] in toxic and r["held_out"] == h] for h in (False, True))
+    assert abs(np.mean(seen) - np.mean(unseen)) < 0.2
+
+
+def test_scores_are_sums_of_table_entries():
+    """Row by row, bins found by walking over the cuts."""
+    r = np.random.RandomState(6)
+    rows = np.round(r.normal(size=(1500, len(quality_gam.FEATURES))), 1)  # ties with the cuts
+    labels = ((rows[:, 1] + rows[:, 4] * rows[:, 9] + 0.3 * r.normal(size=1500)) > 0).astype(float)
+    model = quality_gam.Gam.fit(rows, labels, quality_gam.GamParams(rounds=20, pair_rounds=10))
+    assert model.pairs
+
+    def bin_of(value, cuts):
+        return sum(1 for cut in cuts if cut <= value)
+
+    for row, got in zip(rows[:200], model.margins(rows[:200]), strict=True):
+        total = model.constant
+        for value, cuts, table in zip(row, model.cuts, model.tables, strict=True):
+            total += table[bin_of(value, cuts)]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[bin_of(row[i], model.pair_cuts[i]), bin_of(row[j], model.pair_cuts[j])]
+        assert abs(total - got) < 1e-9
+
+
+def value_of(gradient, weight, ridge):
+    return gradient.sum() ** 2 / (weight.sum() + ridge)
+
+
+def test_cuts_are_the_best_of_all():
+    r = np.random.RandomState(8)
+    for _ in range(60):
+        shape = tuple(r.randint(2, 7, 2))
+        g, h, ridge = r.normal(size=shape), r.uniform(0.1, 2, shape), r.choice([0.0, 1.0, 2.0])
+        step, gain = quality_gam.best_quadrants(g, h, ridge)
+        every = {}
+        for i in range(1, shape[0]):
+            for j in range(1, shape[1]):
+                parts = [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)), (slice(i, None), slice(j, None))]
+                every[i, j] = sum(value_of(g[p], h[p], ridge) for p in parts), parts
+        best, parts = max(every.values(), key=lambda v: v[0])
+        assert gain == pytest.approx(best - value_of(g, h, ridge))
+        for p in parts:
+            assert np.allclose(step[p], g[p].sum() / (h[p].sum() + ridge))
+
+
+def test_a_tree_cuts_twice_where_it_gains_most():
+    r = np.random.RandomState(9)
+    for _ in range(100):
+        n = r.randint(1, 9)
+        g, h, ridge = r.normal(size=n), r.uniform(0.1, 2, n), 1.0
+        pieces = [(0, n)]
+        for _ in range(2):
+            options = [
+                (value_of(g[a:c], h[a:c], ridge) + value_of(g[c:b], h[c:b], ridge) - value_of(g[a:b], h[a:b], ridge), (a, b), c)
+                for a, b in pieces
+                for c in range(a + 1, b)
+            ]
+            if options:
+                _, (a, b), c = max(options)
+                pieces = [p for p in pieces if p != (a, b)] + [(a, c), (c, b)]
+        step = quality_gam.best_step(g, h, ridge)
+        for a, b in pieces:
+            assert np.allclose(step[a:b], g[a:b].sum() / (h[a:b].sum() + ridge))
