@@ -1065,6 +1065,13 @@ def _queries() -> dict[str, str]:
               SELECT *, date_trunc('hour', strptime(stamp, '%Y-%m-%d %H:%M:%S')) AS h FROM log_rows WHERE NOT corrupt)
             WHERE h = (SELECT date_trunc('hour', max(strptime(stamp, '%Y-%m-%d %H:%M:%S'))) FROM log_rows)
                       - INTERVAL 1 HOUR""",
+        "log_store_recent": """
+            SELECT event_id, level, message FROM (
+              SELECT *, date_trunc('hour', strptime(stamp, '%Y-%m-%d %H:%M:%S')) AS h FROM log_rows WHERE NOT corrupt)
+            WHERE h = (SELECT date_trunc('hour', max(strptime(stamp, '%Y-%m-%d %H:%M:%S'))) FROM log_rows)
+                      - INTERVAL 1 HOUR""",
+        "log_store_contains": "SELECT event_id, message FROM log_rows WHERE contains(message, 'Analysis complete')",
+        "log_store_module": "SELECT event_id, level, message FROM log_rows WHERE module = 'main'",
         # streaming
         "stream_metrics": """
             SELECT threat_type, severity, count(*) AS n FROM obs WHERE threat_type IS NOT NULL GROUP BY 1, 2""",

@@ -23,6 +23,7 @@ from threatloom.operators import (
     attachments,
     fusion,
     language,
+    log_store,
     logs,
     metrics,
     payloads,
@@ -1007,6 +1008,27 @@ def log_contains(t: SampleTables) -> DataFrame:
     return logs.containing(_logs(t), "Analysis complete").select("event_id", "message")
 
 
+def _log_store(t: SampleTables) -> str:
+    root = shared_folder(t.spark, "log-store")
+    log_store.write_logs(_logs(t).where("_corrupt IS NULL").select("event_id", "ts", "level", "module", "message"), root)
+    return root
+
+
+@query
+def log_store_contains(t: SampleTables) -> DataFrame:
+    return log_store.containing(t.spark, _log_store(t), "Analysis complete").select("event_id", "message")
+
+
+@query
+def log_store_module(t: SampleTables) -> DataFrame:
+    return log_store.by_module(t.spark, _log_store(t), "main").select("event_id", "level", "message")
+
+
+@query
+def log_store_recent(t: SampleTables) -> DataFrame:
+    return log_store.previous_hour(t.spark, _log_store(t)).select("event_id", "level", "message")
+
+
 @query
 def dead_letters(t: SampleTables) -> DataFrame:
     found = rejects.dead_letters(
