@@ -32,6 +32,7 @@ from collections import deque
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,25 +217,40 @@ def seeded_cuts(rows: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[int,
     return {key: (h, left) for key, _, _, h, left in three}
 
 
-def fillers(rows: DataFrame, cuts: dict[str, tuple[int, int]], params: MixParams) -> list[tuple[str, int]]:
-    """(pattern, hash) of further documents that fill what is missing up."""
+def fillers(rows: DataFrame, cuts: dict[str, tuple[int, int]], params: MixParams) -> list[tuple[str, int, int]]:
+    """(pattern, hash, 1 or -1): documents beyond the cut that are taken too, and some before it that are left."""
     spark = rows.sparkSession
     if not any(gap for _, gap in cuts.values()):
         return []
-    table = spark.createDataFrame([(k, h, gap) for k, (h, gap) in sorted(cuts.items())], "key string, cut bigint, gap bigint")
-    left = rows.join(F.broadcast(table), "key").where("h >= cut AND size > 0 AND size <= gap")
-    # classes of sizes between powers of two; the limit of the window is applied before the shuffle
-    order = Window.partitionBy("key", F.length(F.bin("size"))).orderBy("h")
-    some = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= params.fillers)
-    picked = some.select("key", "h").distinct()
+    table = spark.createDataFrame([(k, h) for k, (h, gap) in sorted(cuts.items()) if gap], "key string, cut bigint")
+    sized = rows.join(F.broadcast(table), "key").where("size > 0").withColumn("taken", F.col("h") < F.col("cut"))
+    # those nearest to the cut, of every class of sizes between powers of two; the limit is applied before the shuffle
+    near = F.when(F.col("taken"), -F.col("h")).otherwise(F.col("h"))
+    order = Window.partitionBy("key", "taken", F.length(F.bin("size"))).orderBy(near, "h")
+    some = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") <= params.fillers)
+    picked = some.select("key", "h", "taken").distinct()
     # rows that share a hash are taken together
-    whole = rows.join(F.broadcast(picked), ["key", "h"]).groupBy("key", "h").agg(F.sum("size").alias("words"))
-    gaps = {k: gap for k, (_, gap) in cuts.items()}
-    chosen = []
-    for key, h, words in sorted(whole.collect(), key=lambda r: (r[0], -r[2], r[1])):
-        if words <= gaps[key]:
-            gaps[key] -= words
-            chosen.append((key, h))
+    whole = rows.join(F.broadcast(picked), ["key", "h"]).groupBy("key", "h", "taken").agg(F.sum("size").alias("words"))
+    offers: dict[str, list[tuple[int, int]]] = {}
+    for key, h, taken, words in sorted(whole.collect()):
+        offers.setdefault(key, []).append((-words if taken else words, h))
+    return [(key, h, 1 if words > 0 else -1) for key, own in sorted(offers.items()) for words, h in changes(own, cuts[key][1])]
+
+
+def changes(offers: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """Offers (words, hash) that bring the gap near 0: the best pair, one of which may be nothing, again and again."""
+    chosen: list[tuple[int, int]] = []
+    left = [(0, None), *offers]
+    while gap:
+        words = np.array([w for w, _ in left], np.int64)
+        missed = np.abs(gap - words[:, None] - words[None, :])
+        np.fill_diagonal(missed[1:, 1:], abs(gap))
+        i, j = np.unravel_index(int(missed.argmin()), missed.shape)
+        if missed[i, j] >= abs(gap):
+            break
+        gap -= int(words[i] + words[j])
+        chosen += [left[k] for k in {int(i), int(j)} if k]
+        left = [o for k, o in enumerate(left) if not k or k not in (i, j)]
     return chosen
 
 
@@ -263,14 +279,14 @@ def mixture(docs: DataFrame, sources: Column, params: MixParams = MixParams()) -
         if rest:
             wanted[key] = rest
     cuts = seeded_cuts(rows, wanted)
-    more = spark.createDataFrame([(*f, 1) for f in fillers(rows, cuts, params)], "key string, h bigint, more int")
+    more = spark.createDataFrame(fillers(rows, cuts, params), "key string, h bigint, more int")
     low = -(1 << 63)
     plan = spark.createDataFrame(
         [(key, n, cuts[key][0] if key in cuts else low) for key, n in copies.items()], "key string, whole int, cut bigint"
     )
     # both tables are bounded by the number of patterns
     placed = rows.join(F.broadcast(plan), "key").join(F.broadcast(more), ["key", "h"], "left")
-    times = F.col("whole") + F.when((F.col("h") < F.col("cut")) | F.col("more").isNotNull(), 1).otherwise(0)
+    times = F.col("whole") + (F.col("h") < F.col("cut")).cast("int") + F.coalesce("more", F.lit(0))
     taken = placed.select("doc_id", "size", "pattern", "key", times.alias("copies"), (F.col("size") * times).alias("taken"))
     given = {s: sum(f.get(s, 0) for f in flow.values()) for s in sizes}
     named = spark.createDataFrame(
