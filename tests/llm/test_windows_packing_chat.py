@@ -34,9 +34,17 @@ def test_blocks_of_items_give_the_same(spark):
     docs = documents(spark, [f"{items[i]} {items[(i + 1) % 12]}" for i in range(12)])
     whole = {tuple(r) for r in decontaminate.leaks(docs, bench(spark, items)).collect()}
     small = decontaminate.LeakParams(items_per_block=5)
-    # weights differ by block, so only what was found is compared
-    blocks = {tuple(r)[:2] for r in decontaminate.leaks(docs, bench(spark, items), small).collect()}
-    assert blocks == {r[:2] for r in whole} and len(blocks) == 24
+    blocks = {tuple(r) for r in decontaminate.leaks(docs, bench(spark, items), small).collect()}
+    assert blocks == whole and len(blocks) == 24
+
+
+def test_shingles_of_several_blocks_weigh_alike(spark):
+    common = prose(99, 12, 5000)
+    items = [" ".join([*prose(i, 14, 5000), *common]) for i in range(10)]
+    docs = documents(spark, [" ".join(edited(items[i].split(), i, 1)) for i in range(10)] + items[:3])
+    whole = {tuple(r) for r in decontaminate.leaks(docs, bench(spark, items)).collect()}
+    blocks = {tuple(r) for r in decontaminate.leaks(docs, bench(spark, items), decontaminate.LeakParams(items_per_block=3)).collect()}
+    assert whole == blocks and len(whole) > 3
 
 
 def test_every_fingerprint_within_the_radius_shares_a_block():
@@ -49,6 +57,48 @@ def test_every_fingerprint_within_the_radius_shares_a_block():
         assert set(decontaminate.blocks_of(mark, 15)) & set(decontaminate.blocks_of(other, 15))
 
 
+def test_fingerprints_of_windows_are_those_of_items():
+    r = np.random.RandomState(3)
+    hashes, weights = r.randint(0, 2**63, 300).astype(np.uint64), np.log1p(12 / r.randint(1, 4, 300))
+    starts = np.flatnonzero(r.rand(280) < 0.5)
+    marks = decontaminate.window_marks(hashes, weights, starts, 20)
+    assert marks.tolist() == [decontaminate.fingerprint(hashes[s : s + 20], weights[s : s + 20]) for s in starts]
+
+
+def test_windows_meet_items_within_the_radius_and_few_others():
+    r = np.random.RandomState(2)
+    marks = [int(a) << 32 | int(b) for a, b in r.randint(0, 2**32, (600, 2))]
+    met = 0
+    for one, two in zip(marks[::2], marks[1::2], strict=True):
+        near = one
+        for bit in r.choice(64, r.randint(0, 16), replace=False):
+            near ^= 1 << int(bit)
+        filed = set(decontaminate.blocks_of(one, 15, filed=True))
+        assert filed & set(decontaminate.blocks_of(near, 15))
+        met += bool(filed & set(decontaminate.blocks_of(two, 15)))
+    assert met < 0.1 * 300
+
+
+def test_recall_of_edited_items():
+    """Windows that are at least 0.8 alike are found; SimHash may miss a few of those near 0.8."""
+    params = decontaminate.LeakParams()
+    items = [(i, " ".join(prose(i, 60 + i, 9000)).encode()) for i in range(80)]
+    index = decontaminate.BenchmarkIndex.of(items, params)
+    found = {True: 0, False: 0}
+    total = {True: 0, False: 0}
+    for seed in range(320):
+        item_id, length, own, _ = index.items[seed % 80]
+        words = edited(items[item_id][1].decode().split(), seed, 1 + seed // 160)
+        alike = index.similarity(decontaminate.shingles([w.encode() for w in words], 5), own)
+        if alike >= params.similarity:
+            near = alike < 0.84
+            total[near] += 1
+            text = " ".join([*prose(seed + 500, 40, 9000), *words, *prose(seed + 900, 40, 9000)])
+            found[near] += item_id in {m[0] for m in index.matches(text.encode())}
+    assert total[False] > 100 and found[False] == total[False]
+    assert total[True] > 20 and found[True] >= 0.9 * total[True], (found, total)
+
+
 def test_every_similar_window_is_verified_exactly():
     """Against every window and item, without gate, fingerprint or index."""
     params = decontaminate.LeakParams()
@@ -153,6 +203,33 @@ def test_best_fit_takes_the_tightest_room():
     assert packing.opening(5, 5, params) == 10
 
 
+def naive_best_fit(sizes, params):
+    """Every sequence and every length tried for every piece."""
+    used, capacity, where, starts = [], [], [], []
+    for n, size in enumerate(sizes):
+        left = sum(sizes[n:])
+        fits = [(capacity[s] - used[s], s) for s in range(len(used)) if capacity[s] - used[s] >= size]
+        if fits:
+            _, s = min(fits)
+        else:
+            s = len(used)
+            prices = [(params.cost(c) / min(c, max(left, size)), c) for c in params.capacities if c >= size]
+            capacity.append(min(prices)[1])
+            used.append(0)
+        where.append(s)
+        starts.append(used[s])
+        used[s] += size
+    return where, starts, [min(c for c in params.capacities if c >= n) for n in used]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_equals_trying_every_sequence(seed):
+    r = np.random.RandomState(seed)
+    params = packing.PackParams(capacities=(16, 40, 100), overhead=float(r.choice([0, 5, 64])), attention=float(r.choice([0, 1 / 64])))
+    sizes = sorted(r.randint(1, 101, r.randint(1, 200)).tolist(), reverse=True)
+    assert packing.best_fit(sizes, params) == naive_best_fit(sizes, params)
+
+
 def test_packing_awkward_rows(spark):
     rows = packing.pack_documents(clashing(awkward(spark))).collect()
     assert len({r["doc_id"] for r in rows}) == 7

@@ -1,16 +1,20 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A document's words are read in windows as long as each benchmark item; one that
-is shorter than an item is a single window for it, the whole text.  A window and an item have a SimHash of their weighted shingles; fingerprints are
-cut into ``radius + 1`` blocks and indexed by block, so every fingerprint
-within the radius shares a block and is found.  What is found is verified by
-the exact weighted Jaccard similarity of both bags of shingles.  Windows that
-hold too little of the benchmark's shingles to pass that test get no
-fingerprint: what they share bounds their similarity.
+is shorter than an item is a single window for it, the whole text.  A window and
+an item have a SimHash of their weighted shingles.  Fingerprints are cut into four
+blocks of 16 bits; of two that differ in at most 15 bits, some block differs in at
+most 3.  An item is filed under all values of its blocks within one bit, a window
+looks up all values within two, so every fingerprint within the radius is found,
+and of random ones 4 in 100.  What is found is verified by the exact weighted
+Jaccard similarity of both bags of shingles.  Windows that hold too little of the
+benchmark's shingles to pass that test get no fingerprint: what they share bounds
+their similarity.
 
 A shingle weighs ln(1 + items / items that have it); one that no item has weighs
 as much as the rarest.  Words are compared in lower case and without ASCII
-punctuation.  Items shorter than a shingle are one shingle; items without words
+punctuation.  Items that have it are counted once over the whole benchmark, so a
+match does not depend on which items are looked up together.  Items shorter than a shingle are one shingle; items without words
 match nothing.  Null and empty texts match nothing; repeated rows match alike;
 repeated items match under each id; an empty benchmark or table gives no
 matches.  The benchmark is taken in blocks of a bounded number of items, each
@@ -19,9 +23,10 @@ sent to all tasks, so no text is shuffled.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.batches import Texts, fresh_name, quoted, with_struct
+from threatloom.llm.batches import Texts, byte_texts, fresh_name, quoted, with_struct
+from threatloom.session import stored
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH = "item_id bigint, start_word bigint, n_words bigint, hamming bigint, similarity double"
@@ -65,19 +71,58 @@ def shingles(words: list[bytes], wide: int) -> np.ndarray:
     return made ^ (made >> np.uint64(32))
 
 
+def _votes(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Votes of each shingle for the 64 bits; whole numbers, so sums in any order are the same."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.rint(weights * (1 << 20)).astype(np.int64)[:, None] * (2 * bits.astype(np.int64) - 1)
+
+
 def fingerprint(hashes: np.ndarray, weights: np.ndarray) -> int:
     """SimHash of 64 bits: the sign of each bit's weighted vote."""
-    bits = np.unpackbits(np.ascontiguousarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = weights @ (2.0 * bits - 1.0)
+    votes = _votes(hashes, weights).sum(axis=0)
     return int.from_bytes(np.packbits(votes > 0, bitorder="little").tobytes(), "little")
 
 
-def blocks_of(value: int, radius: int) -> Iterator[tuple[int, int]]:
-    """``radius + 1`` numbered blocks of bits; two values within the radius agree in at least one."""
-    count = radius + 1
-    for i in range(count):
-        low, high = 64 * i // count, 64 * (i + 1) // count
-        yield i, (value >> low) & ((1 << (high - low)) - 1)
+def window_marks(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Fingerprints of windows of ``span`` shingles, from running sums of their votes."""
+    votes = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_votes(hashes, weights), axis=0)])
+    return np.packbits(votes[starts + span] - votes[starts] > 0, axis=1, bitorder="little").view("<u8").ravel()
+
+
+BLOCKS, WIDTH = 4, 16
+# windows looked up together begin within so many shingles
+_TOGETHER = 256
+
+
+@lru_cache
+def _flips(bits: int) -> tuple[int, ...]:
+    """All changes of at most so many bits of a block."""
+    return tuple(sum(1 << b for b in some) for n in range(bits + 1) for some in combinations(range(WIDTH), n))
+
+
+def looked_up(radius: int) -> int:
+    """Bits of a block by which a window looks around; items are filed around for the rest."""
+    return radius // BLOCKS - radius // BLOCKS // 2
+
+
+def blocks_of(value: int, radius: int, filed: bool = False) -> Iterator[int]:
+    """Keys under which a fingerprint is looked up, or ``filed``.
+
+    Of two values within the radius, one's keys and the other's filed ones meet.
+    """
+    flips = _flips(radius // BLOCKS - looked_up(radius) if filed else looked_up(radius))
+    for block in range(BLOCKS):
+        key = block << WIDTH | (value >> (WIDTH * block)) & ((1 << WIDTH) - 1)
+        yield from map(key.__xor__, flips)
+
+
+@dataclass(frozen=True)
+class ShingleCounts:
+    """Shingles in order, how many items of the whole benchmark have each, and the number of items."""
+
+    known: np.ndarray
+    having: np.ndarray
+    items: int
 
 
 @dataclass
@@ -90,18 +135,24 @@ class BenchmarkIndex:
     rarest: float = 1.0
     gate: np.ndarray = field(default_factory=lambda: np.zeros(_GATE // 8, np.uint8))
     items: list[tuple] = field(default_factory=list)  # id, words, hashes, fingerprint
-    by_length: dict[int, dict] = field(default_factory=dict)
+    lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each item
+    marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of each item
+    first: np.ndarray = field(default_factory=lambda: np.zeros(BLOCKS * (1 << WIDTH) + 1, np.int64))  # of each key's items
+    filed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     lightest: dict[int, float] = field(default_factory=dict)  # by length: least weight of an item's shingles
 
     @classmethod
-    def of(cls, items: list[tuple[int, bytes]], params: LeakParams) -> BenchmarkIndex:
+    def of(cls, items: list[tuple[int, bytes]], params: LeakParams, counts: ShingleCounts | None = None) -> BenchmarkIndex:
+        """The index of some items; without ``counts`` they are the whole benchmark."""
         index = cls(params)
         read = [(i, len(w), shingles(w, params.words)) for i, w in ((i, folded_words(t)) for i, t in items) if w]
         if not read:
             return index
-        index.known, having = np.unique(np.concatenate([np.unique(h) for _, _, h in read]), return_counts=True)
-        index.weight = np.log1p(len(read) / having)
-        index.rarest = float(np.log1p(len(read)))
+        if counts is None:
+            counts = ShingleCounts(*np.unique(np.concatenate([np.unique(h) for _, _, h in read]), return_counts=True), len(read))
+        index.known, having = counts.known, counts.having
+        index.weight = np.log1p(counts.items / having)
+        index.rarest = float(np.log1p(counts.items))
         slot = (index.known & np.uint64(_GATE - 1)).astype(np.int64)
         flags = np.zeros(_GATE, np.uint8)
         flags[slot] = 1
@@ -109,11 +160,14 @@ class BenchmarkIndex:
         for item, length, hashes in read:
             weight = index.weights(hashes)[0]
             index.lightest[length] = min(float(weight.sum()), index.lightest.get(length, np.inf))
-            mark = fingerprint(hashes, weight)
-            tables = index.by_length.setdefault(length, defaultdict(list))
-            for block in blocks_of(mark, params.radius):
-                tables[block].append(len(index.items))
-            index.items.append((item, length, hashes, mark))
+            index.items.append((item, length, hashes, fingerprint(hashes, weight)))
+        index.lengths = np.array([i[1] for i in index.items], np.int64)
+        index.marks = np.array([i[3] for i in index.items], np.uint64)
+        keys = [np.fromiter(blocks_of(i[3], params.radius, filed=True), np.int64) for i in index.items]
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        index.filed = owner[np.argsort(keys, kind="stable")]
+        index.first = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=len(index.first) - 1))])
         return index
 
     def may_know(self, hashes: np.ndarray) -> np.ndarray:
@@ -141,7 +195,7 @@ class BenchmarkIndex:
         words = folded_words(text)
         best: dict[int, tuple] = {}
         shared: dict[int, tuple] = {}
-        for length, tables in self.by_length.items():
+        for length in self.lightest:
             wide = min(self.params.words, length)
             if wide > len(words):  # too short to share a shingle
                 continue
@@ -159,36 +213,70 @@ class BenchmarkIndex:
                 continue
             hashes, weight, sums, hits = shared[wide]
             long = min(length, len(words))
-            # what a text shares is at most what it holds of the benchmark, and the union at least the item
-            if long < length and hits[-1] < (self.params.similarity - 1e-9) * self.lightest[length]:
+            # what a window shares is at most what the text holds of the benchmark, and the union at least the item
+            if hits[-1] < (self.params.similarity - 1e-9) * self.lightest[length]:
                 continue
             span = long - wide + 1
             enough = hits[span:] - hits[:-span] >= (self.params.similarity - 1e-9) * (sums[span:] - sums[:-span])
-            for start in np.flatnonzero(enough).tolist():
-                self._look_up(hashes[start : start + span], weight[start : start + span], start, long, tables, best)
+            starts = np.flatnonzero(enough)
+            while len(starts):
+                near = starts[: np.searchsorted(starts, starts[0] + _TOGETHER)]
+                self._look_up(hashes, weight, near, span, length, long, best)
+                starts = starts[len(near) :]
         return [best[k] for k in sorted(best)]
 
-    def _look_up(self, hashes, weight, start: int, long: int, tables: dict, best: dict) -> None:
-        mark = fingerprint(hashes, weight)
-        found = {n for block in blocks_of(mark, self.params.radius) for n in tables.get(block, ())}
-        for n in found:
-            item, _, own, other = self.items[n]
-            bits = (mark ^ other).bit_count()
-            if bits <= self.params.radius:
-                alike = self.similarity(hashes, own)
-                if alike >= self.params.similarity and (n not in best or alike > best[n][4]):
-                    best[n] = (item, start, long, bits, alike)
+    def _look_up(self, hashes, weight, starts: np.ndarray, span: int, length: int, long: int, best: dict) -> None:
+        """Windows that begin at ``starts``, within a bounded stretch of the text, all at once."""
+        low, high = starts[0], starts[-1] + span
+        marks = window_marks(hashes[low:high], weight[low:high], starts - low, span)
+        block = np.arange(BLOCKS, dtype=np.uint64)
+        own = (marks[:, None] >> (block * np.uint64(WIDTH))) & np.uint64((1 << WIDTH) - 1) | block << np.uint64(WIDTH)
+        flips = np.array(_flips(looked_up(self.params.radius)), np.int64)
+        keys = (own.astype(np.int64)[:, :, None] ^ flips).reshape(len(starts), -1)
+        begin = self.first[keys]
+        size = self.first[keys + 1] - begin
+        window, at = np.nonzero(size)
+        begin, size = begin[window, at], size[window, at]
+        met = self.filed[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        pairs = np.unique(np.repeat(window, size) * len(self.items) + met)
+        window, met = pairs // len(self.items), pairs % len(self.items)
+        bits = np.bitwise_count(marks[window] ^ self.marks[met])
+        for w, n, apart in zip(*(x[(self.lengths[met] == length) & (bits <= self.params.radius)].tolist() for x in (window, met, bits)), strict=True):
+            start = int(starts[w])
+            alike = self.similarity(hashes[start : start + span], self.items[n][2])
+            if alike >= self.params.similarity and (n not in best or alike > best[n][4]):
+                best[n] = (self.items[n][0], start, long, apart, alike)
 
 
 def item_blocks(benchmark: DataFrame, params: LeakParams) -> Iterator[BenchmarkIndex]:
-    """The benchmark, a bounded number of items at a time."""
+    """The benchmark, a bounded number of items at a time, with weights of the whole."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    count = -(-items.count() // params.items_per_block)
+    count = max(1, -(-items.count() // params.items_per_block))
     # blocks by hash: sizes differ a little, none is unbounded
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, count)))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, found = [], []
+            for text, number in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                own = np.unique(shingles(folded_words(text), params.words))
+                found.append(own.view(np.int64))
+                numbers.append(np.full(len(own), number, np.int32))
+            made = [np.concatenate([np.zeros(0, k), *x]) for k, x in ((np.int32, numbers), (np.int64, found))]
+            yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], names=["block", "h"])
+
+    held = stored(items.select("text", "block").mapInArrow(run, "block int, h bigint"), "item-shingles")
+    having = stored(held.groupBy("h").agg(F.count(F.lit(1)).alias("having")), "shingle-counts")
+    total = items.where(F.regexp_count("text", F.lit(r"[^\x00-\x7F]|[0-9A-Za-z]")) > 0).count()
     for i in range(count):
-        rows = items.where(block == i).collect()
-        yield BenchmarkIndex.of(sorted(((r[0], (r[1] or "").encode()) for r in rows), key=repr), params)
+        # those of other blocks weigh like unknown ones, unless several items have them
+        mine = held.where(F.col("block") == i).select("h").distinct().withColumn("mine", F.lit(True))
+        own = having.join(mine, "h", "left").where(F.col("mine") | (F.col("having") > 1)).select("h", "having").toArrow()
+        known = own.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        counts = ShingleCounts(known[order], own.column("having").to_numpy()[order], total)
+        rows = items.where(F.col("block") == i).select("item_id", "text").collect()
+        yield BenchmarkIndex.of(sorted(((r[0], (r[1] or "").encode()) for r in rows), key=repr), params, counts)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> tuple[DataFrame, str]:
