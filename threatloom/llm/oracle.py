@@ -182,12 +182,36 @@ def _search() -> str:
         SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10"""
 
 
+def _join(wide: int = 4, percent: int = 85) -> str:
+    """Every pair of documents that share a shingle compared, and all that links lead to."""
+    folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+        WITH RECURSIVE docs AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 coalesce(regexp_extract_all({folded}, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+        sets AS (
+          SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {wide} THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - {wide - 2}), lambda i: array_to_string(words[i:i + {wide - 1}], ' '))) END AS own
+          FROM docs),
+        members AS (SELECT r, len(own) AS n, unnest(own) AS shingle FROM sets),
+        shared AS (
+          SELECT a.r AS x, b.r AS y, a.n + b.n - count(*) AS whole, count(*) AS n
+          FROM members a JOIN members b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n),
+        links AS (SELECT x, y FROM shared WHERE 100 * n >= {percent} * whole),
+        reached AS (
+          SELECT r AS x, r AS y FROM sets
+          UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y)
+        SELECT s.doc_id, CAST(len(s.own) AS BIGINT) AS n_shingles, least.component_id
+        FROM sets s JOIN (SELECT x, min(doc_id) AS component_id FROM reached JOIN sets ON sets.r = reached.y GROUP BY x) least ON least.x = s.r"""
+
+
 def oracles() -> dict[str, str]:
     """The SQL by query name; the others rest on trained models, tokenizers or searches, and are tested by brute force."""
     return {
         "op3_chat_format": _chat(),
         "op6_url_filter": _urls(),
         "op7_line_dedup": _lines(),
+        "op8_jaccard_join": _join(),
         "op11_conversation_repair": _repair(),
         "op12_lexical_search": _search(),
     }
