@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.llm.batches import CONTINUATION, WHITE_SPACE, Texts, byte_texts, with_struct
-from threatloom.llm.bloom import Bloom, key_hash
+from threatloom.llm.bloom import Bloom, key_hash, may_hold
 from threatloom.session import stored
 
 SYMBOLS = b"#*$%&|<>"
@@ -105,26 +105,26 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, params: QualityParams) ->
     bloom = Bloom.of(trusted, "doc_id")
     counts = _counted(docs, bloom, params)
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
-    passed = ids.where(bloom.passes(ids, "doc_id")).distinct()
+    passed = bloom.split(ids, "doc_id")[0].distinct()
     wrong = stored(passed.join(trusted, "doc_id", "left_anti"), "wrongly-trusted")
     if wrong.isEmpty():
         return counts
     again = Bloom.of(wrong, "doc_id")
-    few = docs.where(again.passes(docs, "doc_id")).join(wrong, "doc_id", "left_semi")
+    few = again.split(docs, "doc_id")[0].join(wrong, "doc_id", "left_semi")
     less = _counted(few.select("doc_id", "text"), bloom, params).select("bucket", F.lit(0).alias("raw"), (-F.col("target")).alias("target"))
     return counts.unionAll(less).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def _counted(docs: DataFrame, bloom: Bloom, params: QualityParams) -> DataFrame:
     """(bucket, raw, target): n-grams of all documents, and of those that the filter lets pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.zeros(params.buckets, np.int64)
         target = np.zeros(params.buckets, np.int64)
         for batch in batches:
             hashes = batch.column(1)
-            good = sent.value.may_hold(hashes.fill_null(0).to_numpy()) & hashes.is_valid().to_numpy(zero_copy_only=False)
+            good = may_hold(sent.value, hashes.fill_null(0).to_numpy()) & hashes.is_valid().to_numpy(zero_copy_only=False)
             for text, trusted in zip(byte_texts(batch.column(0)), good.tolist(), strict=True):
                 counts = np.bincount(hashed_ngrams(text, params.orders, params.buckets), minlength=1)
                 raw[: len(counts)] += counts
