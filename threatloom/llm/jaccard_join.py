@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threatloom.llm.batches import byte_texts, quoted
+from threatloom.llm.batches import byte_texts, fresh_name, quoted
+from threatloom.llm.bloom import Bloom
 from threatloom.llm.components import component_labels
 from threatloom.llm.line_dedup import text_hash
 from threatloom.session import stored
@@ -222,7 +223,11 @@ def class_texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, params: Jo
         F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text")
     )
     same = (F.col("text_hash") == F.col("other_hash")) & F.col("doc_id").eqNullSafe(F.col("other_id"))
-    texts = rows.join(chosen, same).select("cid", "text").dropDuplicates(["cid"])
+    chosen = stored(chosen, "chosen-documents")
+    # only texts that may be wanted are shuffled
+    wanted_keys = Bloom.of(chosen, F.coalesce("other_id", F.lit(0)), F.col("other_hash"))
+    maybe, _ = wanted_keys.split(rows, F.coalesce("doc_id", F.lit(0)), F.col("text_hash"))
+    texts = maybe.join(chosen, same).select("cid", "text").dropDuplicates(["cid"])
     return texts.mapInArrow(run, "cid bigint, text string, n bigint, sketch binary")
 
 
@@ -440,6 +445,16 @@ def _named(known: DataFrame, labels: DataFrame) -> DataFrame:
     return with_words.unionByName(blank)
 
 
+def _apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose id is in the column ``doc_id`` of ``ids``, and all others; texts move only where they may be in it."""
+    other = fresh_name(docs, "other_id")
+    named = ids.select(F.col("doc_id").alias(other))
+    own = F.col("doc_id").cast("bigint")
+    maybe, rest = Bloom.of(ids, "doc_id").split(docs, own)
+    same = own == F.col(other)
+    return maybe.join(named, same, "left_semi"), rest.unionByName(maybe.join(named, same, "left_anti"))
+
+
 def without_near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; rows without an id stay.
 
@@ -447,14 +462,12 @@ def without_near_duplicates(docs: DataFrame, params: JoinParams = JoinParams())
     rows with the smallest text fingerprint stays.
     """
     found = stored(join_components(docs, params), "components")
-    goes = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    ids = found.where("doc_id is not null")
-    repeated = ids.groupBy("doc_id").count().where("count > 1")
-    kept = docs.join(goes, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    goes = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    repeated = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    _, kept = _apart(docs, goes)
     if repeated.isEmpty():
         return kept
-    often = kept.join(repeated.select(F.col("doc_id").alias("often_id")), F.col("doc_id") == F.col("often_id"), "left_semi")
-    once = kept.join(repeated.select(F.col("doc_id").alias("often_id")), F.col("doc_id") == F.col("often_id"), "left_anti")
+    often, once = _apart(kept, repeated)
     # partial minima are taken before the shuffle, so a row repeated very often is no hot key
     one = often.groupBy(F.col("doc_id").alias("key_")).agg(
         F.min_by(F.struct(*[F.col(quoted(c)) for c in docs.columns]), text_hash()).alias("row_")
