@@ -24,8 +24,8 @@ KEYS_PER_WORD = 4
 _SHIFTS = (0, 6, 12, 18)
 
 
-def key_hash(*columns: Column | str) -> Column:
-    """The hash of a key, null where one of its columns is null.
+def key_hash(*columns: Column | str, seed: int = 0) -> Column:
+    """The hash of a key, null where one of its columns is null; another one for each seed.
 
     Types count: compare keys of one type only.
     """
@@ -33,7 +33,7 @@ def key_hash(*columns: Column | str) -> Column:
     missing = keys[0].isNull()
     for key in keys[1:]:
         missing = missing | key.isNull()
-    return F.when(~missing, F.xxhash64(F.lit(0xB10), *keys))
+    return F.when(~missing, F.xxhash64(F.lit(0xB10 + seed), *keys))
 
 
 def _bits(h: Column) -> Column:
@@ -45,17 +45,17 @@ def _bits(h: Column) -> Column:
 class Bloom:
     """A written table (word, bits) of ``size`` words, and how to ask it."""
 
-    def __init__(self, table: DataFrame, size: int) -> None:
-        self.table, self.size = table, size
+    def __init__(self, table: DataFrame, size: int, seed: int = 0) -> None:
+        self.table, self.size, self.seed = table, size, seed
 
     @classmethod
-    def of(cls, keys: DataFrame, *columns: Column | str) -> Bloom:
+    def of(cls, keys: DataFrame, *columns: Column | str, seed: int = 0) -> Bloom:
         """The filter of all keys of a table."""
-        hashed = keys.select(key_hash(*columns).alias("h")).where("h IS NOT NULL")
+        hashed = keys.select(key_hash(*columns, seed=seed).alias("h")).where("h IS NOT NULL")
         size = max(1, min(MAX_WORDS, hashed.count() // KEYS_PER_WORD + 1))
         h = F.col("h")
         rows = hashed.select((F.shiftrightunsigned(h, 24) % size).alias("word"), _bits(h).alias("bits"))
-        return cls(stored(rows.groupBy("word").agg(F.bit_or("bits").alias("bits")), "bloom"), size)
+        return cls(stored(rows.groupBy("word").agg(F.bit_or("bits").alias("bits")), "bloom"), size, seed)
 
     @cached_property
     def words(self) -> np.ndarray:
@@ -68,7 +68,7 @@ class Bloom:
     def split(self, df: DataFrame, *columns: Column | str) -> tuple[DataFrame, DataFrame]:
         """Rows of ``df`` whose key may be in the filter, and all others; rows with null keys are among the others."""
         word, bits, other, theirs = (fresh_name(df, n) for n in ("bloom_word", "bloom_bits", "bloom_other", "bloom_theirs"))
-        h = key_hash(*columns)
+        h = key_hash(*columns, seed=self.seed)
         marked = df.withColumns({word: F.shiftrightunsigned(h, 24) % self.size, bits: _bits(h)})
         # at most MAX_WORDS rows
         sent = F.broadcast(self.table.toDF(other, theirs))

@@ -95,36 +95,54 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 def ngram_counts(docs: DataFrame, trusted: DataFrame, params: QualityParams) -> DataFrame:
     """(bucket, raw, target): n-grams of all documents, and of the trusted ones.
 
-    Each task adds up its own documents and sends one row per bucket.  A document
-    counts as trusted where it lies, if a Bloom filter may hold its id; what the
-    filter let pass wrongly is found by a join of ids alone, and the n-grams of
-    those few documents are taken off again.  So the counts are exact, and only
-    texts that a second filter takes for these few are shuffled.
+    Each task adds up its own documents and sends one row per bucket.  Trusted
+    documents are told where they lie, by a cascade of Bloom filters: the second
+    holds the ids that the first lets pass wrongly, the third those of trusted
+    ones that the second lets pass, and so on, until none is left.  Only ids are
+    joined for that.  If filters are full before, the documents still told wrongly
+    are shuffled and counted the other way round, so the counts are exact.
     """
     trusted = trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
-    bloom = Bloom.of(trusted, "doc_id")
-    counts = _counted(docs, bloom, params)
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
-    passed = bloom.split(ids, "doc_id")[0].distinct()
-    wrong = stored(passed.join(trusted, "doc_id", "left_anti"), "wrongly-trusted")
-    if wrong.isEmpty():
+    levels, wrong = _cascade(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), trusted)
+    counts = _counted(docs, levels, params)
+    if wrong is None:
         return counts
-    again = Bloom.of(wrong, "doc_id")
-    few = again.split(docs, "doc_id")[0].join(wrong, "doc_id", "left_semi")
-    less = _counted(few.select("doc_id", "text"), bloom, params).select("bucket", F.lit(0).alias("raw"), (-F.col("target")).alias("target"))
-    return counts.unionAll(less).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    few = Bloom.of(wrong, "doc_id", seed=len(levels)).split(docs, "doc_id")[0].join(wrong, "doc_id", "left_semi")
+    sign = -1 if len(levels) % 2 else 1
+    told = _counted(few.select("doc_id", "text"), [], params).select("bucket", F.lit(0).alias("raw"), (sign * F.col("raw")).alias("target"))
+    return counts.unionAll(told).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def _counted(docs: DataFrame, bloom: Bloom, params: QualityParams) -> DataFrame:
-    """(bucket, raw, target): n-grams of all documents, and of those that the filter lets pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(bloom.words)
+LEVELS = 6
+
+
+def _cascade(ids: DataFrame, trusted: DataFrame) -> tuple[list[Bloom], DataFrame | None]:
+    """Filters that hold in turn what should pass and what should not, and the ids they still tell wrongly, if any."""
+    levels = [Bloom.of(trusted, "doc_id")]
+    passed = levels[0].split(ids, "doc_id")[0].distinct()
+    inside, outside = trusted, stored(passed.join(trusted, "doc_id", "left_anti"), "wrongly-trusted")
+    while not outside.isEmpty():
+        if len(levels) == LEVELS:
+            return levels, outside
+        levels.append(Bloom.of(outside, "doc_id", seed=len(levels)))
+        inside, outside = outside, stored(levels[-1].split(inside, "doc_id")[0], "wrongly-told")
+    return levels, None
+
+
+def _counted(docs: DataFrame, levels: list[Bloom], params: QualityParams) -> DataFrame:
+    """(bucket, raw, target): n-grams of all documents, and of those that the filters tell as trusted."""
+    sent = docs.sparkSession.sparkContext.broadcast([level.words for level in levels])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.zeros(params.buckets, np.int64)
         target = np.zeros(params.buckets, np.int64)
         for batch in batches:
-            hashes = batch.column(1)
-            good = may_hold(sent.value, hashes.fill_null(0).to_numpy()) & hashes.is_valid().to_numpy(zero_copy_only=False)
+            good = np.zeros(batch.num_rows, bool)
+            passing = np.ones(batch.num_rows, bool)
+            for level, words in enumerate(sent.value):
+                hashes = batch.column(1 + level)
+                passing &= may_hold(words, hashes.fill_null(0).to_numpy()) & hashes.is_valid().to_numpy(zero_copy_only=False)
+                good = np.where(passing, level % 2 == 0, good)
             for text, trusted in zip(byte_texts(batch.column(0)), good.tolist(), strict=True):
                 counts = np.bincount(hashed_ngrams(text, params.orders, params.buckets), minlength=1)
                 raw[: len(counts)] += counts
@@ -135,7 +153,8 @@ def _counted(docs: DataFrame, bloom: Bloom, params: QualityParams) -> DataFrame:
             [pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"]
         )
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), key_hash(F.col("doc_id")).alias("h"))
+    hashes = [key_hash("doc_id", seed=level.seed).alias(f"h{n}") for n, level in enumerate(levels)]
+    rows = docs.select(F.col("text").cast("string").alias("text"), *hashes)
     partial = rows.mapInArrow(run, "bucket bigint, raw bigint, target bigint")
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
@@ -164,8 +183,7 @@ def quality_verdicts(
 ) -> tuple[DataFrame, str]:
     """Columns ``keep`` (all by default) and a struct with counts, ratio and verdict.
 
-    Two passes over the texts, and one that finds the few documents which the
-    filter of trusted ids takes for trusted wrongly.
+    Two passes over the texts, and joins of ids.
     """
     counts = ngram_counts(docs.select("doc_id", "text"), trusted_ids(labels), params)
     ratios = log_ratios(counts, params)
