@@ -46,6 +46,24 @@ def test_monitor_resumes_without_repeating(spark, tmp_path):
     assert dict(map(tuple, totals)) == {"malware": 1, "spam": 1}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path, files):
+    path = tmp_path / "tables" / "documents.parquet"
+    spark.range(9).repartition(files).write.parquet(str(path))
+    spark.range(5).write.parquet(str(tmp_path / "tables" / "other.parquet"))
+    if files == 1:
+        part = next(path.glob("part-*"))
+        part.rename(tmp_path / "tables" / "part")
+        path.rename(tmp_path / "folder")
+        (tmp_path / "tables" / "part").rename(path)
+    rows = stream.table_stream(spark, str(path))
+    out = str(tmp_path / "out")
+    finish(
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(9))
+
+
 def test_replays_are_dropped(spark, tmp_path):
     source = str(tmp_path / "in")
     mail = emails(spark, {"message_id": "a"}, {"message_id": "b"}).withColumn("date", F.timestamp_seconds(F.lit(1000)))
