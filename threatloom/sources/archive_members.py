@@ -14,10 +14,11 @@ import unicodedata
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from threatloom.functions import constants as K
 from threatloom.functions.identity import sanitize_filename
@@ -42,6 +43,9 @@ LISTING_SCHEMA = T.StructType(
     ]
 )
 
+# member rows handed back at a time
+_FLUSH_ROWS = 2000
+
 
 class _TooBig(ValueError):
     """A nested archive unpacks to more than the limit."""
@@ -128,21 +132,27 @@ def list_archive(kind: str, data: bytes, key: str, shown: str, depth: int = 0) -
             yield from list_archive(inner_kind, inner, f"{key}/{pos}", f"{shown}/{last}", depth + 1)
 
 
-def _list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = LISTING_SCHEMA.fieldNames()
+def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(LISTING_SCHEMA)
+    found: list[dict] = []
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            found = []
-            mailbox = {k: getattr(row, k) for k in MESSAGE_KEY}
-            for kind, wanted in (("zip", row.as_zip), ("tar", row.as_tar)):
-                if wanted and row.data is not None:
-                    key = ":".join([row.account_email, row.folder, row.message_id, str(row.pos), kind])
-                    found += [
-                        {**mailbox, "pos": row.pos, **m}
-                        for m in list_archive(kind, bytes(row.data), key, row.filename)
-                    ]
-            if found:
-                yield pd.DataFrame(found, columns=names)
+        for at in range(batch.num_rows):
+            # one attachment's bytes at a time
+            row = {name: column[at].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            if row["data"] is None:
+                continue
+            mailbox = {k: row[k] for k in (*MESSAGE_KEY, "pos")}
+            for kind in ("zip", "tar"):
+                if not row[f"as_{kind}"]:
+                    continue
+                key = ":".join([*(row[k] for k in MESSAGE_KEY), str(row["pos"]), kind])
+                for member in list_archive(kind, row["data"], key, row["filename"]):
+                    found.append({**mailbox, **member})
+                    if len(found) >= _FLUSH_ROWS:
+                        yield pa.RecordBatch.from_pylist(found, schema=schema)
+                        found = []
+    if found:
+        yield pa.RecordBatch.from_pylist(found, schema=schema)
 
 
 def archive_members(attachments: DataFrame) -> DataFrame:
@@ -160,5 +170,5 @@ def archive_members(attachments: DataFrame) -> DataFrame:
         is_zip(name, data).alias("as_zip"),
         is_tar(name).alias("as_tar"),
     ).filter(F.col("as_zip") | F.col("as_tar"))
-    listed = candidates.mapInPandas(_list_batches, LISTING_SCHEMA)
+    listed = candidates.mapInArrow(_list_batches, LISTING_SCHEMA)
     return listed.withColumn("safe_name", sanitize_log(sanitize_filename(F.col("name"))))
