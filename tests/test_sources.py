@@ -8,6 +8,7 @@ import unicodedata
 import zipfile
 from email.message import EmailMessage
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,8 +16,10 @@ from threatloom.functions import constants as K
 from threatloom.functions import text
 from threatloom.operators import archives, fusion, language, logs, rules, scans
 from threatloom.params import Params
+from threatloom.plans import queries
 from threatloom.sources import archive_members as listing
 from threatloom.sources import eml
+from threatloom.sources.sample_tables import SampleTables
 
 RAW = "seq string, account_email string, folder string, raw binary"
 
@@ -244,3 +247,44 @@ def test_characters_left_out_of_normalisation_are_stable():
         if kept.match(ch):
             assert unicodedata.normalize("NFKC", ch) == ch
             assert unicodedata.combining(ch) == 0
+
+
+def test_messages_are_decoded_and_archives_listed_in_bounded_batches():
+    """One large batch in, several out; rows and the values in them are all there."""
+    raw = b"Subject: s\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nbody"
+    n = eml._FLUSH_ROWS + 10
+    columns = {"seq": [str(i) for i in range(n)], "account_email": ["a"] * n, "folder": ["f"] * n, "raw": [raw if i % 2 else None for i in range(n)]}
+    out = list(eml._decode_batches([pa.RecordBatch.from_pydict(columns)]))
+    assert [b.num_rows for b in out] == [eml._FLUSH_ROWS, 10]
+    assert [r["seq"] for b in out for r in b.to_pylist()] == columns["seq"]
+    assert {r["_corrupt"] for r in out[1].to_pylist()} == {None, "ValueError: no message bytes"}
+
+    data = zipped([(f"f{i}.txt", b"x") for i in range(100)])
+    box = {"account_email": ["a"] * 50, "folder": ["f"] * 50, "message_id": [str(i) for i in range(50)], "pos": [1] * 50, "filename": ["a.zip"] * 50}
+    batch = pa.RecordBatch.from_pydict({**box, "data": [data] * 50, "as_zip": [True] * 50, "as_tar": [False] * 50})
+    listed = list(listing._list_batches([batch]))
+    assert [b.num_rows for b in listed] == [2000, 2000, 1000]
+    assert len({(r["message_id"], r["name"]) for b in listed for r in b.to_pylist()}) == 5000
+
+
+def test_zips_are_made_in_bounded_batches():
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["x" * 400_000] * 40})
+    out = list(queries._zip_up([texts]))
+    assert sum(b.num_rows for b in out) == 40
+    assert max(b.nbytes for b in out) < queries._ZIP_BYTES + 2_000_000
+
+
+def test_messages_are_dealt_over_all_tasks(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, schema in {
+        "pages": "page_id bigint, html string", "conversations": "conv_id bigint, turn int, role string, text string",
+        "orders": "o_orderkey bigint, o_orderstatus string, o_orderpriority string, o_totalprice double",
+    }.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    tables = SampleTables(spark, str(tmp_path))
+    dealt = tables.mail(dealt=True)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) < 120
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, tables.mail().collect()))
