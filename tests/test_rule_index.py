@@ -76,3 +76,25 @@ def test_a_common_word_is_looked_up_once(spark):
     df = spark.range(1000).select(F.col("id").cast("int").alias("id"), F.lit("bank").alias("subject"), F.lit("x").alias("body_text"))
     plan = rule_index.scan_with_rules(df, spark.createDataFrame(OWN[:2], COLUMNS), ["id"])
     assert plan.count() == 1000
+
+
+def test_places_of_one_word_lie_in_many_tasks(spark):
+    """One word everywhere: no task of the joins gets most of its places."""
+    rows = spark.range(4000).select("id", F.lit("act now").alias("subject"), F.lit("").alias("body_text"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        lists = spark.createDataFrame([("act", 1)], "word string, list_rule int")
+        places = rows.select("id", F.lit(0).alias("part"), F.lit(0).alias("at"), F.lit("act").alias("word"))
+        dealt = rule_index._at_places(places, lists, ["id"], "inner")
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        plan = rule_index.scan_with_rules(rows, spark.createDataFrame(OWN, COLUMNS), ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 4000
+    assert max(sizes) < 2000
+    assert "any#" not in plan
+    assert "BroadcastNestedLoopJoin" in plan

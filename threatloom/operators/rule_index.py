@@ -34,6 +34,8 @@ from threatloom.operators.rules import audit
 _LIST = r"^\\b(?:\((?:\?:)?([\p{L}\p{N}_]+(?:\|[\p{L}\p{N}_]+)*)\)|([\p{L}\p{N}_]+))\\b$"
 _OPENING = r"^\\b(?:\((?:\?:)?([\p{L}\p{N}_]+(?:\|[\p{L}\p{N}_]+)*)\)|([\p{L}\p{N}_]+))(?:\\s\+|\\s(?![*?{])|\\b)"
 _ANYWHERE = ""
+# one word may make up any share of all words: its places are dealt over this many keys
+_DEALT = 32
 MATCHES = "array<struct<category:string,description:string,token:string>>"
 
 
@@ -78,6 +80,13 @@ def _first_lists(rules: DataFrame, words: DataFrame) -> DataFrame:
     return used.groupBy("word").agg(F.min(F.struct("rank", "category", "description")).alias("list_rule"))
 
 
+def _at_places(placed: DataFrame, lists: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Places with the list rule of their word, of which there is one row: every key a word is dealt over gets a copy."""
+    copies = lists.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
+    dealt = placed.withColumn("_deal", F.pmod(F.xxhash64(*keys, "part", "at"), F.lit(_DEALT)).cast("int"))
+    return dealt.join(copies, ["word", "_deal"], how).drop("_deal")
+
+
 def _other_matches(rules: DataFrame, placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, part, at, rank, category, description, token, words) of rules that are no lists."""
     filed = rules.where("NOT is_list").select("rank", "category", "description", "regex", F.explode("words").alias("word"))
@@ -85,8 +94,8 @@ def _other_matches(rules: DataFrame, placed: DataFrame, keys: Sequence[str]) ->
     here = placed.select(*keys, "part", "at", "word", "list_rule", "text")
     tried = here.join(known, "word")
     others = filed.where(F.col("word") == _ANYWHERE).drop("word")
-    # few by their nature: a rule without a readable opening
-    everywhere = here.withColumn("any", F.lit(1)).join(others.withColumn("any", F.lit(1)), "any").drop("any")
+    # few by their nature, since each is tried at every word: a rule without a readable opening; places stay where they are
+    everywhere = here.crossJoin(F.broadcast(others))
     tried = tried.unionByName(everywhere).where(F.col("list_rule").isNull() | (F.col("rank") < F.col("list_rule.rank")))
     gap = rf"(?:(?!{WORD})[\s\S])*+"
     ahead = F.concat(F.lit(rf"(?U)\A{gap}(?:{WORD}++{gap}){{"), F.col("at").cast("string"), F.lit("}("), "regex", F.lit(")"))
@@ -105,10 +114,10 @@ def scan_with_rules(df: DataFrame, rules: DataFrame, keys: Sequence[str], parts:
     cut = df.select(*keys, F.explode(texts).alias("t")).select(*keys, "t.*")
     placed = cut.select(*keys, "part", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"{WORD}+"), F.lit(0))).alias("at", "word"))
     lists = _first_lists(ranked, placed)
-    single = placed.drop("text").join(lists, "word").select(
+    single = _at_places(placed.drop("text"), lists, keys, "inner").select(
         *keys, "part", "at", "list_rule.rank", "list_rule.category", "list_rule.description", F.col("word").alias("token"), F.lit(1).alias("words")
     )
-    other = _other_matches(ranked, placed.join(lists, "word", "left"), keys)
+    other = _other_matches(ranked, _at_places(placed, lists, keys, "left"), keys)
     order = Window.partitionBy(*keys, "part", "at").orderBy("rank")
     won = single.unionByName(other).withColumn("place", F.row_number().over(order)).where("place = 1")
     option = F.struct("part", "at", "words", "category", "description", "token")
