@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from threatloom.operators import attachments, fusion, language, metrics, scans, spam
+from threatloom.operators import attachments, fusion, language, metrics, scans, shaping, spam
 from threatloom.params import Params
 from threatloom.plans.queries import registry
 from threatloom.sources.sample_tables import SampleTables
@@ -71,3 +71,11 @@ def test_no_query_collects_by_cross_join(spark):
         text = plan(registry()[name](spark, FOLDER))
         assert "CartesianProduct" not in text, name
         assert "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_headers_of_a_message_are_shuffled_once(spark):
+    rows = [("m", 3, "received", "b"), ("m", 1, "Received", "a"), ("m", 2, "To", None), (None, 1, "X", "x"), ("m", 2, "RECEIVED", "c")]
+    grouped = shaping.header_multimap(spark.createDataFrame(rows, "message_id string, pos int, name string, value string"))
+    assert exchanges(plan(grouped)) == 1
+    got = {r.message_id: r.headers for r in grouped.collect()}
+    assert got == {"m": {"received": ["a", "c", "b"], "to": [None]}, None: {"x": ["x"]}}

@@ -15,12 +15,8 @@ from threatloom.operators.attachments import admit, truncation
 from threatloom.params import DEFAULTS, Params
 
 
-def header_map(entries: Column) -> Column:
-    """``map<name, values>`` from an ordered ``array<struct<pos,name,value>>``; one message on its row.
-
-    Entries are sorted by name once, and each name takes its run of them.
-    """
-    named = F.transform(entries, lambda e, i: F.struct(F.lower(e["name"]).alias("name"), i.alias("i"), e["value"].alias("value")))
+def _by_name(named: Column) -> Column:
+    """``map<name, values>`` of a non-empty ``array<struct<name,i,value>>``, values by ``i``."""
 
     def runs(rows: Column) -> Column:
         def begins(i: Column) -> Column:
@@ -35,22 +31,29 @@ def header_map(entries: Column) -> Column:
 
         return F.map_from_arrays(F.transform(starts, lambda i: F.get(rows, i)["name"]), F.transform(starts, values))
 
+    return let(F.array_sort(named), runs)
+
+
+def header_map(entries: Column) -> Column:
+    """``map<name, values>`` from an ordered ``array<struct<pos,name,value>>``; one message on its row.
+
+    Entries are sorted by name once, and each name takes its run of them.
+    """
+    named = F.transform(entries, lambda e, i: F.struct(F.lower(e["name"]).alias("name"), i.alias("i"), e["value"].alias("value")))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
-    return F.when(F.size(entries) == 0, none).otherwise(let(F.array_sort(named), runs))
+    return F.when(F.size(entries) == 0, none).otherwise(_by_name(named))
 
 
 def header_multimap(headers: DataFrame, *keys: str) -> DataFrame:
     """(keys, headers): lower-cased names, repeated ones listed in order.
 
-    Grouped by message and name first, then by message, so the work is linear
-    in the number of headers and only the values of one name are ever sorted.
+    A message's headers are put together where they lie, and are shuffled once, as
+    one row; there they are sorted by name, and each name takes its run of them.
     """
     keys = keys or ("message_id",)
-    named = headers.withColumn("_name", F.lower("name"))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"])
-    by_name = named.groupBy(*keys, "_name").agg(values.alias("_values"))
-    entries = F.collect_list(F.struct(F.col("_name").alias("key"), F.col("_values").alias("value")))
-    return by_name.groupBy(*keys).agg(F.map_from_entries(entries).alias("headers"))
+    entry = F.struct(F.lower("name").alias("name"), F.col("pos").alias("i"), F.col("value").alias("value"))
+    rows = headers.groupBy(*keys).agg(F.collect_list(entry).alias("_entries"))
+    return rows.select(*keys, _by_name(F.col("_entries")).alias("headers"))
 
 
 def cap_subject(subject: Column, params: Params = DEFAULTS) -> Column:
