@@ -4,9 +4,11 @@ import re
 
 import pytest
 
-from threatloom.operators import attachments, fusion, language, metrics, scans, shaping, spam
+from tests.helpers import ATTACHMENT_SCHEMA
+from threatloom.operators import archives, attachments, fusion, language, metrics, scans, shaping, spam
 from threatloom.params import Params
 from threatloom.plans.queries import registry
+from threatloom.sources import sample_tables
 from threatloom.sources.sample_tables import SampleTables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -79,3 +81,52 @@ def test_headers_of_a_message_are_shuffled_once(spark):
     assert exchanges(plan(grouped)) == 1
     got = {r.message_id: r.headers for r in grouped.collect()}
     assert got == {"m": {"received": ["a", "c", "b"], "to": [None]}, None: {"x": ["x"]}}
+
+
+@pytest.fixture
+def line_items(spark, tmp_path):
+    """Line items with null and repeated keys, and seventh lines in shared archives."""
+    columns = (
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double,"
+        " l_discount double, l_tax double, l_shipdate date, l_returnflag string, l_linestatus string"
+    )
+    flags = ["A", "R", None]
+    rows = [
+        (o if o % 9 else None, n if o % 7 else None, o * 11 + n, o + n, float(o % 50) if o % 5 else None, 100.0 * o + n, 0.0, 0.0, None, flags[o % 3], "F")
+        for o in range(1, 60)
+        for n in range(1, 8)
+    ]
+    spark.createDataFrame(rows + rows[:30], columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return SampleTables(spark, str(tmp_path))
+
+
+def test_members_are_shuffled_once(line_items):
+    members = line_items.members()
+    assert exchanges(plan(members)) == 1
+    stated = line_items.sql(sample_tables.MEMBERS).join(line_items.sql(sample_tables.MEMBER_COUNTS), "container")
+    assert members.columns == stated.columns
+    assert sorted(map(repr, members.collect())) == sorted(map(repr, stated.collect()))
+
+
+def test_a_container_without_findings_keeps_one_member(spark):
+    rows = [("a", i, 0.0) for i in range(1, 6)] + [("b", i, 5.0 * (i > 2)) for i in range(1, 8)]
+    kept = archives.deciding_members(spark.createDataFrame(rows, "container string, member_pos int, member_score double"))
+    assert sorted((r.container, r.member_pos) for r in kept.collect()) == [("a", 1), ("b", 3), ("b", 4), ("b", 5)]
+
+
+def test_attachments_lie_by_message_from_the_start(spark, line_items):
+    marked = attachments.with_admission(line_items.attachments())
+    assert exchanges(plan(marked)) == 1
+    stated = attachments.with_admission(line_items.sql(sample_tables.ATTACHMENTS))
+    assert sorted(map(repr, marked.collect())) == sorted(map(repr, stated.collect()))
+
+
+def test_findings_are_made_behind_the_join_with_archives(spark):
+    table = spark.createDataFrame([("a", "f", "m", 1, "a.b.txt", 5, None, False)], ATTACHMENT_SCHEMA)
+    scores = spark.createDataFrame([("a", "f", "m", 1, 2.0, ["inside"])], "account_email string, folder string, message_id string, pos int, archive_score double, archive_warnings array<string>")
+    checked = attachments.attachment_checks(table, scores)
+    below = plan(checked.hint("merge")).split("Join", 1)[1]
+    assert "Multiple extensions" not in below
+    row = checked.first()
+    assert row.meta_score == 3.5 and row.suspicious_attachments == ["inside"]
+    assert row.file_type_warnings == ["Multiple extensions detected: a.b.txt"]
