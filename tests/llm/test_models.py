@@ -173,6 +173,26 @@ def test_blocks_below_the_bound_are_not_needed(spark, monkeypatch):
     assert np.mean(shares) < 0.9
 
 
+def test_evidence_is_copied_as_a_column(spark):
+    """Shared terms stay numbers until they are copied from one column to the other; none is lost or moved."""
+    docs, labels, _ = fixture(spark, toxic_words=("v1", "v2"))
+    index = toxicity.fit_index(docs, labels)
+    asked = documents(spark, [(1, "v1 v2 v2 unheard"), (2, None), (3, "unheard of"), (4, "v2 v1 v1 v1")])
+    scored, name = toxicity.score_toxicity(asked, index, ["doc_id"])
+    rows = {r["doc_id"]: r[name] for r in scored.collect()}
+    for doc_id, text in ((1, b"v1 v2 v2 unheard"), (2, b""), (3, b"unheard of"), (4, b"v2 v1 v1 v1")):
+        counted = index.vocabulary.all_counts(text)
+        (places, _), = index.nearest_of([counted])
+        shared = index.shared(counted, places.tolist())
+        assert isinstance(shared, np.ndarray)
+        has = set(np.concatenate([index.terms[:0], *(index.terms[index.ends[p - 1] if p else 0 : index.ends[p]] for p in places)]).tolist())
+        weights = dict(zip(counted[0].tolist(), toxicity.unit(counted[0], counted[1], index.idf).tolist(), strict=True))
+        wanted = sorted((t for t in weights if t in has and weights[t] > 0), key=lambda t: (-weights[t], t))
+        assert shared.tolist() == wanted
+        assert rows[doc_id]["terms"] == [index.vocabulary.terms[t] for t in wanted]
+    assert rows[1]["terms"] and not rows[2]["terms"]
+
+
 def test_a_copy_outvotes_all_others(spark):
     docs, index = weighted_index(spark)
     texts = {r["doc_id"]: index.vocabulary.all_counts(r["text"].encode()) for r in docs.collect()}

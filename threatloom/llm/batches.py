@@ -36,7 +36,7 @@ def with_struct(
     """Columns ``keep`` of ``df`` and one struct computed from each text.
 
     ``make`` is called once per task and returns the function that turns a list
-    of texts into one array for each field.  Returns the table and the name of
+    of texts into one list or Arrow array for each field.  Returns the table and the name of
     the new column, which clashes with none that ``df`` has.
     """
     name = fresh_name(df, "found")
@@ -49,7 +49,7 @@ def with_struct(
         work = make()
         for batch in incoming:
             made = work(byte_texts(batch.column(batch.num_columns - 1)))
-            arrays = [pa.array(a, type=f.type) for a, f in zip(made, struct, strict=True)]
+            arrays = [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(made, struct, strict=True)]
             found = pa.StructArray.from_arrays(arrays, fields=list(struct))
             kept = batch.columns[: len(keep)]
             yield pa.RecordBatch.from_arrays([*kept, found], names=arrow.names)

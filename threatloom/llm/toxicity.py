@@ -108,8 +108,10 @@ class Vocabulary:
     def _find(self, word: bytes) -> int:
         """The term of a word that stands for nothing else, -1 for a word without a term; below, the place of all its bases."""
         text = word.decode()
-        parts = pieces(text) if text[: PREFIXES[0]] in self.starts else (text,)
-        found = tuple(self.base[p] for p in parts if p in self.base)
+        if text[: PREFIXES[0]] in self.starts:
+            found = tuple(self.base[p] for p in pieces(text) if p in self.base)
+        else:
+            found = (self.base[text],) if text in self.base else ()
         if not found:
             return -1  # words of junk are mostly unique: not remembered
         if len(found) == 1 and text in self.base and self.twice[found[0]] < 0:
@@ -320,18 +322,18 @@ class Index:
                 weight = cosines**2 / (1 - np.minimum(cosines, 1) + self.params.nearness)
                 yield float((weight @ self.labels[places] + self.prior) / (weight.sum() + 1)), places
 
-    def shared(self, text: tuple, places: list[int]) -> list[str]:
-        """The text's terms that one of the examples has, the weightiest first."""
+    def shared(self, text: tuple, places: list[int]) -> np.ndarray:
+        """Numbers of the text's terms that one of the examples has, the weightiest first."""
         own = np.asarray(text[0], np.int64)
         weights = unit(own, text[1], self.idf)
         if not len(own) or not len(places):
-            return []
+            return np.zeros(0, np.int64)
         theirs = np.concatenate([self.terms[self.ends[p - 1] if p else 0 : self.ends[p]] for p in places])
         self.marked[theirs] = True
         has = self.marked[own] & (weights > 0)
         self.marked[theirs] = False
         order = np.argsort(-weights[has], kind="stable")
-        return [self.vocabulary.terms[t] for t in own[has][order].tolist()]
+        return own[has][order]
 
     def score(self, vote: float) -> float:
         slope, shift = self.curve
@@ -503,15 +505,21 @@ def score_toxicity(docs: DataFrame, index: Index, keep: list[str] | None = None)
 
     def make():
         index = sent.value
+        names = pa.array(index.vocabulary.terms, pa.string())
 
         def score(texts: Texts) -> list:
-            rows = []
+            rows, evidence = [], []
             for low in range(0, len(texts), TOGETHER):
                 counted = [index.vocabulary.all_counts(t) for t in texts[low : low + TOGETHER]]
                 for text, (vote, places) in zip(counted, index.votes(counted), strict=True):
-                    shared = index.shared(text, places.tolist())
-                    rows.append((index.score(vote), vote, index.ids[places].tolist(), shared))
-            return list(zip(*rows, strict=True)) if rows else [[]] * 4
+                    evidence.append(index.shared(text, places.tolist()))
+                    rows.append((index.score(vote), vote, index.ids[places].tolist()))
+            if not rows:
+                return [[]] * 4
+            # terms are copied from one column to the other, never made Python texts again
+            ends = np.cumsum([0, *map(len, evidence)], dtype=np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.concatenate(evidence))))
+            return [*zip(*rows, strict=True), terms]
 
         return score
 
