@@ -353,3 +353,44 @@ def test_a_cycle_is_committed_once(spark, tmp_path):
     assert store.read_numbered("numbers", "id bigint").where("cycle = 0").count() == 3
     with pytest.raises(FileExistsError):
         store.commit(0, {})
+
+
+def test_cycles_run_ahead_are_those_run_one_by_one(spark, tmp_path, monkeypatch):
+    rows = [{"message_id": f"m{i}", "subject": "URGENT PRIZE LOTTERY !!!", "body_text": "click here, winner" if i % 3 else ""} for i in range(6)]
+    rows += [{"message_id": f"b{i}", "account_email": "b@example.com", "folder": "Junk"} for i in range(3)]
+    numbered = emails(spark, *rows).select("*", F.monotonically_increasing_id().alias("seq"), F.lit(10).cast("bigint").alias("size"))
+    large = F.when(F.col("message_id") == "m3", F.lit(1 << 40)).otherwise(F.col("size"))
+    numbered.withColumn("size", large).coalesce(1).write.parquet(source := str(tmp_path / "in"))
+    schema, plans, wrote = spark.read.parquet(source).schema, [], {}
+    run, fault = stream._Cycle.run, []
+
+    def counted(cycle, batch):
+        plans.append(cycle.ahead)
+        if fault and cycle.ahead > 1:
+            raise RuntimeError("too much at once")
+        run(cycle, batch)
+
+    monkeypatch.setattr(stream._Cycle, "run", counted)
+    for how in ("single", "ahead"):
+        loop = Loop(str(tmp_path / how), attachments(spark).limit(0), accounts=accounts(spark, b=True), params=Params(max_per_folder=2))
+        finish(stream.monitor(stream.file_stream(spark, source), loop, once=True))
+        plans.clear()
+        if how == "single":
+            # what fails ahead is run one by one
+            fault.append(True)
+            assert stream.idle_cycle(spark, loop, schema, ahead=True)
+            assert not stream.idle_cycle(spark, loop, schema)
+            assert plans == [stream.AHEAD, 1, 1]
+            fault.clear()
+        else:
+            stream.drain(spark, loop, schema)
+            assert plans == [stream.AHEAD]
+        store = Commits(spark, loop.out)
+        told = {t: store.read_numbered(t, d) for t, d in (("reports", stream.KEYS), ("skipped", stream.SKIPPED), ("alerts", stream.ALERTS), ("threats", stream.THREATS))}
+        wrote[how] = {t: sorted(map(tuple, d.collect())) for t, d in told.items()}
+        wrote[how]["processed"] = sorted(map(tuple, store.read("processed", stream.KEYS).collect()))
+        wrote[how]["totals"] = sorted(map(tuple, store.snapshot("totals", stream.TOTALS).collect()))
+        wrote[how]["last"], wrote[how]["left"] = store.last(), store.snapshot("queue", stream.QUEUE).count()
+    assert wrote["ahead"] == wrote["single"]
+    assert (wrote["ahead"]["last"], wrote["ahead"]["left"], len(wrote["ahead"]["reports"])) == (2, 0, 8)
+    assert wrote["ahead"]["alerts"] and wrote["ahead"]["totals"]
