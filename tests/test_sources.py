@@ -7,6 +7,7 @@ import tarfile
 import unicodedata
 import zipfile
 from email.message import EmailMessage
+from email.utils import getaddresses
 
 import pyarrow as pa
 import pytest
@@ -267,6 +268,31 @@ def test_messages_are_decoded_and_archives_listed_in_bounded_batches():
     assert len({(r["message_id"], r["name"]) for b in listed for r in b.to_pylist()}) == 5000
 
 
+_EDGES = [b"\r\n", b"\n", b"\r", b"--sep", b"--sep--", b"\r\n--sep\r\n", b"\r\n\r\n", b" ", b"\t", b":", b"X: y\r\n", b"From x\r\n", b"\xc3\xa9", b"=?utf-8?q?a?="]
+_EDGES += [b"Content-Type: multipart/mixed; boundary=sep\r\n", b"Content-Type: message/rfc822\r\n", b"Content-Transfer-Encoding: quoted-printable\r\n"]
+
+
+def test_messages_told_without_a_parser_are_as_the_parser_tells_them(monkeypatch):
+    lines = [b'From: A B <a.b@c.example>', b"To: x@y.z, q@r", b"Subject: =?utf-8?b?w6k=?=", b'Content-Type: multipart/mixed; boundary="sep"', b""]
+    lines += [b"--sep", b"Content-Type: text/plain; charset=latin-1", b"", b"caf\xe9 --sepal", b"--sep", b"Content-Type: text/html", b"", b"", b"--sep"]
+    lines += [b'Content-Type: application/pdf; name="a.pdf"', b"Content-Transfer-Encoding: base64", b"", b"QUJD", b"--sep--", b""]
+    plain = b"\r\n".join(lines).replace(b" --sepal", b"")
+    cases = [plain, b"\r\n".join(lines), b"Subject: one part\r\n\r\nbody\n", b"Subject: cut", b"", plain.replace(b"--sep--", b"")]
+    cases += [plain[:at] + edge + plain[at:] for edge in _EDGES for at in range(0, len(plain), 5)]
+    cases += [plain[:at] + plain[at + n :] for n in (1, 2, 9) for at in range(0, len(plain), 2)]
+    quick = [eml._decoded({"seq": "s", "account_email": "", "folder": "", "raw": raw}) for raw in cases]
+    assert eml._plainly_built(plain) and not eml._plainly_built(cases[1])
+    monkeypatch.setattr(eml, "_plainly_built", lambda raw: None)
+    parsed = [eml._decoded({"seq": "s", "account_email": "", "folder": "", "raw": raw}) for raw in cases]
+    assert quick == parsed
+
+
+def test_plain_addresses_are_read_as_by_the_parser():
+    values = ["a@b", "a.b@c.d", "A B <a@b.c>", "a..b@c", "A  B <a@b>", "a@b, c@d", "A.B <a@b>", "a b@c", ".a@b", "a@b.", "A <a@b> x", "_a+b-c@d-e"]
+    for value in values:
+        assert eml._pairs(value) == getaddresses([value]), value
+
+
 def test_zips_are_made_in_bounded_batches():
     texts = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["x" * 400_000] * 40})
     out = list(queries._zip_up([texts]))
