@@ -130,3 +130,21 @@ def test_findings_are_made_behind_the_join_with_archives(spark):
     row = checked.first()
     assert row.meta_score == 3.5 and row.suspicious_attachments == ["inside"]
     assert row.file_type_warnings == ["Multiple extensions detected: a.b.txt"]
+
+
+def test_findings_are_gathered_where_their_message_lies(spark):
+    names = [("m0", 1, "a.zip"), ("m0", 2, "b.zip"), ("m1", 1, "c.zip"), (None, 1, "d.zip")]
+    own = spark.createDataFrame([("a@example.com", "INBOX", *r, 10, None, False) for r in names], ATTACHMENT_SCHEMA)
+    rows = [("m0", 2, 4.0, ["first"]), ("m0", 2, 1.0, ["again"]), ("m0", 3, 9.0, ["not there"]), (None, 1, 9.0, ["nobody's"]), ("m1", None, 9.0, ["nowhere"])]
+    schema = "account_email string, folder string, message_id string, pos int, archive_score double, archive_warnings array<string>"
+    inside = spark.createDataFrame([("a@example.com", "INBOX", *r) for r in rows], schema)
+    at = [*attachments.MESSAGE_KEY, "pos"]
+    wanted = own.join(inside, at, "left").select(*own.columns, "archive_score", "archive_warnings")
+    found = attachments.with_archives(own, inside)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+    assert found.count() == 5
+    with_lines = attachments.media_scores(own, archives=inside)
+    lines = {r.message_id: [x for x in r.media.suspicious_attachments if "zip" not in x] for r in with_lines.collect()}
+    assert sorted(lines["m0"]) == ["again", "first"] and not lines["m1"] and not lines[None]
+    # attachments once to be walked, once with what was found in them; the findings' texts not at all
+    assert sum("Exchange hashpartitioning" in line for line in plan(attachments.media_scores(own, archives=inside)).splitlines()) == 2
